@@ -168,15 +168,15 @@ def score_percentiles(t):
 
 @query("trust_scores", f"""WITH {PCT_CTE}, u AS (SELECT *, 0.25e0*ood_percentile + (1-0.25e0)*(1-conf_percentile) AS uc,
    1-missing_frac AS pl FROM pct)
- SELECT row_id, seed, fold, round(1-conf_percentile,8) AS untrust_conf, round(ood_percentile,8) AS untrust_ood,
- round(uc,8) AS untrust_combined, round(1-uc,8) AS score_combined, round((1-uc)*pl,8) AS score_combined_plus_mech,
- round((1-uc)*(0.05e0+pl),8) AS score_combined_plus_mech_eps FROM u""")
+ SELECT row_id, seed, fold, round(1-conf_percentile,10) AS untrust_conf, round(ood_percentile,10) AS untrust_ood,
+ round(uc,10) AS untrust_combined, round(1-uc,10) AS score_combined, round((1-uc)*pl,10) AS score_combined_plus_mech,
+ round((1-uc)*(0.05e0+pl),10) AS score_combined_plus_mech_eps FROM u""")
 def trust_scores(t):
     df = with_pct(t).withColumn("mech_plausibility", 1 - F.col("missing_frac"))
     out = trust.with_trust_scores(df, 0.25)
     cols = ["untrust_conf", "untrust_ood", "untrust_combined", "score_combined",
             "score_combined_plus_mech", "score_combined_plus_mech_eps"]
-    return rounded(out.select("row_id", "seed", "fold", *cols), *cols)
+    return rounded(out.select("row_id", "seed", "fold", *cols), *cols, digits=10)
 
 
 @query("trust_rows", f"""WITH {PCT_CTE}, u AS (SELECT *, 0.5e0*ood_percentile + (1-0.5e0)*(1-conf_percentile) AS uc FROM pct)
