@@ -51,6 +51,21 @@ def mean_sem_pairs(c: Column) -> Column:
         m.cast("double").alias("mean"), s.try_cast("double").alias("sem")))
 
 
+def legacy_concentrations(c: Column) -> Column:
+    """array<double> in micromolar for the older layout, which writes the micro sign."""
+    fixed = F.translate(c, _GLYPHS, "0123456789.µµ")
+    pattern = r"([0-9]*\.?[0-9]+)\s*(µM|uM|μM|nM)"
+    values = F.regexp_extract_all(fixed, F.lit(pattern), F.lit(1))
+    units = F.regexp_extract_all(fixed, F.lit(pattern), F.lit(2))
+    return F.zip_with(values, units, lambda v, u: F.when(
+        u == "nM", v.cast("double") / 1000.0).otherwise(v.cast("double")))
+
+
+def numbers_before_plus_minus(c: Column) -> Column:
+    found = F.regexp_extract_all(repair_glyphs(c), F.lit(r"([0-9]*\.?[0-9]+)\s*±"), F.lit(1))
+    return F.transform(found, lambda x: x.cast("double"))
+
+
 def has_digit(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\d"), F.lit(False))
 
