@@ -66,6 +66,8 @@ def fit_preparation(train: DataFrame, categorical: Sequence[str], numeric: Seque
 
     Columns without any train value are dropped, as nothing can be learned about them.
     """
+    if numeric and "rows_at_most" not in sizing:
+        sizing = {**sizing, "rows_at_most": train.count() * len(numeric)}
     medians = {r["column_name"]: r["median"] for r in numeric_medians(train, numeric, **sizing).collect()} if numeric else {}
     medians = {c: medians[c] for c in numeric if c in medians}
     centre, spread = {c: 0.0 for c in medians}, {c: 1.0 for c in medians}
@@ -77,10 +79,13 @@ def fit_preparation(train: DataFrame, categorical: Sequence[str], numeric: Seque
             spread[c] = row[f"s_{c}"] or 1.0
             centre[c] = row[f"m_{c}"] if with_mean else 0.0
     fills = {}
-    for c in categorical:
-        top = harmonize.most_frequent(train.withColumn(c, F.col(c).cast("string")), [], c).first()
-        if top is not None and top[0] is not None:
-            fills[c] = top[0]
+    if categorical:
+        stacked = train.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in categorical
+        ])).alias("s")).select("s.*")
+        top = {r["column_name"]: r["value"] for r in
+               harmonize.most_frequent(stacked, ["column_name"], "value").collect()}  # one row per column
+        fills = {c: top[c] for c in categorical if c in top}
     encoder = None
     if fills:
         text = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(v)).alias(f"_s_{c}") for c, v in fills.items()])
@@ -273,7 +278,15 @@ def predict_fold(rows: DataFrame, roles: DataFrame, seed: int, fold: int, featur
                  labels: Sequence[str], group: str, label: str = "y_true") -> tuple[DataFrame | None, str, str]:
     """Fit on train, calibrate on calib, predict test of one (seed, fold): (predictions, status, reason)."""
     slot = roles.where((F.col("seed") == seed) & (F.col("fold") == fold)).select(group, "role")
-    named = rows.join(slot, group)
+    named = rows.join(slot, group).persist(StorageLevel.MEMORY_AND_DISK)  # read by every fitting job below
+    try:
+        return _fit_and_predict(named, seed, fold, features, spec, labels, group, label)
+    finally:
+        named.unpersist()  # later reads of the predictions recompute the join
+
+
+def _fit_and_predict(named: DataFrame, seed: int, fold: int, features: FeatureSet, spec: RunSpec,
+                     labels: Sequence[str], group: str, label: str) -> tuple[DataFrame | None, str, str]:
     train_roles = ["train", "calib"] if spec.calibration == "none" else ["train"]
     train = named.where(F.col("role").isin(train_roles))
     prep = fit_preparation(train, features.categorical, features.numeric)
