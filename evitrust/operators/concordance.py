@@ -50,7 +50,10 @@ def fold_concordance(paired: DataFrame, pairs: Sequence[tuple[str, str]], **sizi
 
 
 def log_concordance(paired: DataFrame, pairs: Sequence[tuple[str, str]], **sizing) -> DataFrame:
-    """Median and mean absolute log10 ratio and the rank correlation (from five pairs on)."""
+    """Median and mean absolute log10 ratio and the rank correlation (from five pairs on).
+
+    ``paired`` is read three times; persist it when it is expensive.
+    """
     stats = paired.groupBy("comparison").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("abs_log10_ratio").alias("mean_abs_log10_ratio"))
     median = ordering.grouped_median(paired, ["comparison"], "abs_log10_ratio",

@@ -66,8 +66,8 @@ def fit_preparation(train: DataFrame, categorical: Sequence[str], numeric: Seque
 
     Columns without any train value are dropped, as nothing can be learned about them.
     """
-    if numeric and "rows_at_most" not in sizing:
-        sizing = {**sizing, "rows_at_most": train.count() * len(numeric)}
+    if numeric and "group_at_most" not in sizing:
+        sizing = {**sizing, "group_at_most": train.count()}
     medians = {r["column_name"]: r["median"] for r in numeric_medians(train, numeric, **sizing).collect()} if numeric else {}
     medians = {c: medians[c] for c in numeric if c in medians}
     centre, spread = {c: 0.0 for c in medians}, {c: 1.0 for c in medians}

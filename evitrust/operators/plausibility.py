@@ -56,8 +56,6 @@ def plausibility_report(scored: DataFrame, keys: Sequence[str] = ("seed",),
     stacked = usable.select(*keys, "error", F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("score"))
         for c, name in scores.items()])).alias("_s")).select(*keys, "error", "_s.*")
-    if "rows_at_most" in sizing:
-        sizing = {**sizing, "rows_at_most": sizing["rows_at_most"] * len(scores)}
     aucs = metrics.roc_auc(stacked, [*keys, "name"], "score", is_error, "auc", **sizing)
     wide = aucs.groupBy(*keys).agg(*[
         F.max(F.when(F.col("name") == n, F.col("auc"))).alias(f"auc_{n}") for n in scores.values()])

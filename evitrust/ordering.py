@@ -4,8 +4,11 @@ A window over ``partitionBy(seed, fold)`` sends a whole fold to a single task. H
 column is first cut into value ranges at approximate quantiles (one mergeable-sketch pass, a
 fixed number of split points on the driver). Rows are then numbered inside (group, range), and the
 size of all earlier ranges of the group is added from a small table. Rows that share one very
-frequent value are cut further by the tie column. Below ``max_rows_per_range`` rows in total a
-plain window is used, since then no task can get more than that.
+frequent value are cut further by the tie column. When the largest group has at most
+``max_rows_per_range`` rows a plain window is used, since then no task gets more than that at once.
+
+``group_at_most`` is an upper bound on the largest group that the caller already knows (for example
+the row count of a base table); when it is small the group sizes are not counted.
 """
 
 from __future__ import annotations
@@ -35,19 +38,25 @@ def _quantile_grid(n_ranges: int) -> list[float]:
     return [i / n_ranges for i in range(1, n_ranges)]
 
 
-def range_cuts(df: DataFrame, value: str, tie: str | None = None,
-               max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-               rows_at_most: int | None = None) -> RangeCuts | None:
-    """Pick the cuts, or None when the table is small enough for a plain window.
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: a partially aggregated count, no group is collected."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-    ``rows_at_most`` is an upper bound the caller already knows; when it is small no job is started.
-    """
-    if rows_at_most is not None and rows_at_most <= max_rows_per_range:
-        return None
-    n_rows = df.count()
-    if n_rows <= max_rows_per_range:
-        return None
-    n_ranges = min(MAX_RANGES, -(-n_rows // max_rows_per_range) * 2)
+
+def groups_fit(df: DataFrame, keys: Sequence[str], max_rows_per_range: int = MAX_ROWS_PER_RANGE,
+               group_at_most: int | None = None) -> bool:
+    """Is every group small enough for one task?"""
+    if group_at_most is not None and group_at_most <= max_rows_per_range:
+        return True
+    return largest_group(df, keys) <= max_rows_per_range
+
+
+def range_cuts(df: DataFrame, value: str, tie: str | None = None,
+               max_rows_per_range: int = MAX_ROWS_PER_RANGE) -> RangeCuts:
+    """Pick the cuts of the order column from one sketch over the whole table."""
+    n_ranges = min(MAX_RANGES, -(-df.count() // max_rows_per_range) * 2)
     sketch = lambda d, c: [
         float(x) for x in d.agg(
             F.percentile_approx(F.col(c).cast("double"), _quantile_grid(n_ranges), 20 * n_ranges)
@@ -91,7 +100,7 @@ def cumulative(
     weights: Mapping[str, Column],
     tie: Sequence[str] = (),
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-    rows_at_most: int | None = None,
+    group_at_most: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``weights`` in order of (value, tie) within ``keys``.
 
@@ -105,17 +114,19 @@ def cumulative(
     work = df
     for name, weight in weights.items():
         work = work.withColumn(f"_w_{name}", weight)
-    found = range_cuts(work, value, tie[0] if tie else None, max_rows_per_range, rows_at_most)
     part = keys if keys else [F.lit(0)]
-    if found is None:
-        upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*part)
-        for name in names:
-            work = work.withColumn(name, F.sum(f"_w_{name}").over(upto))
-            work = work.withColumn(f"{name}_total", F.sum(f"_w_{name}").over(whole))
+    if groups_fit(df, keys, max_rows_per_range, group_at_most):
+        # both frames share one ordering, so one sort and one window operator do it
+        ordered = Window.partitionBy(*part).orderBy(*order)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        outs = {n: F.sum(f"_w_{n}").over(upto) for n in names}
+        outs.update({f"{n}_total": F.sum(f"_w_{n}").over(whole) for n in names})
+        work = work.withColumns(outs)
         return work.drop(*[f"_w_{n}" for n in names])
 
-    ranged = _with_ranges(work, value, tie[0] if tie else None, found)
+    first_tie = tie[0] if tie else None
+    ranged = _with_ranges(work, value, first_tie, range_cuts(work, value, first_tie, max_rows_per_range))
     range_cols = ["_rv", "_rp", "_rt"]
     sizes = ranged.groupBy(*keys, *range_cols).agg(
         *[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names]
@@ -152,13 +163,13 @@ def row_positions(
     position: str = "pos",
     total: str = "n_total",
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-    rows_at_most: int | None = None,
+    group_at_most: int | None = None,
 ) -> DataFrame:
     """1-based position by (value, tie) within ``keys`` plus the group size."""
     signed = -F.col(value) if descending else F.col(value)
     work = df.withColumn("_signed", signed.cast("double"))
     out = cumulative(work, keys, "_signed", {"_pos": F.lit(1).cast("bigint")}, tie, max_rows_per_range,
-                     rows_at_most)
+                     group_at_most)
     return (
         out.withColumn(position, F.col("_pos")).withColumn(total, F.col("_pos_total"))
         .drop("_signed", "_pos", "_pos_total")
@@ -171,7 +182,7 @@ def value_ranks(
     value: str,
     counts: Mapping[str, Column] | None = None,
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-    rows_at_most: int | None = None,
+    group_at_most: int | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value): its count ``n``, group size ``n_total``, average rank
     ``avg_rank``, and any extra conditional counts. Equal values are folded before they are shuffled."""
@@ -181,9 +192,9 @@ def value_ranks(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in extra.items()])
     )
-    if rows_at_most is None:
-        rows_at_most = df.count()
-    ranked = cumulative(folded, keys, value, {"_cum": F.col("n")}, (), max_rows_per_range, rows_at_most)
+    if group_at_most is None:
+        group_at_most = largest_group(df, keys)
+    ranked = cumulative(folded, keys, value, {"_cum": F.col("n")}, (), max_rows_per_range, group_at_most)
     return (
         ranked.withColumn("avg_rank", F.col("_cum") - (F.col("n") - 1) / F.lit(2.0))
         .withColumn("n_total", F.col("_cum_total"))
@@ -199,11 +210,23 @@ def with_average_rank(
     rank: str | None = None,
     percentile: str | None = None,
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-    rows_at_most: int | None = None,
+    group_at_most: int | None = None,
 ) -> DataFrame:
     """Add the average rank of ``value`` in its group and/or that rank divided by the group size.
     Null values get null ranks."""
-    ranks = value_ranks(df, keys, value, None, max_rows_per_range, rows_at_most)
+    if groups_fit(df, keys, max_rows_per_range, group_at_most):
+        part = keys if keys else [F.lit(0)]
+        ordered = Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last())
+        upto = F.count(value).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        size = F.count(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        avg_rank = F.when(F.col(value).isNotNull(), (F.rank().over(ordered) + upto) / F.lit(2.0))
+        outs = {}
+        if rank:
+            outs[rank] = avg_rank
+        if percentile:
+            outs[percentile] = F.when(F.col(value).isNotNull(), avg_rank / size)
+        return df.withColumns(outs)
+    ranks = value_ranks(df, keys, value, None, max_rows_per_range, group_at_most)
     cols = []
     if rank:
         cols.append(F.col("avg_rank").alias(rank))
@@ -218,14 +241,26 @@ def grouped_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-    rows_at_most: int | None = None,
+    group_at_most: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of the non-null values per group.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer; this
     form keeps only counts per distinct value and running totals, so a hot group is spread out.
     """
-    ranks = value_ranks(df, keys, value, None, max_rows_per_range, rows_at_most)
+    keys = list(keys)
+    if groups_fit(df, keys, max_rows_per_range, group_at_most):
+        part = keys if keys else [F.lit(0)]
+        present = df.where(F.col(value).isNotNull()).select(*keys, value)
+        ordered = Window.partitionBy(*part).orderBy(value)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranks = present.withColumns({
+            "n": F.lit(1),
+            "n_upto": F.row_number().over(ordered),
+            "n_total": F.count(F.lit(1)).over(whole),
+        })
+    else:
+        ranks = value_ranks(df, keys, value, None, max_rows_per_range, None)
     seen_before = F.col("n_upto") - F.col("n")
     aggs, outs = [], []
     for name, p in probabilities.items():
@@ -244,5 +279,5 @@ def grouped_quantiles(
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
                    max_rows_per_range: int = MAX_ROWS_PER_RANGE,
-                   rows_at_most: int | None = None) -> DataFrame:
-    return grouped_quantiles(df, keys, value, {out: 0.5}, max_rows_per_range, rows_at_most)
+                   group_at_most: int | None = None) -> DataFrame:
+    return grouped_quantiles(df, keys, value, {out: 0.5}, max_rows_per_range, group_at_most)

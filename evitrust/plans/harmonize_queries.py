@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from evitrust.functions import columns as C
@@ -279,7 +280,7 @@ def wide_to_long(t):
 @query("priority_rule_audit", f"""WITH {CELL_CTE} SELECT entity, channel, 'src_b' AS selected, source AS expected FROM grid
  WHERE channel='ch3' AND entity%4=0 AND source<>'src_b'""")
 def priority_rule_audit(t):
-    long_cells = cells(t)
+    long_cells = cells(t).persist(StorageLevel.DISK_ONLY)  # read twice
     w = harmonize.wide_features(long_cells, reference(t), CHANNELS)
     tampered = w.withColumn("source_ch3", F.when(F.col("entity") % 4 == 0, "src_b").otherwise(F.col("source_ch3")))
     return harmonize.priority_violations(tampered, long_cells, CHANNELS)
@@ -438,7 +439,7 @@ PAIR_CTE = CELL_CTE + """, pr AS (SELECT 'src_a_vs_src_b' AS comparison,'src_a'
 
 
 def paired(t: Tables) -> DataFrame:
-    return concordance.source_pairs(cells(t), PAIRS)
+    return concordance.source_pairs(cells(t), PAIRS).persist(StorageLevel.DISK_ONLY)  # read several times
 
 
 @query("fold_difference_concordance", f"""WITH {PAIR_CTE} SELECT pr.comparison, count(fd) AS n_pairs, round(median(fd),6) AS median_fold_diff, round(avg(fd),6) AS mean_fold_diff,
@@ -478,7 +479,7 @@ def top_mismatches(t):
  SELECT 'selected_vs_src_d' AS comparison, count(*) AS n_pairs, round(median(greatest(l,r)/least(l,r)),6) AS median_fold_diff,
  round(avg(greatest(l,r)/least(l,r)),6) AS mean_fold_diff, round(max(greatest(l,r)/least(l,r)),6) AS max_fold_diff FROM both_""")
 def selected_vs_source(t):
-    long_cells = cells(t)
+    long_cells = cells(t).persist(StorageLevel.DISK_ONLY)  # read twice
     chosen = harmonize.select_cells(long_cells).where("source IN ('src_a', 'src_b')").withColumn("source", F.lit("selected"))
     pool = chosen.select("entity", "channel", "source", "value").unionByName(
         long_cells.where("source = 'src_d'").select("entity", "channel", "source", "value"))

@@ -38,7 +38,7 @@ def plain_roles(t: Tables, **kw) -> DataFrame:
 def calibration_roles(t: Tables, n_splits: int = 3) -> DataFrame:
     # a table of groups, read once per fold
     return folds.calibration_roles(rows(t), outer_folds(t, n_splits=n_splits), "grp", "y_true", LABELS,
-                                   n_outer=n_splits, **sizing(t, copies=n_splits)).persist()
+                                   n_outer=n_splits, **sizing(t)).persist()
 
 
 @query("imputed_scaled_features", f"""WITH r AS ({ROWS}), tr AS (SELECT * FROM r WHERE row_id%3<>0), m AS (SELECT median(price) AS mp, median(balance) AS mb, median(level) AS ml FROM tr),
@@ -47,7 +47,7 @@ def calibration_roles(t: Tables, n_splits: int = 3) -> DataFrame:
  SELECT row_id, round((p-ap)/sp,6)+0 AS price, round((b-ab)/sb,6)+0 AS balance, round((l-al)/sl,6)+0 AS level FROM f, s""")
 def imputed_scaled_features(t):
     df = rows(t)
-    prep = M.fit_preparation(df.where("row_id % 3 <> 0"), [], NUMERIC, **sizing(t, copies=3))
+    prep = M.fit_preparation(df.where("row_id % 3 <> 0"), [], NUMERIC, **sizing(t))
     out = df.select("row_id", *[e.alias(c) for c, e in prep.numeric_columns().items()])
     return rounded(out, *NUMERIC, digits=6)
 

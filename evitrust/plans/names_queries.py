@@ -170,7 +170,7 @@ def order_groups(t: Tables) -> DataFrame:
 
 def order_folds(t: Tables) -> DataFrame:
     return folds.stratified_group_folds(order_groups(t), "grp", "y_true", LABELS, SEEDS,
-                                        **sizing(t, copies=len(SEEDS)))
+                                        **sizing(t))
 
 
 @query("stratified_group_folds", f"WITH {FOLD_CTE} SELECT seed, grp, fold FROM folds")
@@ -206,7 +206,7 @@ NESTED_CTE = f"""{FOLD_CTE}, tr AS (SELECT g.grp, g.major, g.size, f.seed, o.fol
  FROM inn i JOIN pick p ON i.seed=p.seed AND i.fold=p.fold UNION ALL SELECT seed, fold, grp, 'test' FROM folds""")
 def nested_calibration_split(t):
     return folds.calibration_roles(order_groups(t), order_folds(t), "grp", "y_true", LABELS,
-                                   **sizing(t, copies=4 * len(SEEDS)))
+                                   **sizing(t))
 
 
 @query("first_complete_fold", f"""WITH {FOLD_CTE}, fc AS (SELECT seed, fold, count(DISTINCT lab) AS k, string_agg(DISTINCT lab, '') AS labs FROM folds JOIN gc ON gc.grp=folds.grp GROUP BY 1,2),

@@ -18,9 +18,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = ROUND) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-def sizing(t: Tables, table: str = "orders", copies: int = 1) -> dict:
-    """Row bound of the base table (parquet footers only), passed to the ranking operators."""
-    return {"rows_at_most": getattr(t, table).count() * copies}
+def sizing(t: Tables, table: str = "orders") -> dict:
+    """No group has more rows than the base table (a count from parquet footers)."""
+    return {"group_at_most": getattr(t, table).count()}
 
 
 def predictions(t: Tables) -> DataFrame:
@@ -198,8 +198,7 @@ POLICY_ALPHA = "CASE WHEN policy LIKE 'combined@%' THEN TRY_CAST(replace(policy,
 
 
 def policy_curve(t: Tables) -> DataFrame:
-    n = sizing(t, copies=2 + len(trust.ALPHAS))
-    return trust.policy_curves(with_pct(t), LABELS, **n)
+    return trust.policy_curves(with_pct(t), LABELS, **sizing(t))
 
 
 @query("policy_alpha_sweep", f"""{POLICY_CURVE} SELECT alpha, round(b0,8) AS bal_acc_0, round(b1,8) AS bal_acc_10,
@@ -246,7 +245,7 @@ def policy_chosen_curves(t):
  WHERE c.policy='confidence' AND o.policy='ood'
  AND c.abstention_rate IN (CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE))""")
 def policy_comparison(t):
-    curve = trust.policy_curves(with_pct(t), LABELS, alphas=(), **sizing(t, copies=2))
+    curve = trust.policy_curves(with_pct(t), LABELS, alphas=(), **sizing(t))
     s = curves.summarize_curve(curve, ["policy"])
     out = trust.compare_policies(s.where("policy = 'confidence'"), s.where("policy = 'ood'"),
                                  "confidence", "ood")
@@ -268,7 +267,7 @@ VARIANT_CURVE = f"""WITH {PCT_CTE}, u0 AS (SELECT *, 0.5e0*ood_percentile + (1-0
 def variant_curve(t: Tables) -> DataFrame:
     df = with_pct(t).withColumn("mech_plausibility", 1 - F.col("missing_frac"))
     return trust.variant_curves(trust.with_trust_scores(df, 0.5), LABELS,
-                                **sizing(t, copies=len(trust.VARIANTS)))
+                                **sizing(t))
 
 
 @query("variant_summary", f"""{VARIANT_CURVE} SELECT v.coverage_target, v.variant, round(v.bm,8) AS balanced_accuracy_mean,
