@@ -184,11 +184,14 @@ def table_signatures(t):
 
 
 @query("cells_to_long", f"""WITH {SIG_CTE}, v AS (SELECT c.*, s.header_like, s.first_ FROM c JOIN sig s ON c.table_id=s.table_id WHERE NOT (s.header_like AND c.row_no=s.first_)),
- h AS (SELECT c.table_id, c.col_no, trim(c.cell_text) AS lab FROM c JOIN sig s ON c.table_id=s.table_id AND c.row_no=s.first_)
- SELECT v.table_id, v.row_no, v.col_no, n.cell_text AS name_raw, 'multiple' AS channel, CASE WHEN v.header_like THEN 'ic50' ELSE 'unknown' END AS value_type,
+ h AS (SELECT c.table_id, c.col_no, trim(c.cell_text) AS lab FROM c JOIN sig s ON c.table_id=s.table_id AND c.row_no=s.first_),
+ tr AS (SELECT table_id, CASE WHEN bool_or(contains(lower(lab),'ic50')) THEN 'ic50' WHEN bool_or(contains(lower(lab),'block') OR contains(lab,'%')) THEN 'pct_block'
+   WHEN bool_or(contains(lower(lab),'cmax')) THEN 'block_cmax' ELSE 'unknown' END AS vt, CASE WHEN bool_or(regexp_matches(lab,'uM|µM|um')) THEN 'uM'
+   WHEN bool_or(regexp_matches(lab,'nM')) THEN 'nM' WHEN bool_or(regexp_matches(lab,'mM')) THEN 'mM' END AS un FROM h GROUP BY 1)
+ SELECT v.table_id, v.row_no, v.col_no, n.cell_text AS name_raw, 'multiple' AS channel, CASE WHEN v.header_like THEN tr.vt ELSE 'unknown' END AS value_type,
  CAST(regexp_extract(v.cell_text,'[0-9]+') AS DOUBLE) AS value, CASE WHEN contains(v.cell_text,'>') THEN '>' WHEN contains(v.cell_text,'<') THEN '<' ELSE '=' END AS relation,
- CASE WHEN v.header_like THEN 'uM' END AS units, CASE WHEN regexp_matches(coalesce(h.lab,''),'[0-9]') THEN CAST(regexp_extract(replace(h.lab,',',''),'(-?[0-9]+\\.[0-9]+|-?[0-9]+)') AS DOUBLE) END AS "concentration_uM", coalesce(h.lab,'') AS header_label
- FROM v JOIN v n ON n.table_id=v.table_id AND n.row_no=v.row_no AND n.col_no=0 LEFT JOIN h ON h.table_id=v.table_id AND h.col_no=v.col_no
+ CASE WHEN v.header_like THEN tr.un END AS units, CASE WHEN regexp_matches(coalesce(h.lab,''),'[0-9]') THEN CAST(regexp_extract(replace(h.lab,',',''),'(-?[0-9]+\\.[0-9]+|-?[0-9]+)') AS DOUBLE) END AS "concentration_uM", coalesce(h.lab,'') AS header_label
+ FROM v JOIN tr ON tr.table_id=v.table_id JOIN v n ON n.table_id=v.table_id AND n.row_no=v.row_no AND n.col_no=0 LEFT JOIN h ON h.table_id=v.table_id AND h.col_no=v.col_no
  WHERE v.col_no>0 AND regexp_matches(v.cell_text,'[0-9]')""")
 def cells_to_long(t):
     return panel.cells_to_long(table_cells(t), ["hERG", "IKs"]).drop("value_raw", "channel_candidates")
