@@ -117,7 +117,7 @@ def replicate_groups(df: DataFrame, text: str, n_groups: str, means: str) -> Dat
     usable = with_means & (k > 0) & (F.size("_values") >= k)
     work = work.withColumn("_dp", split_by_means(
         F.when(usable, F.col("_values")), F.when(usable, F.transform(means, lambda m: m["mean"]))))
-    base = F.greatest(F.lit(1), F.floor(F.size("_values") / k).cast("int"))
+    base = F.greatest(F.lit(1), F.floor(F.size("_values") / F.when(k > 0, k)).cast("int"))
     no_numbers = F.array().cast("array<double>")
     equal = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(
         i * base < F.size("_values"), F.slice("_values", i * base + 1, base)).otherwise(no_numbers))
@@ -178,9 +178,9 @@ def parse_panels(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     cells = cells.withColumn("replicates", group)
     n = F.size("replicates")
     total = F.aggregate("replicates", F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(n > 0, total / F.when(n > 0, n))
-    squares = F.aggregate("replicates", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    reported = F.get("means", F.col("conc_no"))
+    cells = cells.withColumn("_mean", F.when(n > 0, total / F.when(n > 0, n)))  # a column, so lambdas do not recompute it
+    squares = F.aggregate("replicates", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
+    mean, reported = F.col("_mean"), F.get("means", F.col("conc_no"))
     return cells.select(
         doc, "block", "run", F.col("entity").alias("name_raw"), "channel", "method", "conc_no",
         F.col("conc.raw").alias("concentration_raw"), F.col("conc.unit").alias("concentration_unit"),

@@ -263,17 +263,27 @@ def assign_lines(t):
     return layout.assign_lines(t.sql(WORDS), 10.0).select("page", "word_id", "line_y")
 
 
-PANEL_WORDS = """SELECT part AS page, CAST(line*30 AS DOUBLE) AS y_center, CAST(0 AS DOUBLE) AS x_center, word AS text FROM (SELECT *, CASE line WHEN 1 THEN 'hERG' WHEN 2 THEN 'Nav1.5 late'
-   WHEN 3 THEN 'Nav1.5' WHEN 4 THEN 'Cav1.2' WHEN 5 THEN 'Kv1QT1' WHEN 6 THEN 'Kir21' ELSE 'Ito' END AS word FROM ({cells}) s) s2
- UNION ALL SELECT part, line*30+4e0, 300e0+200*c+5*k, CAST(c*20+b+2*h*k AS VARCHAR(9)) FROM ({cells}) s, (VALUES (0),(1),(2)) v(c), (VALUES (0),(1)) r(k)
- UNION ALL SELECT DISTINCT part, 2e0, 50e0, 'Current' FROM ({cells}) s
- UNION ALL SELECT DISTINCT part, 3e0, 300e0+200*c, CAST(size*(c+1) AS VARCHAR(9))||'µM' FROM ({cells}) s, (VALUES (0),(1),(2)) v(c)""".replace("{cells}", SOURCE_CELLS)
+def panel_words(t: Tables) -> DataFrame:
+    """One page per part: a header line with three concentrations, then a label and six numbers per channel."""
+    cells = t.sql(SOURCE_CELLS)
+    labels = ["hERG", "Nav1.5 late", "Nav1.5", "Cav1.2", "Kv1QT1", "Kir21", "Ito"]
+    box = lambda y, x, text: F.struct(y.cast("double").alias("y_center"), F.lit(float(x)).alias("x_center"),
+                                      text.cast("string").alias("text"))
+    y = F.col("line") * 30
+    label = box(y, 0, F.element_at(F.array(*[F.lit(w) for w in labels]), F.col("line")))
+    numbers = [box(y + 4, 300 + 200 * c + 5 * k, F.lit(c * 20) + F.col("b") + 2 * k * F.col("h"))
+               for c in range(3) for k in range(2)]
+    rows = cells.select(F.col("part").alias("page"), F.explode(F.array(label, *numbers)).alias("w"))
+    heads = [box(F.lit(2), 50, F.lit("Current"))] + [
+        box(F.lit(3), 300 + 200 * c, F.concat((F.col("size") * (c + 1)).cast("string"), F.lit("µM"))) for c in range(3)]
+    head = cells.select("part", "size").distinct().select(F.col("part").alias("page"), F.explode(F.array(*heads)).alias("w"))
+    return rows.unionByName(head).select("page", "w.*")
 
 
 @query("panel_from_words", f"""WITH s AS ({SOURCE_CELLS}) SELECT part AS page, CASE line WHEN 1 THEN 'hERG' WHEN 2 THEN 'Nav1.5_late' WHEN 3 THEN 'Nav1.5_peak' WHEN 4 THEN 'Cav1.2' WHEN 5 THEN 'IKs'
   WHEN 6 THEN 'IK1' ELSE 'Kv4.3' END AS channel, CAST(c AS INT) AS col_no, CAST(size*(c+1) AS DOUBLE) AS "concentration_uM", CAST(2 AS BIGINT) AS n, round(c*20+b+h+0e0,6) AS block_mean, round(h*1e0,6) AS block_sem
  FROM s, (VALUES (0),(1),(2)) v(c)""")
 def panel_from_words(t):
-    out = layout.panel_from_words(t.sql(PANEL_WORDS))
+    out = layout.panel_from_words(panel_words(t))
     return rounded(out.select("page", "channel", "col_no", "concentration_uM", "n", "block_mean", "block_sem"),
                    "block_mean", "block_sem", digits=6)

@@ -21,6 +21,14 @@ def typed_table_read(t):
     return there.unionByName(absent)
 
 
+@query("tree_read", """SELECT 'orders.parquet' AS file_name, o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS key_sum FROM {orders} GROUP BY 2""")
+def tree_read(t):
+    rows = tables.read_tree(t.spark, t.directory, ORDERS_SCHEMA, ["file_name"], "parquet",
+                            keep={"file_name": ["orders.parquet"]}, file_glob="orders*")
+    return rows.groupBy("file_name", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("key_sum"))
+
+
 BLOB = "CASE WHEN event_id % 17 = 0 THEN '{\"k\": \"n/a\"}' ELSE props END"
 
 
