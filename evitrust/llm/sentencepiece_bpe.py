@@ -87,26 +87,37 @@ class Codec:
         pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.whole = {p: [i] for i, p in enumerate(pieces)}
         self.bytes = [b"".join(map(back.__getitem__, p)) for p in pieces]
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, list[int]] = {}  # of chunks
+        self.pieces: dict[str, list[int]] = {}  # of pre-tokens in the byte alphabet
         self.cached = cached
 
+    def _names(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.to_names[32])
+        return piece.encode().decode("latin-1").translate(self.to_names)
+
     def _learn(self, chunks: list[str]) -> None:
-        cut = [[p.encode().decode("latin-1").translate(self.to_names) for p in self.pretokens(c)] for c in chunks]
-        open_ = [*{p for c in cut for p in c if p not in self.whole}]
-        found = dict(zip(open_, self.model.encode(open_, out_type=int, num_threads=1)))
-        whole = self.whole
+        # letters with at most a space before them are one pre-token
+        cut = [[c] if (c[1:] if c[0] == " " else c).isalpha() else self.pretokens(c) for c in chunks]
+        cut = [[self._names(p) for p in parts] for parts in cut]
+        known, whole = self.pieces, self.whole
+        for p in {p for parts in cut for p in parts if p not in known and p in whole}:
+            known[p] = whole[p]
+        new = [*{p for parts in cut for p in parts if p not in known}]
+        if new:
+            known.update(zip(new, self.model.encode(new, out_type=int, num_threads=1)))
         for chunk, parts in zip(chunks, cut):
-            ids = [i for p in parts for i in (whole.get(p) or found[p])]
-            self.cache[chunk] = ids
+            self.cache[chunk] = known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]]
 
     def encode(self, text: str) -> list[int]:
         if len(self.cache) > self.cached:
             self.cache.clear()
-        chunks = self.chunks(text)
-        new = set(chunks) - self.cache.keys()
+            self.pieces.clear()
+        chunks, cache = self.chunks(text), self.cache
+        new = [c for c in set(chunks) if c not in cache]
         if new:
-            self._learn([*new])
-        return list(chain.from_iterable(map(self.cache.__getitem__, chunks)))
+            self._learn(new)
+        return list(chain.from_iterable(map(cache.__getitem__, chunks)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
