@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evitrust.llm import progressive_dedup, rule_cascade, sentencepiece_bpe
+from evitrust.llm import bin_completion, progressive_dedup, rule_cascade, sentencepiece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,17 @@ def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = _table(spark, sf_dir, "documents")
+    return bin_completion.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op5_sentencepiece_bpe, op9_progressive_dedup)}
+QUERIES = {f.__name__: f for f in (op2_rule_cascade, op5_sentencepiece_bpe, op8_bin_completion, op9_progressive_dedup)}
 
 ORACLES = {
     "op9_progressive_dedup": """
