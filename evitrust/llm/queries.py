@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import bin_completion, progressive_dedup, rule_cascade, sentencepiece_bpe
+from evitrust.llm import bin_completion, language_id, progressive_dedup, rule_cascade, sentencepiece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.cascade(docs, measures=True).drop("n_rules")
 
 
+def remainder(divisor: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``divisor``: the folds that keep held-out rows out of learning."""
+    return F.crc32(F.col(id_col).cast("string")) % divisor
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs, remainder(4) != 2)
+    return language_id.predict(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = sentencepiece_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -32,7 +43,7 @@ def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op5_sentencepiece_bpe, op8_bin_completion, op9_progressive_dedup)}
+QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op8_bin_completion, op9_progressive_dedup)}
 
 ORACLES = {
     "op9_progressive_dedup": """
