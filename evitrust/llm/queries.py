@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import bin_completion, language_id, progressive_dedup, rule_cascade, sentencepiece_bpe
+from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return line_crf.predict(docs, model).withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+
+
 def op8_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = _table(spark, sf_dir, "documents")
@@ -43,7 +49,7 @@ def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op8_bin_completion, op9_progressive_dedup)}
+QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op7_line_crf, op8_bin_completion, op9_progressive_dedup)}
 
 ORACLES = {
     "op9_progressive_dedup": """

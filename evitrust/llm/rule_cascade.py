@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from evitrust.llm.words import hash_strings, lines_of, mix, shingles, slices, words_of
+from evitrust.llm.words import count_bytes, hash_strings, lines_of, mix, shingles, slices, words_of
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -38,24 +38,13 @@ class Texts:
         words, owner = self.words
         return np.bincount(owner, np.asarray(pc.utf8_length(words)), minlength=self.n).astype(np.int64)
 
-    def count_bytes(self, wanted: bytes) -> np.ndarray:
-        """How many of some ASCII characters each text holds."""
-        texts = pa.concat_arrays([self.texts]) if self.texts.offset else self.texts
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + self.n + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-        hit = np.zeros(256, bool)
-        hit[list(wanted)] = True
-        upto = np.concatenate([[0], np.cumsum(hit[data], dtype=np.int64)])
-        at = offsets.astype(np.int64) - offsets[0]
-        return upto[at[1:]] - upto[at[:-1]]
-
     @cached_property
     def n_symbols(self) -> np.ndarray:
-        return self.count_bytes(SYMBOLS)
+        return count_bytes(self.texts, SYMBOLS)
 
     @cached_property
     def n_marks(self) -> np.ndarray:
-        return self.count_bytes(b"!?")
+        return count_bytes(self.texts, b"!?")
 
     @cached_property
     def lines(self):
@@ -93,11 +82,11 @@ class Texts:
 
     @cached_property
     def n_upper(self) -> np.ndarray:
-        return self.count_bytes(bytes(range(65, 91)))
+        return count_bytes(self.texts, bytes(range(65, 91)))
 
     @cached_property
     def n_lower(self) -> np.ndarray:
-        return self.count_bytes(bytes(range(97, 123)))
+        return count_bytes(self.texts, bytes(range(97, 123)))
 
 
 @dataclass(frozen=True)

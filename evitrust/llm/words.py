@@ -52,6 +52,17 @@ def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return _split(pc.split_pattern(texts, "\n"))
 
 
+def count_bytes(texts: pa.Array, wanted: bytes) -> np.ndarray:
+    """How many of some ASCII characters each text holds."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    hit = np.zeros(256, bool)
+    hit[list(wanted)] = True
+    upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit[data], dtype=np.int32)])
+    at = offsets - offsets[0]
+    return (upto[at[1:]] - upto[at[:-1]]).astype(np.int64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
