@@ -221,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, order:
     slots = spark.createDataFrame(
         slot_rows(bin_completion(histogram, capacity, nodes)),
         "_length long, _from long, _to long, _sequence long, _each long, _at long")
-    salts = 1 + sum(histogram.values()) // rows_per_salt * 16
+    salts = 16 + sum(histogram.values()) // rows_per_salt
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").count().withColumn(
         "_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).drop("count")
