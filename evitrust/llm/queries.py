@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe
+from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe, winnow_lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +49,13 @@ def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op7_line_crf, op8_bin_completion, op9_progressive_dedup)}
+def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = winnow_lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op7_line_crf, op8_bin_completion, op9_progressive_dedup,
+                                   op10_winnow_lines)}
 
 ORACLES = {
     "op9_progressive_dedup": """
