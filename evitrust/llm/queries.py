@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe, winnow_lines
+from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = line_crf.train(docs, _table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -54,7 +58,7 @@ def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op7_line_crf, op8_bin_completion, op9_progressive_dedup,
+QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree, op7_line_crf, op8_bin_completion, op9_progressive_dedup,
                                    op10_winnow_lines)}
 
 ORACLES = {
