@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evitrust.llm.words import ODD, mix, slices, words_of
+from evitrust.llm.words import ODD, judged, mix, slices, words_of
 
 ORDER = 5
 TRAIN_DOCS = 2_500           # labelled rows for each language, about
@@ -230,29 +230,25 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str =
                      np.array([languages.index(r["lang"]) for r in scored]))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, lang_pred, score, cross_entropy, rejected) of every whole text.
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
+            columns: bool = False) -> DataFrame:
+    """Rows (id, lang_pred, score, cross_entropy, rejected) of every whole text; with ``columns`` all columns stay.
 
     Null texts and texts without a letter get ``und``, score 0 and are rejected. Other texts get the language of
     lowest cross-entropy; they are rejected if that is farther above the language's usual value than ``limit`` allows.
     Ties go to the first language by name. Without a model everything is ``und``. Repeated rows are judged one by one.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            n = batch.num_rows
-            lang, score, entropy, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-            if model:
-                bits, symbols = model.score(batch.column(1))
-                has = np.flatnonzero(np.asarray(pc.match_substring_regex(batch.column(1), r"\p{L}")) & (symbols > 0))
-                best = bits[has].argmin(axis=1)
-                lang[has] = np.array(model.languages, object)[best]
-                score[has] = _posterior(bits[has], model.temperature).max(axis=1, initial=0)
-                entropy[has] = bits[has, best] / symbols[has]
-                rejected[has] = (entropy[has] - model.mean[best]) * np.sqrt(symbols[has]) / model.spread[best] > model.limit
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)],
-                [id_col, "lang_pred", "score", "cross_entropy", "rejected"])
-
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, "
-                                "cross_entropy double, rejected boolean")
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        n = len(texts)
+        lang, score, entropy, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        if model:
+            bits, symbols = model.score(texts)
+            has = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, r"\p{L}")) & (symbols > 0))
+            best = bits[has].argmin(axis=1)
+            lang[has] = np.array(model.languages, object)[best]
+            score[has] = _posterior(bits[has], model.temperature).max(axis=1, initial=0)
+            entropy[has] = bits[has, best] / symbols[has]
+            rejected[has] = (entropy[has] - model.mean[best]) * np.sqrt(symbols[has]) / model.spread[best] > model.limit
+        return [pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)]
+
+    return judged(docs, judge, "lang_pred string, score double, cross_entropy double, rejected boolean", id_col, text_col, columns)

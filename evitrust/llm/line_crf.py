@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evitrust.llm.words import count_bytes, lines_of, slices, words_of
+from evitrust.llm.words import count_bytes, judged, lines_of, slices, words_of
 
 TRAIN_DOCS = 4_000     # labelled rows to learn from, about
 TRAIN_CHARS = 100_000  # longer texts are not used for learning
@@ -169,28 +169,24 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
-            threshold: float = THRESHOLD, keep_lines: bool = False) -> DataFrame:
-    """Rows (id, score, predicted, n_lines, n_bad_lines[, line_scores]) of every whole text.
+            threshold: float = THRESHOLD, keep_lines: bool = False, columns: bool = False) -> DataFrame:
+    """Rows (id, score, predicted, n_lines, n_bad_lines[, line_scores]) of every whole text; with ``columns`` all
+    columns stay.
 
     An empty or null text is one blank line and is scored like any other. Without a model every score is 0.5.
     Repeated rows are judged one by one. ``keep_lines`` adds P(good) of each line.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            n = batch.num_rows
-            if model:
-                p, owner, weight = model.lines(batch.column(1))
-                score = model.calibrated(np.bincount(owner, p * weight, minlength=n) / np.bincount(owner, weight, minlength=n))
-            else:
-                _, owner = lines_of(batch.column(1))
-                p, score = np.full(len(owner), 0.5), np.full(n, 0.5)
-            columns = [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)),
-                       pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, p < 0.5, minlength=n).astype(np.int64))]
-            if keep_lines:
-                columns.append(pa.array(np.split(p, np.searchsorted(owner, np.arange(1, n))), pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "score", "predicted", "n_lines", "n_bad_lines"]
-                                             + ["line_scores"] * keep_lines)
-
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double, predicted int, n_lines long, "
-                                "n_bad_lines long" + ", line_scores array<double>" * keep_lines)
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        n = len(texts)
+        if model:
+            p, owner, weight = model.lines(texts)
+            score = model.calibrated(np.bincount(owner, p * weight, minlength=n) / np.bincount(owner, weight, minlength=n))
+        else:
+            _, owner = lines_of(texts)
+            p, score = np.full(len(owner), 0.5), np.full(n, 0.5)
+        out = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(np.bincount(owner, minlength=n)),
+               pa.array(np.bincount(owner, p < 0.5, minlength=n).astype(np.int64))]
+        return out + [pa.array(np.split(p, np.searchsorted(owner, np.arange(1, n))), pa.list_(pa.float64()))] * keep_lines
+
+    fields = "score double, predicted int, n_lines long, n_bad_lines long" + ", line_scores array<double>" * keep_lines
+    return judged(docs, judge, fields, id_col, text_col, columns)

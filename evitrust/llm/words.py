@@ -6,12 +6,13 @@ whole texts; a batch is cut by bytes, so its memory is bounded by ``SLICE_BYTES`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 SLICE_BYTES = 16 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,3 +96,21 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray,
 def starts(owner: np.ndarray, n: int) -> np.ndarray:
     """n + 1 offsets of a sorted owner array."""
     return np.searchsorted(owner, np.arange(n + 1))
+
+
+def judged(docs: DataFrame, judge: Callable[[pa.Array], list[pa.Array]], fields: str, id_col: str, text_col: str,
+           columns: bool) -> DataFrame:
+    """Each row with the verdict of its whole text: ``judge`` gets texts (null as empty) and gives one array a field.
+
+    Without ``columns`` only the id stands before the verdict, else all columns but those that a field replaces.
+    """
+    verdict = T._parse_datatype_string(fields)
+    keep = [c for c in docs.columns if c not in verdict.names] if columns else [id_col]
+    rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            found = judge(batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *found], [*keep, *verdict.names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *verdict.fields]))
