@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import bin_completion, language_id, line_crf, progressive_dedup, rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines
+from evitrust.llm import (bin_completion, deleted_interpolation, language_id, line_crf, progressive_dedup, rule_cascade,
+                          sentencepiece_bpe, signature_tree, winnow_lines)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = deleted_interpolation.score(docs, remainder(10) != 0)
+    return scored.withColumn("held_out", F.coalesce(remainder(10) == 0, F.lit(False)))
+
+
 def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return rule_cascade.cascade(docs, measures=True).drop("n_rules")
@@ -58,8 +65,9 @@ def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree, op7_line_crf, op8_bin_completion, op9_progressive_dedup,
-                                   op10_winnow_lines)}
+QUERIES = {f.__name__: f for f in (
+    op1_deleted_interpolation, op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree, op7_line_crf,
+    op8_bin_completion, op9_progressive_dedup, op10_winnow_lines)}
 
 ORACLES = {
     "op9_progressive_dedup": """
