@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import (bin_completion, deleted_interpolation, language_id, line_crf, progressive_dedup, rule_cascade,
-                          sentencepiece_bpe, signature_tree, winnow_lines)
+from evitrust.llm import (bin_completion, deleted_interpolation, language_id, license_scan, line_crf, progressive_dedup,
+                          rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % divisor
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs, remainder(4) != 2)
@@ -66,8 +71,8 @@ def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_deleted_interpolation, op2_rule_cascade, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree, op7_line_crf,
-    op8_bin_completion, op9_progressive_dedup, op10_winnow_lines)}
+    op1_deleted_interpolation, op2_rule_cascade, op3_license_scan, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree,
+    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines)}
 
 ORACLES = {
     "op9_progressive_dedup": """
