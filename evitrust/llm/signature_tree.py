@@ -32,6 +32,7 @@ SAMPLE = 16                  # one text in so many is used to find frequent toke
 FREQUENT, MOST_FREQUENT = 4, 1_000_000
 BUCKET_ROWS = 250_000
 BROADCAST_ROWS = 500_000
+SLICE = 4 << 20              # bytes of text whose sets are made at once
 
 
 def token_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, words: int) ->
     """Sorted tokens that several texts of the hashed sample hold, at most ``MOST_FREQUENT``. A wrong or missing token
     costs time only: any order of the tokens gives the same links."""
     def run(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             keys, _ = token_sets(batch.column(0), words)
             keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["token", "n"])
@@ -94,7 +95,7 @@ def document_sets(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col:
     """Rows (id, n, cls, prefix): prefix only for the first text of a class in its task, and for no empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             keys, cut = token_sets(batch.column(1), words)
             size = cut[1:] - cut[:-1]
             cls = class_of(keys, cut)
@@ -238,7 +239,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
         ids = F.broadcast(ids)
 
     def run(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             keys, cut = token_sets(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(class_of(keys, cut).view(np.int64)), _lists(keys, cut)], ["cls", "tokens"])
     texts = docs.join(ids, F.col(id_col) == F.col("_rep"), "left_semi").select(text_col)
