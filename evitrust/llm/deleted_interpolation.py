@@ -23,7 +23,8 @@ from evitrust.llm.storage import written
 from evitrust.llm.words import ODD, hash_strings, mix, slices, words_of
 
 END = np.uint64(0x5851F42D4C957F2D)
-BUCKET_KEYS = 1_500_000      # keys that meet in one task, about
+BLOCK_BYTES = 8 << 20         # text of a block, about
+BUCKET_KEYS = 1_000_000      # keys that meet in one task, about
 BUCKETS = 25                 # of history frequency: unseen, 1, 2-3, 4-7, ...
 STEPS_PER_OCTAVE = 8         # resolution of probability ratios in the learning statistics
 ITERATIONS = 200
@@ -69,7 +70,7 @@ def token_blocks(docs: DataFrame, learns: Column, develops: Column, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, BLOCK_BYTES):
             n = batch.num_rows
             words, owner = words_of(batch.column(1), lower=True)
             coded = words.dictionary_encode()

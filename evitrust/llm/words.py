@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,6 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def _split(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
