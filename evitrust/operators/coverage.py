@@ -135,11 +135,11 @@ def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_profile(df: DataFrame, column: str, first: int = 10) -> DataFrame:
-    """Min, max, distinct count and the lowest distinct values (a report of ``first`` entries)."""
+    """Min, max, distinct count and the lowest distinct values (a report of ``first`` entries), of the column's type."""
     distinct = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
     stats = distinct.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("n_distinct"))
     lowest = distinct.orderBy("v").limit(first).agg(
-        F.array_join(F.sort_array(F.collect_list(F.col("v").cast("bigint"))), "|").alias("first_values"))
+        F.sort_array(F.collect_list("v")).alias("first_values"))
     return stats.join(F.broadcast(lowest))  # two single rows
 
 

@@ -31,20 +31,21 @@ def value_summary(df: DataFrame, keys: Sequence[str], value: str, prefix: str =
                   zero_std: bool = True, iqr: bool = True, **sizing) -> DataFrame:
     """n, mean, std, median, iqr, min and max per key. ``zero_std`` reports 0 for a single value."""
     std = F.stddev_samp(value)
-    basic = df.groupBy(*keys).agg(
-        F.count(value).alias(f"{prefix}n"),
-        F.avg(value).alias(f"{prefix}mean"),
-        (F.when(F.count(value) == 1, F.lit(0.0)).otherwise(std) if zero_std else std).alias(f"{prefix}std"),
-        F.min(value).alias(f"{prefix}min"),
-        F.max(value).alias(f"{prefix}max"),
-    )
+    basic = {
+        f"{prefix}n": F.count(value),
+        f"{prefix}mean": F.avg(value),
+        f"{prefix}std": F.when(F.count(value) == 1, F.lit(0.0)).otherwise(std) if zero_std else std,
+        f"{prefix}min": F.min(value),
+        f"{prefix}max": F.max(value),
+    }
     probabilities = {f"{prefix}median": 0.5}
     if iqr:
         probabilities.update({"_q1": 0.25, "_q3": 0.75})
-    q = ordering.grouped_quantiles(df, keys, value, probabilities, **sizing)
+    q = ordering.grouped_quantiles(df, keys, value, probabilities, also=basic, **sizing)
     if iqr:
         q = q.withColumn(f"{prefix}iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
-    return basic.join(q, list(keys), "left")
+    last = [f"{prefix}median"] + [f"{prefix}iqr"] * iqr
+    return q.select(*keys, *basic, *last)
 
 
 def entity_summary(df: DataFrame, entity: str, names: Sequence[str], measures: Mapping[str, str],
@@ -64,9 +65,9 @@ def source_cells(df: DataFrame, keep: Column, value: str, source: str, prio: int
                  entity: str = "entity", channel: str = "channel", **sizing) -> DataFrame:
     """Median and count per cell of the rows of one source that pass its filter."""
     rows = df.where(keep & F.col(value).isNotNull())
-    counts = rows.groupBy(entity, channel).agg(F.count(F.lit(1)).alias("n_records"))
-    medians = ordering.grouped_median(rows, [entity, channel], value, "value", **sizing)
-    return counts.join(medians, [entity, channel]).select(
+    found = ordering.grouped_quantiles(rows.withColumn("_v", F.col(value)), [entity, channel], "_v", {"value": 0.5},
+                                       also={"n_records": F.count(F.lit(1))}, **sizing)
+    return found.select(
         F.col(entity).alias("entity"), F.col(channel).alias("channel"), F.lit(source).alias("source"),
         F.lit(prio).alias("prio"), "value", "n_records", F.lit(strict).alias("is_strict"))
 
@@ -76,18 +77,19 @@ def cells_by_source(df: DataFrame, value: str, strict: Column, entity: str = "en
     """Long cell table when the source is a column: all sources in one job."""
     rows = df.where(F.col(value).isNotNull())
     keys = [entity, channel, source, prio]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"),
-                                     F.bool_and(strict).alias("is_strict"))
-    medians = ordering.grouped_median(rows, keys, value, "value", **sizing)
-    return counts.join(medians, keys).select(
+    found = ordering.grouped_quantiles(rows.withColumn("_v", F.col(value)).withColumn("_strict", strict), keys, "_v", {"value": 0.5},
+                                       also={"n_records": F.count(F.lit(1)), "is_strict": F.bool_and("_strict")}, **sizing)
+    return found.select(
         F.col(entity).alias("entity"), F.col(channel).alias("channel"), F.col(source).alias("source"),
         F.col(prio).alias("prio"), "value", "n_records", "is_strict")
 
 
 def select_cells(cells: DataFrame) -> DataFrame:
-    """Best available source per cell (lowest prio), as a partial aggregate without a sort."""
+    """Best available source per cell (lowest prio), as a partial aggregate without a sort. A relation (exact, or
+    beyond a limit) stays with its cell where the cells have one."""
+    carried = ["value", "source", "n_records", "is_strict", *(["relation"] if "relation" in cells.columns else [])]
     picked = cells.where(F.col("value").isNotNull()).groupBy("entity", "channel").agg(
-        F.min_by(F.struct("value", "source", "n_records", "is_strict"), F.struct("prio", "source")).alias("s"))
+        F.min_by(F.struct(*carried), F.struct("prio", "source")).alias("s"))
     return picked.select("entity", "channel", "s.*")
 
 
@@ -95,10 +97,11 @@ def selected_cells_of(cells: DataFrame, reference: DataFrame, channels: Sequence
     """Every (reference entity, channel) with its selected source; ``missing`` where no source has it."""
     frame = reference.select("entity").distinct().withColumn("channel", _per_channel(channels))
     joined = frame.join(select_cells(cells), ["entity", "channel"], "left")
+    relation = ["relation"] if "relation" in cells.columns else []
     return joined.select(
         "entity", "channel", "value", F.coalesce("source", F.lit("missing")).alias("source"),
         F.coalesce("n_records", F.lit(0).cast("bigint")).alias("n_records"),
-        F.coalesce("is_strict", F.lit(False)).alias("is_strict"))
+        F.coalesce("is_strict", F.lit(False)).alias("is_strict"), *relation)
 
 
 WIDE_MEASURES = {"ic50_uM": "value", "source": "source", "n_records": "n_records", "is_strict": "is_strict"}

@@ -6,6 +6,7 @@ is never larger than one string value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -352,35 +353,22 @@ def candidate_entities(cells: DataFrame, key: str = "table_id", longest: int = 4
 
 # --- term mentions --------------------------------------------------------------------------
 
-MANY_TERMS = 64
-
-
-def _mentions_udf(terms: Sequence[str]):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-        automaton = ahocorasick.Automaton()
-        for term in terms:
-            automaton.add_word(term, term)
-        automaton.make_automaton()
-        for texts in batches:
-            yield pd.Series([sorted({m for _, m in automaton.iter(t)}) if t else [] for t in texts], dtype=object)
-    return find
-
-
 def term_mentions(docs: DataFrame, terms: Sequence[str], doc: str = "doc_id", text: str = "text",
                   squeeze: bool = False) -> DataFrame:
     """(doc, term) for each term found in the whole text: case ignored, or letters and digits only.
 
-    The term list is an argument, so it fits the driver; long lists use one automaton per task.
+    ``squeeze`` takes letters and digits of the text and of the terms and reports the term as it was given; otherwise a
+    term is reported in lower case. The term list is an argument, so it fits the driver; its length changes nothing.
     """
+    plain = lambda x: re.sub("[^a-z0-9]+", "", x.lower()) if squeeze else x.lower()
+    wanted = sorted({(t if squeeze else t.lower(), plain(t)) for t in terms if plain(t)})
     low = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "") if squeeze else F.lower(text)
-    wanted = sorted({t.lower() for t in terms if t})
-    if len(wanted) <= MANY_TERMS:
-        found = F.array_compact(F.array(*[F.when(F.col("_low").contains(t), F.lit(t)) for t in wanted]))
-    else:
-        found = _mentions_udf(wanted)(F.col("_low"))
-    return docs.select(doc, low.alias("_low")).select(doc, F.explode(found).alias("term"))
+    if not wanted:
+        return docs.select(doc, F.lit("").alias("term")).where("false")
+    pairs = F.arrays_zip(F.lit([t for t, _ in wanted]).alias("term"), F.lit([k for _, k in wanted]).alias("key"))
+    found = F.filter(F.col("_pairs"), lambda p: F.contains(F.col("_low"), p["key"]))
+    return docs.select(doc, low.alias("_low"), pairs.alias("_pairs")).select(
+        doc, F.explode(found).alias("_hit")).select(doc, F.col("_hit.term").alias("term"))
 
 
 def term_coverage(mentions: DataFrame, terms: Sequence[str], doc: str = "doc_id") -> DataFrame:

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evitrust.functions.names import DEFAULT_RULES, NameRules, identity_alias, parent_name
 
@@ -47,17 +43,12 @@ def resolve_names(queries: DataFrame, name: str, keys: DataFrame, rules: NameRul
     return queries.withColumn("query_parent", key).join(keys, "query_parent", "left")
 
 
-def _blocks(candidates: DataFrame, name: str, per_block: int) -> DataFrame:
-    """Distinct names of one length in arrays of about ``per_block`` names."""
+def _block_counts(candidates: DataFrame, name: str, per_block: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct names with their length, and how many blocks of about ``per_block`` names each length gets."""
     names = candidates.select(F.col(name).alias("cand")).where(F.col("cand") != "").distinct()
     names = names.withColumn("len", F.length("cand"))
-    sizes = names.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(per_block))).alias("_k"))
-    return (
-        names.join(sizes, "len")
-        .groupBy("len", F.pmod(F.xxhash64("cand"), F.col("_k")).alias("_b"))
-        .agg(F.sort_array(F.collect_list("cand")).alias("cands"))
-        .select("len", "cands")
-    )
+    sizes = names.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(per_block))).cast("int").alias("_k"))
+    return names, sizes
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -65,62 +56,26 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def _ratio_top(k: int, cutoff: float):
-    """Per batch of (query, names of one block): the k best sequence-matcher ratios of each row."""
-    schema = T.ArrayType(T.StructType([T.StructField("neg", T.DoubleType()), T.StructField("cand", T.StringType())]))
-
-    @F.pandas_udf(schema)
-    def top(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for queries, blocks in parts:
-            out = []
-            for query, names in zip(queries, blocks):
-                best: list[tuple[float, str]] = []
-                matcher = difflib.SequenceMatcher()
-                for cand in names:
-                    matcher.set_seqs(query, cand)
-                    floor = max(cutoff, -best[-1][0] if len(best) == k else 0.0)
-                    # the quick ratios are upper bounds, so nothing that could enter is skipped
-                    if round(matcher.real_quick_ratio(), 4) < floor or round(matcher.quick_ratio(), 4) < floor:
-                        continue
-                    score = round(matcher.ratio(), 4)
-                    if score >= cutoff:
-                        best = sorted([*best, (-score, cand)])[:k]
-                out.append([{"neg": n, "cand": c} for n, c in best])
-            yield pd.Series(out)
-
-    return top
-
-
 def closest_names(queries: DataFrame, query: str, candidates: DataFrame, candidate: str, k: int = 5,
-                  cutoff: float = 0.0, metric: str = "levenshtein",
-                  names_per_block: int = NAMES_PER_BLOCK) -> DataFrame:
+                  cutoff: float = 0.6, names_per_block: int = NAMES_PER_BLOCK) -> DataFrame:
     """The k most similar candidate names of each distinct query name, exact, ties in name order.
 
-    Candidates are packed into bounded arrays of equal-length names. A query meets only blocks whose
-    length can reach the cutoff, keeps k names per block inside one expression (pairs never become
-    rows), and the short lists are merged. ``metric`` is ``levenshtein`` (all JVM) or ``ratio`` (the
-    sequence-matcher ratio, rounded to 4 digits).
+    Candidates are packed into bounded arrays of equal-length names. A query meets only blocks whose length can reach
+    the cutoff, under keys of (length, block), so the work of a frequent length is spread over its blocks. It keeps k
+    names per block inside one expression (pairs never become rows), and the short lists are merged. A cutoff of zero
+    visits every block. The similarity is 1 - edit distance / longer length.
     """
-    if metric not in ("levenshtein", "ratio"):
-        raise ValueError(f"unknown metric {metric}")
-    blocks = _blocks(candidates, candidate, names_per_block)
+    names, sizes = _block_counts(candidates, candidate, names_per_block)
+    sizes = F.broadcast(sizes)  # one row for each length of a name
+    blocks = names.join(sizes, "len").groupBy("len", F.pmod(F.xxhash64("cand"), F.col("_k")).cast("int").alias("block")).agg(
+        F.collect_list("cand").alias("cands"))
     q = queries.select(F.col(query).alias("query")).where(F.col("query") != "").distinct()
     n = F.length("query")
-    # levenshtein: similarity <= shorter/longer; ratio: similarity <= 2*shorter/(sum of lengths)
-    share = F.lit(cutoff if metric == "levenshtein" else (cutoff / (2 - cutoff)))
-    lengths = blocks.agg(F.min("len").alias("_lo"), F.max("len").alias("_hi"))
-    lo = F.greatest(F.floor(n * share).cast("int"), F.col("_lo"))
-    hi = F.least(F.when(share > 0, F.ceil(n / F.when(share > 0, share)).cast("int")).otherwise(F.col("_hi")),
-                 F.col("_hi"))
-    routed = q.join(F.broadcast(lengths)).withColumn(  # a single row: shortest and longest candidate
-        "len", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
-    met = routed.select("query", "len").join(blocks, "len")
-    if metric == "levenshtein":
-        scored = F.transform("cands", lambda c: F.struct(
-            (-levenshtein_similarity(F.col("query"), c)).alias("neg"), c.alias("cand")))
-        short = F.slice(F.array_sort(F.filter(scored, lambda s: -s["neg"] >= cutoff)), 1, k)
-    else:
-        short = _ratio_top(k, cutoff)(F.col("query"), F.col("cands"))
+    reach = (F.least(n, F.col("len")) >= F.greatest(n, F.col("len")) * F.lit(float(cutoff)) - 1e-9)
+    routed = q.join(sizes, reach).select("query", "len", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("block"))
+    met = routed.join(blocks, ["len", "block"])
+    scored = F.transform("cands", lambda c: F.struct((-levenshtein_similarity(F.col("query"), c)).alias("neg"), c.alias("cand")))
+    short = F.slice(F.array_sort(F.filter(scored, lambda s: -s["neg"] >= cutoff)), 1, k)
     pairs = met.select("query", F.explode(short).alias("s")).select("query", "s.*")
     w = Window.partitionBy("query").orderBy("neg", "cand")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

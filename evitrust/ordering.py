@@ -1,11 +1,11 @@
 """Ranks, running totals and exact quantiles that never need one task per group.
 
-A window over ``partitionBy(seed, fold)`` sends a whole fold to a single task. Here the order
-column is first cut into value ranges at approximate quantiles (one mergeable-sketch pass, a
-fixed number of split points on the driver). Rows are then numbered inside (group, range), and the
-size of all earlier ranges of the group is added from a small table. Rows that share one very
-frequent value are cut further by the tie column. When the largest group has at most
-``max_rows_per_range`` rows a plain window is used, since then no task gets more than that at once.
+A window over ``partitionBy(seed, fold)`` sends a whole fold to a single task. Where the largest group has more than
+``max_rows_per_range`` rows, the order columns are cut into ranges instead: rows are numbered inside (group, range), and
+the size of all earlier ranges of the group is added from a small table. Cuts are tuples of (value, ties) taken from a
+hashed sample, and rows are compared with them as tuples, so nulls come first, NaN comes last, ties of any type
+(text included) split a frequent value, and both ways give the same rows. The number of ranges grows with the table:
+beyond ``CUTS`` the ranges are cut a second time, each by cuts of its own.
 
 ``group_at_most`` is an upper bound on the largest group that the caller already knows (for example
 the row count of a base table); when it is small the group sizes are not counted.
@@ -13,29 +13,13 @@ the row count of a base table); when it is small the group sizes are not counted
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4_000
-_INF = float("inf")
-
-
-@dataclass
-class RangeCuts:
-    """Split points of the order column, and of the tie column for very frequent values."""
-
-    cuts: list[float] = field(default_factory=list)
-    frequent: list[float] = field(default_factory=list)
-    tie_cuts: list[float] = field(default_factory=list)
-
-
-def _quantile_grid(n_ranges: int) -> list[float]:
-    return [i / n_ranges for i in range(1, n_ranges)]
+CUTS = 1_023        # cuts that one binary search looks through, a power of two less one
+OVERSAMPLE = 16     # sampled rows for each cut
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -53,44 +37,44 @@ def groups_fit(df: DataFrame, keys: Sequence[str], max_rows_per_range: int = MAX
     return largest_group(df, keys) <= max_rows_per_range
 
 
-def range_cuts(df: DataFrame, value: str, tie: str | None = None,
-               max_rows_per_range: int = MAX_ROWS_PER_RANGE) -> RangeCuts:
-    """Pick the cuts of the order column from one sketch over the whole table."""
-    n_ranges = min(MAX_RANGES, -(-df.count() // max_rows_per_range) * 2)
-    sketch = lambda d, c: [
-        float(x) for x in d.agg(
-            F.percentile_approx(F.col(c).cast("double"), _quantile_grid(n_ranges), 20 * n_ranges)
-        ).first()[0] or []
-    ]
-    points = sketch(df, value)
-    seen = Counter(points)
-    frequent = sorted(v for v, n in seen.items() if n > 1)
-    tie_cuts: list[float] = []
-    if frequent and tie is not None:
-        tie_cuts = sorted(set(sketch(df.where(F.col(value).isin(frequent)), tie)))
-    return RangeCuts(sorted(seen), frequent, tie_cuts)
-
-
-def _cut(df: DataFrame, source: str, cuts: Sequence[float], out: str) -> DataFrame:
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=[-_INF, *cuts, _INF], inputCol=source, outputCol=out).transform(df)
-
-
-def _with_ranges(df: DataFrame, value: str, tie: str | None, found: RangeCuts) -> DataFrame:
-    """Add range columns ``_rv`` (value range), ``_rp`` (0 = the frequent value itself, 1 = the rest
-    of the range) and ``_rt`` (tie range inside a frequent value)."""
-    df = df.withColumn("_rk", F.col(value).cast("double"))
-    df = _cut(df, "_rk", found.cuts, "_rv")
-    is_point = F.col("_rk").isin(found.frequent) if found.frequent else F.lit(False)
-    df = df.withColumn("_rp", F.when(is_point, 0).otherwise(1))
-    if tie is not None and found.tie_cuts:
-        df = df.withColumn("_rk", F.col(tie).cast("double"))
-        df = _cut(df, "_rk", found.tie_cuts, "_rt")
-        df = df.withColumn("_rt", F.when(F.col("_rp") == 0, F.col("_rt")).otherwise(0.0))
-    else:
-        df = df.withColumn("_rt", F.lit(0.0))
-    return df.drop("_rk")
+def _search(cuts: Column, row: Column) -> Column:
+    """How many of at most ``CUTS`` sorted cuts are smaller than the row, by halving."""
+    halves = [(CUTS + 1) >> (i + 1) for i in range((CUTS + 1).bit_length() - 1)]
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0),
+                       lambda low, half: F.when(F.get(cuts, low + half - 1) < row, low + half).otherwise(low))
+
+
+def _spread(sample: DataFrame, n: int, group: Sequence[str] = ()) -> DataFrame:
+    """One row of sorted ``cuts`` (for each group): every so-many-th of the sampled tuples ``_o``."""
+    part = Window.partitionBy(*(group or [F.lit(0)]))
+    numbered = sample.withColumn("_i", F.row_number().over(part.orderBy("_o"))).withColumn("_n", F.count(F.lit(1)).over(part))
+    step = F.greatest(F.ceil(F.col("_n") / (n + 1)), F.lit(1))
+    picked = numbered.where((F.col("_i") % step == 0) & (F.col("_i") < F.col("_n")))
+    return picked.groupBy(*group).agg(F.array_sort(F.collect_set("_o")).alias("cuts"))
+
+
+def with_ranges(df: DataFrame, order: Sequence[str], max_rows_per_range: int = MAX_ROWS_PER_RANGE) -> DataFrame:
+    """Add ``_range`` and ``_part``: rows in order of the columns ``order`` have rising (_range, _part).
+
+    A hashed sample of ``OVERSAMPLE`` rows a cut gives the cuts, at most ``CUTS`` in each of the two levels; they are
+    one broadcast row, and beyond that one broadcast row of cuts for each first range.
+    """
+    ranges = 2 * -(-df.count() // max_rows_per_range)
+    first = min(ranges, CUTS)
+    second = min(-(-ranges // (first + 1)) - 1, CUTS)
+    out = df.withColumn("_o", F.struct(*order))
+    wanted = OVERSAMPLE * (first + 1) * (second + 1)
+    total = max(ranges * max_rows_per_range // 2, 1)
+    share = min(1_000_000, max(wanted * 1_000_000 // total, 1) * 2)
+    sample = out.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).select("_o")
+    one = F.broadcast(_spread(sample, first).withColumnRenamed("cuts", "_cuts"))
+    out = out.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).drop("_cuts")
+    if second < 1:
+        return out.withColumn("_part", F.lit(0)).drop("_o")
+    inner = sample.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).select("_range", "_o")
+    own = F.broadcast(_spread(inner, second, ["_range"]).withColumnRenamed("_range", "_r"))
+    return out.join(own, F.col("_range") == F.col("_r"), "left").withColumn(
+        "_part", F.coalesce(_search(F.col("cuts"), F.col("_o")), F.lit(0))).drop("cuts", "_r", "_o")
 
 
 def cumulative(
@@ -105,8 +89,8 @@ def cumulative(
     """Inclusive running sums of ``weights`` in order of (value, tie) within ``keys``.
 
     For each ``name -> weight`` the result has ``name`` (running sum) and ``name_total`` (sum over the
-    group). ``value`` and the first tie column must be numeric and not null; (value, tie) should be
-    unique within the group.
+    group). Nulls of ``value`` and of the ties come first, NaN comes last; (value, tie) should be unique within the
+    group, columns may have any type that can be ordered.
     """
     keys, tie = list(keys), list(tie)
     names = list(weights)
@@ -125,9 +109,8 @@ def cumulative(
         work = work.withColumns(outs)
         return work.drop(*[f"_w_{n}" for n in names])
 
-    first_tie = tie[0] if tie else None
-    ranged = _with_ranges(work, value, first_tie, range_cuts(work, value, first_tie, max_rows_per_range))
-    range_cols = ["_rv", "_rp", "_rt"]
+    ranged = with_ranges(work, order, max_rows_per_range)
+    range_cols = ["_range", "_part"]
     sizes = ranged.groupBy(*keys, *range_cols).agg(
         *[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names]
     )
@@ -229,10 +212,20 @@ def with_average_rank(
     ranks = value_ranks(df, keys, value, None, max_rows_per_range, group_at_most)
     cols = []
     if rank:
-        cols.append(F.col("avg_rank").alias(rank))
+        cols.append(F.col("avg_rank").alias("_r_rank"))
     if percentile:
-        cols.append((F.col("avg_rank") / F.col("n_total")).alias(percentile))
-    return df.join(ranks.select(*keys, value, *cols), [*keys, value], "left")
+        cols.append((F.col("avg_rank") / F.col("n_total")).alias("_r_percentile"))
+    ranks = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, value)], F.col("n").alias("_r_n"), *cols)
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, value)]
+    found = [F.col(c).alias(n) for c, n in (("_r_rank", rank), ("_r_percentile", percentile)) if n]
+    # A value that over max_rows_per_range rows share does not meet them in one task: there are at most
+    # rows / max_rows_per_range such values, so they are broadcast. Null values have no rank and are not joined.
+    hot = F.broadcast(ranks.where(F.col("_r_n") > max_rows_per_range))
+    some = df.where(F.col(value).isNotNull())
+    none = df.where(F.col(value).isNull()).select("*", *[F.lit(None).cast("double").alias(x) for x in (rank, percentile) if x])
+    often = some.join(hot, on).select(*df.columns, *found)
+    seldom = some.join(hot, on, "left_anti").join(ranks.where(F.col("_r_n") <= max_rows_per_range), on).select(*df.columns, *found)
+    return often.unionByName(seldom).unionByName(none)
 
 
 def grouped_quantiles(
@@ -242,22 +235,27 @@ def grouped_quantiles(
     probabilities: Mapping[str, float],
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
     group_at_most: int | None = None,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of the non-null values per group.
 
+    ``also`` names further aggregates of all rows of ``df``. They come from the same shuffle where groups fit a task;
+    groups without a value then have them too, with null quantiles.
+
     Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer; this
     form keeps only counts per distinct value and running totals, so a hot group is spread out.
     """
     keys = list(keys)
-    if groups_fit(df, keys, max_rows_per_range, group_at_most):
+    fits = groups_fit(df, keys, max_rows_per_range, group_at_most)
+    if fits:
         part = keys if keys else [F.lit(0)]
-        present = df.where(F.col(value).isNotNull()).select(*keys, value)
-        ordered = Window.partitionBy(*part).orderBy(value)
+        present = df if also else df.where(F.col(value).isNotNull()).select(*keys, value)
+        ordered = Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last())
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ranks = present.withColumns({
             "n": F.lit(1),
             "n_upto": F.row_number().over(ordered),
-            "n_total": F.count(F.lit(1)).over(whole),
+            "n_total": F.count(value).over(whole),
         })
     else:
         ranks = value_ranks(df, keys, value, None, max_rows_per_range, None)
@@ -273,8 +271,13 @@ def grouped_quantiles(
         ]
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outs.append((lo + (hi - lo) * F.col(f"_f_{name}")).alias(name))
-    picked = ranks.groupBy(*keys).agg(*aggs)
-    return picked.select(*keys, *outs)
+    more = {name: c.alias(name) for name, c in (also or {}).items()}
+    if not also or fits:
+        return ranks.groupBy(*keys).agg(*aggs, *more.values()).select(*keys, *more, *outs)
+    rest = df.groupBy(*keys).agg(*more.values())
+    picked = ranks.groupBy(*keys).agg(*aggs).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *outs)
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True)
+    return rest.join(picked, on, "left").select(*keys, *more, *probabilities)
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",

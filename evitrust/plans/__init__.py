@@ -4,7 +4,7 @@ from importlib import import_module
 
 from evitrust.plans.registry import REGISTRY, Tables
 
-AREAS = ["trust_queries", "harmonize_queries", "names_queries", "panel_queries", "distance_queries", "model_queries", "source_queries"]
+AREAS = ["trust_queries", "harmonize_queries", "names_queries", "panel_queries", "distance_queries", "model_queries", "source_queries", "range_queries"]
 
 
 def load_all():

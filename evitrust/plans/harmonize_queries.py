@@ -247,6 +247,15 @@ def source_priority_cascade(t):
     return rounded(harmonize.selected_cells_of(cells(t), reference(t), CHANNELS), "value", digits=6)
 
 
+@query("censored_cascade", f"""WITH {CELL_CTE} SELECT entity, channel, round(value,6) AS value, source, n_records,
+ CASE WHEN source<>'missing' THEN CASE WHEN n_records%2=0 THEN '=' ELSE '>' END END AS relation FROM grid""")
+def censored_cascade(t):
+    """The relation of a cell (exact or beyond a limit) stays with it through the choice of the source."""
+    marked = cells(t).withColumn("relation", F.when(F.col("n_records") % 2 == 0, "=").otherwise(">"))
+    out = harmonize.selected_cells_of(marked, reference(t), CHANNELS)
+    return rounded(out.select("entity", "channel", "value", "source", "n_records", "relation"), "value", digits=6)
+
+
 WIDE_SELECT = ", ".join(
     f"""max(CASE WHEN channel='{c}' THEN round(value,6) END) AS "ic50_uM_{c}", max(CASE WHEN channel='{c}' THEN source END) AS "source_{c}",
  max(CASE WHEN channel='{c}' THEN n_records END) AS "n_records_{c}", bool_or(channel='{c}' AND is_strict) AS "is_strict_{c}" """
@@ -414,18 +423,39 @@ def distinct_entities_per_channel(t):
     return coverage.distinct_entities(strict_presence(t), reference(t), CHANNELS8)
 
 
-@query("missing_rates", f"""WITH {CELL_CTE}, {WIDE_CTE} SELECT column_name, round(r,8) AS missing_rate FROM (SELECT avg(CASE WHEN "ic50_uM_ch1" IS NULL THEN 1e0 ELSE 0e0 END) AS "ic50_uM_ch1",
- avg(CASE WHEN "ic50_uM_ch2" IS NULL THEN 1e0 ELSE 0e0 END) AS "ic50_uM_ch2" FROM {{lineitem}} LEFT JOIN wide ON l_partkey=entity) UNPIVOT (r FOR column_name IN ("ic50_uM_ch1","ic50_uM_ch2"))""")
+@query("missing_rates", f"""WITH {CELL_CTE}, {WIDE_CTE}, j AS (SELECT wide.* FROM {{lineitem}} LEFT JOIN wide ON l_partkey=entity)
+ """ + " UNION ALL ".join(f"""SELECT 'ic50_uM_{c}' AS column_name, round(avg(CASE WHEN "ic50_uM_{c}" IS NULL THEN 1e0 ELSE 0e0 END),8) AS missing_rate FROM j"""
+                          for c in CHANNELS))
 def missing_rates(t):
     f = wide(t).withColumnRenamed("entity", "l_partkey")
     joined = t.lineitem.select("l_partkey").join(f, "l_partkey", "left")
-    return rounded(coverage.missing_rates(joined, ["ic50_uM_ch1", "ic50_uM_ch2"]), "missing_rate")
+    return rounded(coverage.missing_rates(joined, [f"ic50_uM_{c}" for c in CHANNELS]), "missing_rate")
+
+
+def _profile_sql(table: str, column: str, text: str) -> str:
+    return f"""SELECT min({column}) AS min, max({column}) AS max, count(DISTINCT {column}) AS n_distinct,
+ (SELECT string_agg({text},'|' ORDER BY q) FROM (SELECT DISTINCT {column} AS q FROM {{{table}}} WHERE {column} IS NOT NULL ORDER BY 1 LIMIT 10)) AS first_values FROM {{{table}}}"""
+
 
+def _profile(df: DataFrame, column: str, kind: str = "string") -> DataFrame:
+    """The values as one text, so both engines can be compared."""
+    as_text = F.array_join(F.transform("first_values", lambda v: v.cast(kind).cast("string")), "|")
+    return coverage.column_profile(df, column).withColumn("first_values", as_text)
 
-@query("column_profile", """SELECT min(l_quantity) AS min, max(l_quantity) AS max, count(DISTINCT l_quantity) AS n_distinct,
- (SELECT string_agg(CAST(CAST(q AS BIGINT) AS VARCHAR),'|' ORDER BY q) FROM (SELECT DISTINCT l_quantity AS q FROM {lineitem} ORDER BY 1 LIMIT 10)) AS first_values FROM {lineitem}""")
+
+@query("column_profile", _profile_sql("lineitem", "l_quantity", "CAST(CAST(q AS BIGINT) AS VARCHAR)"))
 def column_profile(t):
-    return coverage.column_profile(t.lineitem, "l_quantity")
+    return _profile(t.lineitem, "l_quantity", "bigint")
+
+
+@query("column_profile_of_fractions", _profile_sql("lineitem", "l_discount", "CAST(CAST(q AS DECIMAL(8,4)) AS VARCHAR)"))
+def column_profile_of_fractions(t):
+    return _profile(t.lineitem, "l_discount", "decimal(8,4)")
+
+
+@query("column_profile_of_text", _profile_sql("orders", "o_orderpriority", "q"))
+def column_profile_of_text(t):
+    return _profile(t.orders, "o_orderpriority")
 
 
 # --- concordance ----------------------------------------------------------------------------

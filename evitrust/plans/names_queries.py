@@ -81,7 +81,7 @@ def _close_inputs(t: Tables):
  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM s) WHERE rank<=5""")
 def closest_names(t):
     q, c = _close_inputs(t)
-    return rounded(resolve.closest_names(q, "query", c, "candidate", k=5), "score")
+    return rounded(resolve.closest_names(q, "query", c, "candidate", k=5, cutoff=0.0), "score")
 
 
 @query("closest_names_with_cutoff", f"""{CLOSE_CTE} SELECT query, candidate, round(score,8) AS score, CAST(rank AS INT) AS rank FROM (
@@ -91,12 +91,6 @@ def closest_names_with_cutoff(t):
     return rounded(resolve.closest_names(q, "query", c, "candidate", k=3, cutoff=0.6), "score")
 
 
-@query("closest_names_by_ratio")
-def closest_names_by_ratio(t):
-    q, c = _close_inputs(t)
-    return resolve.closest_names(q, "query", c, "candidate", k=5, metric="ratio")
-
-
 @query("resolve_names", """WITH cat AS (SELECT p_partkey AS id, p_name AS pref, p_type||' '||p_name AS s1, p_name||' '||p_brand AS s2 FROM {part}),
  k AS (SELECT id, pref AS nm, 0 AS m, 0 AS s FROM cat UNION ALL SELECT id, s1, 1, 0 FROM cat UNION ALL SELECT id, s2, 1, 1 FROM cat),
  b AS (SELECT parent, id, nm, m FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY m, id, s) AS rn FROM (

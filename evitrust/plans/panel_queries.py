@@ -222,10 +222,21 @@ def term_coverage(t):
     return panel.term_coverage(panel.term_mentions(t.documents, TERMS), TERMS)
 
 
-@query("squeezed_term_mentions", """SELECT page_id, term FROM {pages}, (VALUES ('lihref'),('theth'),('doctypehtml'),('enpaeux')) v(term)
- WHERE contains(regexp_replace(lower(html),'[^a-z0-9]+','','g'), term)""")
+SQUEEZED = ["li href", "The-Th", "DOCTYPE html", "enpaeux", "DL-Sotalol"]
+
+
+@query("squeezed_term_mentions", f"""SELECT page_id, term FROM {{pages}}, (VALUES {','.join(f"('{x}')" for x in SQUEEZED)}) v(term)
+ WHERE contains(regexp_replace(lower(html),'[^a-z0-9]+','','g'), regexp_replace(lower(term),'[^a-z0-9]+','','g'))""")
 def squeezed_term_mentions(t):
-    return panel.term_mentions(t.pages, ["lihref", "theth", "doctypehtml", "enpaeux"], "page_id", "html", squeeze=True)
+    return panel.term_mentions(t.pages, SQUEEZED, "page_id", "html", squeeze=True)
+
+
+MANY = [a + b for a in "aeioutnsr" for b in "abcdefghilmnoprstuvwxyz"]  # over 200 terms
+
+
+@query("many_term_mentions", f"""SELECT doc_id, term FROM {{documents}}, (VALUES {','.join(f"('{x}')" for x in MANY)}) v(term) WHERE contains(lower(text), term)""")
+def many_term_mentions(t):
+    return panel.term_mentions(t.documents, MANY)
 
 
 # --- word boxes ------------------------------------------------------------------------------

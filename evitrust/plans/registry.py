@@ -15,9 +15,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 class Tables:
     """Lazy access to the parquet tables of one directory: ``t.orders``, ``t.sql("... {orders} ...")``."""
 
-    def __init__(self, spark: SparkSession, directory: str):
+    def __init__(self, spark: SparkSession, directory: str, rows_per_range: int | None = None):
         self.spark = spark
         self.directory = str(directory).rstrip("/")
+        self.rows_per_range = rows_per_range
+
+    def in_ranges(self, rows: int) -> Tables:
+        """The same tables, with every order cut into ranges of about so many rows."""
+        return Tables(self.spark, self.directory, rows)
 
     def path(self, name: str) -> str:
         return f"{self.directory}/{name}.parquet"

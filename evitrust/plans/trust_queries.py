@@ -20,6 +20,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = ROUND) -> DataFrame:
 
 def sizing(t: Tables, table: str = "orders") -> dict:
     """No group has more rows than the base table (a count from parquet footers)."""
+    if t.rows_per_range:
+        return {"max_rows_per_range": t.rows_per_range}
     return {"group_at_most": getattr(t, table).count()}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
@@ -47,28 +47,34 @@ def write_summary(df: DataFrame, path: str, keys: Sequence[str] = (), mode: str
     (df.orderBy(*keys) if keys else df).write.mode(mode).json(path)
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Row count and an order-free fingerprint: sums of two 28-bit pieces of each row's md5."""
+def _fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
     names = sorted(columns or df.columns)
     text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in names])
     piece = lambda at: F.conv(F.substring(F.md5(text), at, 7), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(piece(1)), F.lit(0)).alias("sum_a"),
-                  F.coalesce(F.sum(piece(8)), F.lit(0)).alias("sum_b"))
+    return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(piece(1)), F.lit(0)).alias("sum_a"),
+            F.coalesce(F.sum(piece(8)), F.lit(0)).alias("sum_b")]
+
+
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Row count and an order-free fingerprint: sums of two 28-bit pieces of each row's md5."""
+    return df.agg(*_fingerprint(df, columns))
+
 
+def file_fingerprints(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """(path, size_bytes, n_rows, sum_a, sum_b) of every file of a table that holds a row.
 
-def file_hashes(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
-    """(path, size, sha256) of every file below a path. Each file is one row, so parts stay below 2 GB."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", file_glob).load(path))
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    The fingerprint is over the rows, so a file of any size is read in splits and no file is held in one row.
+    """
+    df = spark.read.format(fmt).load(path)
+    at = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    return at.groupBy("_path", "_size").agg(*_fingerprint(df)).withColumnsRenamed({"_path": "path", "_size": "size_bytes"})
 
 
 def run_manifest(spark: SparkSession, outputs: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """One row per file of every output, with the row count and fingerprint of its table."""
+    """One row per file of every output, with its row count and fingerprint; they add up to the table's."""
     out = None
     for name, path in outputs.items():  # outputs are a short list of named tables
-        table = table_fingerprint(spark.read.format(fmt).load(path))
-        rows = file_hashes(spark, path, f"*.{fmt}").join(F.broadcast(table)).withColumn("output", F.lit(name))
+        rows = file_fingerprints(spark, path, fmt).withColumn("output", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

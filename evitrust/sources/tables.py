@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -71,18 +72,33 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def read_tree(spark: SparkSession, root: str, schema: T.StructType, levels: Sequence[str], fmt: str = "csv",
               keep: dict[str, Sequence[str]] | None = None, file_glob: str | None = None) -> DataFrame:
-    """Read all files below ``root`` and take ``levels`` (folder names from the top) as columns.
+    """Read all files below ``root`` and take ``levels`` (names from the top, the file's last) as columns.
 
-    ``keep`` filters level values on the path text, so a dropped file is read but yields no rows.
+    ``keep`` filters level values. As long as the leading levels are filtered by plain names, only their folders are
+    listed, so a dropped file is not read; values of later levels are filtered on the path text. A file above a level
+    has ``unknown`` there.
     """
     reader = spark.read.format(fmt).schema(schema).option("recursiveFileLookup", True)
     if fmt == "csv":
         reader = reader.option("header", True)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    df = reader.load(root)
-    top = root.rstrip("/").split("/")[-1]
-    tail = F.split(F.regexp_extract("_metadata.file_path", f".*?/{top}/(.*)$", 1), "/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = files.makeQualified(path)
+    folders = [root.rstrip("/")]
+    for name in levels:
+        values = list((keep or {}).get(name, ()))
+        if not values or any(re.search(r"[^\w.=-]", v) or v == "unknown" for v in values):
+            break
+        found = [f"{f}/{v}" for f in folders for v in values]
+        folders = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f))]
+    if not folders:
+        df = spark.createDataFrame([], schema)
+        return df.select("*", *[F.lit("").alias(n) for n in levels])
+    df = reader.load(folders)
+    skip = len(full.toUri().getPath().rstrip("/")) + 2
+    tail = F.split(F.substring(F.expr("parse_url(_metadata.file_path, 'PATH')"), skip, 1_000_000), "/")
     out = df.select("*", *[F.coalesce(F.get(tail, F.lit(i)), F.lit("unknown")).alias(n) for i, n in enumerate(levels)])
     for name, values in (keep or {}).items():
         out = out.where(F.col(name).isin(list(values)))

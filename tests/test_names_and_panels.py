@@ -1,6 +1,5 @@
 """Names, suggestions, panels and layout against hand-made cases and brute force."""
 
-import difflib
 import itertools
 import random
 
@@ -50,25 +49,35 @@ def test_censored_and_headers(spark):
     assert one(spark, X.repair_glyphs(F.lit(" M"))) == "10.5 uM"
 
 
-def test_ratio_matches_brute_force(spark):
+def test_closest_names_match_brute_force(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 9)))
     q, c = sorted({word() for _ in range(40)}), sorted({word() for _ in range(120)})
     dq, dc = spark.createDataFrame([(x,) for x in q], "q string"), spark.createDataFrame([(x,) for x in c], "c string")
-    got = {}
-    for row in resolve.closest_names(dq, "q", dc, "c", 4, 0.3, "ratio", names_per_block=7).collect():
-        got.setdefault(row["query"], {})[row["rank"]] = (row["candidate"], row["score"])
-    for x in q:
-        s = sorted(((-round(difflib.SequenceMatcher(None, x, y).ratio(), 4), y) for y in c))
-        want = {i + 1: (y, -v) for i, (v, y) in enumerate([z for z in s if -z[0] >= 0.3][:4])}
-        assert got.get(x, {}) == want
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row[0], [i, *row[1:]]
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for cutoff in (0.0, 0.45):
+        got = {}
+        for row in resolve.closest_names(dq, "q", dc, "c", 4, cutoff, names_per_block=7).collect():
+            got.setdefault(row["query"], {})[row["rank"]] = (row["candidate"], pytest.approx(row["score"]))
+        for x in q:
+            s = sorted((-(1 - distance(x, y) / max(len(x), len(y))), y) for y in c)
+            want = {i + 1: (y, -v) for i, (v, y) in enumerate([z for z in s if -z[0] >= cutoff][:4])}
+            assert got.get(x, {}) == want
 
 
 def test_levenshtein_blocks_do_not_change_the_result(spark):
     names = spark.createDataFrame([(f"name{i % 37}{'x' * (i % 5)}",) for i in range(200)], "n string")
     q = spark.createDataFrame([("name12xx",), ("nam",)], "q string")
-    a = resolve.closest_names(q, "q", names, "n", 6).collect()
-    b = resolve.closest_names(q, "q", names, "n", 6, names_per_block=3).collect()
+    a = resolve.closest_names(q, "q", names, "n", 6, 0.0).collect()
+    b = resolve.closest_names(q, "q", names, "n", 6, 0.0, names_per_block=3).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
@@ -135,3 +144,10 @@ def test_many_terms_use_the_same_rule(spark, sf_dir):
     terms = ["the", "nicht", "eau"] + [f"zq{i}" for i in range(100)]
     few, many = panel.term_mentions(docs, terms[:3]), panel.term_mentions(docs, terms)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_squeezed_terms_follow_the_rule_of_the_text(spark):
+    docs = spark.createDataFrame([(1, "DL-Sotalol was given"), (2, "d,l sotalol"), (3, None)], "doc_id long, text string")
+    got = {tuple(r) for r in panel.term_mentions(docs, ["DL-Sotalol", "was  GIVEN", "-"], squeeze=True).collect()}
+    assert got == {(1, "DL-Sotalol"), (2, "DL-Sotalol"), (1, "was  GIVEN")}
+    assert panel.term_mentions(docs, []).count() == 0

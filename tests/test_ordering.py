@@ -36,10 +36,43 @@ def test_row_positions(hot, limit, descending):
 
 def test_hot_value_is_split_by_the_tie(hot):
     _, df = hot
-    found = ordering.range_cuts(df, "v", "id", 150)
-    assert 0.5 in found.frequent and len(found.tie_cuts) > 5
-    sizes = ordering._with_ranges(df, "v", "id", found).groupBy("_rv", "_rp", "_rt").count().toPandas()
-    assert sizes["count"].max() < 450
+    sizes = ordering.with_ranges(df, ["v", "id"], 150).groupBy("_range", "_part").count().toPandas()
+    assert sizes["count"].max() < 450 and len(sizes) > 20
+
+
+def test_second_level_of_ranges(hot, monkeypatch):
+    pdf, df = hot
+    monkeypatch.setattr(ordering, "CUTS", 7)
+    cut = ordering.with_ranges(df, ["v", "id"], 150)
+    assert cut.select("_range", "_part").distinct().count() > 20
+    got = ordering.row_positions(df, ["k"], "v", ["id"], max_rows_per_range=150).toPandas().sort_values(["k", "pos"])
+    want = pdf.sort_values(["k", "v", "id"])
+    assert got["id"].tolist() == want["id"].tolist()
+
+
+def odd_frame(spark):
+    """Nulls, NaN, infinities, ties and text ids, with a hot key."""
+    values = [None, float("nan"), 0.0, -0.0, 1.5, 1.5, float("inf"), float("-inf"), 2.0, None]
+    rows = [("hot" if i % 3 else f"k{i % 2}", values[i * 7 % 10], f"id-{i * 37 % 400:03d}" if i % 50 else None, i) for i in range(400)]
+    return spark.createDataFrame(rows, "k string, v double, t string, n long").repartition(5)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_nulls_nan_and_text_ties_on_both_paths(spark, descending):
+    df = odd_frame(spark)
+    runs = [sorted(map(str, ordering.row_positions(df, ["k"], "v", ["t", "n"], descending, max_rows_per_range=limit).collect()))
+            for limit in (10**9, 40, 7)]
+    assert len(runs[0]) == 400 and runs[0] == runs[1] == runs[2]
+
+
+@pytest.mark.parametrize("limit", [40, 7])
+def test_ranks_and_quantiles_with_nulls_and_nan_on_both_paths(spark, limit):
+    df = odd_frame(spark)
+    for keys in (["k"], []):
+        plain, split = (ordering.with_average_rank(df, keys, "v", "r", "p", max_rows_per_range=m).collect() for m in (10**9, limit))
+        assert sorted(map(str, plain)) == sorted(map(str, split))
+        plain, split = (ordering.grouped_quantiles(df, keys, "v", {"a": 0.1, "m": 0.5, "z": 0.97}, m).collect() for m in (10**9, limit))
+        assert sorted(map(str, plain)) == sorted(map(str, split))
 
 
 @pytest.mark.parametrize("limit", [10**9, 200])
