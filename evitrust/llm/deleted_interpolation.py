@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evitrust.llm.storage import written
 from evitrust.llm.words import ODD, hash_strings, mix, slices, words_of
 
-END = np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES = 8 << 20         # text of a block, about
+END = np.uint64(0x5851F42D4C957F)
+KEY_BITS = np.uint64(56)     # two keys of a corpus of n words meet by chance with n / 2**56
+BLOCK_BYTES = 12 << 20        # text of a block, about
 BUCKET_KEYS = 1_000_000      # keys that meet in one task, about
 BUCKETS = 25                 # of history frequency: unseen, 1, 2-3, 4-7, ...
 STEPS_PER_OCTAVE = 8         # resolution of probability ratios in the learning statistics
@@ -32,18 +33,23 @@ DEV_SHARE = 10               # one learning text in so many is held out for the
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
+    """Numbers with their first, second, ... bytes side by side, compressed: small numbers take little room."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T if len(values) else values
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _spread(data: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.empty(0, kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _sorted_keys_out(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps of 6 bytes, or of 8 where a step is larger."""
+    """Sorted keys as steps of as many bytes as the largest step needs."""
     step = np.diff(keys, prepend=np.uint64(0))
-    wide = 8 if len(step) and step[1:].max(initial=0) >> np.uint64(48) else 6
+    wide = max(1, -(-int(step[1:].max(initial=0)).bit_length() // 8))
     first = keys[:1].tobytes()
     return bytes([wide]) + first + step[1:].view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
@@ -74,7 +80,7 @@ def token_blocks(docs: DataFrame, learns: Column, develops: Column, id_col: str,
             n = batch.num_rows
             words, owner = words_of(batch.column(1), lower=True)
             coded = words.dictionary_encode()
-            hashes = np.r_[hash_strings(coded.dictionary), END]
+            hashes = np.r_[hash_strings(coded.dictionary) >> (np.uint64(64) - KEY_BITS), END]
             vocab, place = np.unique(hashes, return_inverse=True)
             tokens = np.full(len(words) + n, place[-1], np.int32)
             tokens[np.arange(len(words)) + owner] = place[np.asarray(coded.indices)]
@@ -82,7 +88,7 @@ def token_blocks(docs: DataFrame, learns: Column, develops: Column, id_col: str,
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), a)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), one(batch.column(0)), one(batch.column(2)), one(batch.column(3)), one(pa.array(size)),
-                 pa.array([vocab.tobytes()], pa.binary()), pa.array([_squeeze(tokens)], pa.binary())],
+                 pa.array([_sorted_keys_out(vocab)], pa.binary()), pa.array([_squeeze(tokens)], pa.binary())],
                 ["block", "ids", "learn", "dev", "size", "vocab", "tokens"])
             block += 1
 
@@ -104,7 +110,7 @@ class Block:
         before = np.r_[end, self.tokens[:-1]]
         pair = before * len(vocab) + self.tokens
         distinct, inverse = np.unique(pair, return_inverse=True)
-        keys = mix(vocab[distinct // len(vocab)] * ODD + mix(vocab[distinct % len(vocab)]))
+        keys = mix(vocab[distinct // len(vocab)] * ODD + mix(vocab[distinct % len(vocab)])) >> (np.uint64(64) - KEY_BITS)
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -113,16 +119,16 @@ class Block:
 
 def _keys(row: dict, buckets: tuple[int, int]) -> Iterator[tuple]:
     """(bucket, block, keys, learn counts, dev counts) of words and bigrams; buckets cut the range of keys."""
-    block, vocab = Block(row), np.frombuffer(row["vocab"], np.uint64)
+    block, vocab = Block(row), _sorted_keys_in(row["vocab"])
     end = int(np.searchsorted(vocab, END))
     pair_keys, pair = block.pairs(end, vocab)
     begin = 0
     for keys, at, n in ((vocab, block.tokens, buckets[0]), (pair_keys, pair, buckets[1])):
         learn, dev = (np.bincount(at[flag], minlength=len(keys)).astype(np.uint32) for flag in (block.learn, block.dev))
-        edge = np.array([i * (1 << 64) // n for i in range(1, n)], np.uint64)
+        edge = np.array([(i << int(KEY_BITS)) // n for i in range(1, n)], np.uint64)
         cut = np.r_[0, np.searchsorted(keys, edge), len(keys)]
         for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            yield begin + i, row["block"], _sorted_keys_out(keys[a:b]) if b > a else b"\x06", _squeeze(learn[a:b]), _squeeze(dev[a:b])
+            yield begin + i, row["block"], _sorted_keys_out(keys[a:b]) if b > a else b"\x01", _squeeze(learn[a:b]), _squeeze(dev[a:b])
         begin += n
 
 
@@ -149,9 +155,9 @@ class Counted:
 
     def __init__(self, left: pa.Table, right: pa.Table, word_buckets: int):
         row = left.to_pylist()[0]
-        self.ids = pa.concat_arrays(left.column("ids").chunks).flatten()
+        self.ids = pa.concat_arrays(left.column("ids").chunks).flatten() if "ids" in left.column_names else None
         self.block = Block(row)
-        vocab = np.frombuffer(row["vocab"], np.uint64)
+        vocab = _sorted_keys_in(row["vocab"])
         end = int(np.searchsorted(vocab, END))
         _, pair = self.block.pairs(end, vocab)
         replies = sorted(right.select(["bucket", "learn", "dev"]).to_pylist(), key=lambda r: r["bucket"])
@@ -215,7 +221,7 @@ def score(docs: DataFrame, learns: Column, develops: Column | None = None, id_co
     """
     develops = F.pmod(F.xxhash64(id_col, F.lit("weights")), F.lit(DEV_SHARE)) == 0 if develops is None else develops
     blocks = written(token_blocks(docs, learns, develops, id_col, text_col))
-    size = blocks.agg(F.sum(F.octet_length("vocab") / 8), F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    size = blocks.agg(F.sum(F.octet_length("vocab") / 4), F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     buckets = tuple(1 + int((n or 0) // bucket_keys) for n in size)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,7 @@ def score(docs: DataFrame, learns: Column, develops: Column | None = None, id_co
         rows, n = np.unique(np.stack([bucket_of(history), r2, r1], axis=1), axis=0, return_counts=True)
         return pa.table({"b": rows[:, 0], "r2": rows[:, 1], "r1": rows[:, 2], "n": n})
 
-    grid = blocks.groupBy("block").cogroup(counts).applyInArrow(measure, "b long, r2 long, r1 long, n long").groupBy(
+    grid = blocks.drop("ids").groupBy("block").cogroup(counts).applyInArrow(measure, "b long, r2 long, r1 long, n long").groupBy(
         "b", "r2", "r1").agg(F.sum("n").alias("n")).orderBy("b", "r2", "r1").collect()  # a grid of ratios, not of tokens
     real = lambda r: 0.0 if r == -9999 else 2.0 ** (r / STEPS_PER_OCTAVE)
     weights = learn_weights([(r["b"], real(r["r2"]), real(r["r1"]), r["n"]) for r in grid])
