@@ -65,10 +65,11 @@ def _sorted_keys_in(data: bytes) -> np.ndarray:
 
 
 def token_blocks(docs: DataFrame, learns: Column, develops: Column, id_col: str, text_col: str) -> DataFrame:
-    """Rows (block, ids, learn, dev, size, vocab, tokens), each for a slice of texts.
+    """Rows (block, ids, learn, dev, size, vocab, tokens, probe), each for a slice of texts.
 
     vocab holds the sorted hashes of the distinct tokens, tokens the place of every token in it; each text ends with the
-    end token, which is also the history of the first word of the next one. A-Z is lower-cased.
+    end token, which is also the history of the first word of the next one. probe holds, for the tokens of held-out
+    texts only, the places of bigram, history and word among the block's keys. A-Z is lower-cased.
     """
     rows = docs.select(id_col, text_col, F.coalesce(learns, F.lit(False)).alias("_learn"),
                        F.coalesce(learns & develops, F.lit(False)).alias("_dev"))
@@ -85,19 +86,34 @@ def token_blocks(docs: DataFrame, learns: Column, develops: Column, id_col: str,
             tokens = np.full(len(words) + n, place[-1], np.int32)
             tokens[np.arange(len(words)) + owner] = place[np.asarray(coded.indices)]
             size = np.bincount(owner, minlength=n).astype(np.int32) + 1
+            held = np.flatnonzero(np.repeat(np.asarray(batch.column(3)), size))
+            before = np.r_[place[-1], tokens[:-1]]
+            probe = np.concatenate([pairs_of(tokens, place[-1], vocab)[1][held], before[held], tokens[held]]).astype(np.int32)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), a)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), one(batch.column(0)), one(batch.column(2)), one(batch.column(3)), one(pa.array(size)),
-                 pa.array([_sorted_keys_out(vocab)], pa.binary()), pa.array([_squeeze(tokens)], pa.binary())],
-                ["block", "ids", "learn", "dev", "size", "vocab", "tokens"])
+                 pa.array([_sorted_keys_out(vocab)], pa.binary()), pa.array([_squeeze(tokens)], pa.binary()),
+                 pa.array([_squeeze(probe)], pa.binary())],
+                ["block", "ids", "learn", "dev", "size", "vocab", "tokens", "probe"])
             block += 1
 
     return rows.mapInArrow(run, f"block long, ids array<{kind}>, learn array<boolean>, dev array<boolean>, size array<int>, "
-                                "vocab binary, tokens binary")
+                                "vocab binary, tokens binary, probe binary")
+
+
+def pairs_of(tokens: np.ndarray, end: int, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys of the distinct bigrams, place of each token's bigram in them)."""
+    tokens = tokens.astype(np.int64)
+    distinct, inverse = np.unique(np.r_[end, tokens[:-1]] * len(vocab) + tokens, return_inverse=True)
+    keys = mix(vocab[distinct // len(vocab)] * ODD + mix(vocab[distinct % len(vocab)])) >> (np.uint64(64) - KEY_BITS)
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], rank[inverse]
 
 
 class Block:
-    """The tokens of one block and its distinct bigrams in the order of their keys."""
+    """The tokens of one block and the texts they belong to."""
 
     def __init__(self, row: dict):
         self.size = np.asarray(row["size"], np.int64)
@@ -105,23 +121,12 @@ class Block:
         self.owner = np.repeat(np.arange(len(self.size)), self.size)
         self.tokens = _spread(row["tokens"], np.int32).astype(np.int64)
 
-    def pairs(self, end: int, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted keys of the distinct bigrams, place of each token's bigram in them)."""
-        before = np.r_[end, self.tokens[:-1]]
-        pair = before * len(vocab) + self.tokens
-        distinct, inverse = np.unique(pair, return_inverse=True)
-        keys = mix(vocab[distinct // len(vocab)] * ODD + mix(vocab[distinct % len(vocab)])) >> (np.uint64(64) - KEY_BITS)
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return keys[order], rank[inverse]
-
 
 def _keys(row: dict, buckets: tuple[int, int]) -> Iterator[tuple]:
     """(bucket, block, keys, learn counts, dev counts) of words and bigrams; buckets cut the range of keys."""
     block, vocab = Block(row), _sorted_keys_in(row["vocab"])
     end = int(np.searchsorted(vocab, END))
-    pair_keys, pair = block.pairs(end, vocab)
+    pair_keys, pair = pairs_of(block.tokens, end, vocab)
     begin = 0
     for keys, at, n in ((vocab, block.tokens, buckets[0]), (pair_keys, pair, buckets[1])):
         learn, dev = (np.bincount(at[flag], minlength=len(keys)).astype(np.uint32) for flag in (block.learn, block.dev))
@@ -150,28 +155,12 @@ def _add_up(table: pa.Table) -> pa.Table:
         "types_kept": pa.array(np.where(first, int((learn > dev).sum()), 0))})
 
 
-class Counted:
-    """A block with the corpus counts of its words and bigrams."""
-
-    def __init__(self, left: pa.Table, right: pa.Table, word_buckets: int):
-        row = left.to_pylist()[0]
-        self.ids = pa.concat_arrays(left.column("ids").chunks).flatten() if "ids" in left.column_names else None
-        self.block = Block(row)
-        vocab = _sorted_keys_in(row["vocab"])
-        end = int(np.searchsorted(vocab, END))
-        _, pair = self.block.pairs(end, vocab)
-        replies = sorted(right.select(["bucket", "learn", "dev"]).to_pylist(), key=lambda r: r["bucket"])
-        words = [r for r in replies if r["bucket"] < word_buckets]
-        bigrams = [r for r in replies if r["bucket"] >= word_buckets]
-
-        def all_of(rows, c):
-            return np.concatenate([_spread(r[c], np.uint32) for r in rows]).astype(np.float64)
-        tokens = self.block.tokens
-        before = np.r_[end, tokens[:-1]]
-        self.counts, self.deleted = [], []
-        for c, out in (("learn", self.counts), ("dev", self.deleted)):
-            word, bigram = all_of(words, c), all_of(bigrams, c)
-            out += [bigram[pair], word[before], word[tokens]]  # of (v, w), of v, of w
+def _replies(right: pa.Table, word_buckets: int, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of the bigrams and of the words of one block, in the order of its keys."""
+    rows = sorted(right.select(["bucket", column]).to_pylist(), key=lambda r: r["bucket"])
+    parts = [_spread(r[column], np.uint32) for r in rows]
+    n = sum(r["bucket"] < word_buckets for r in rows)
+    return np.concatenate(parts[n:]).astype(np.float64), np.concatenate(parts[:n]).astype(np.float64)
 
 
 def bucket_of(history: np.ndarray) -> np.ndarray:
@@ -239,34 +228,38 @@ def score(docs: DataFrame, learns: Column, develops: Column | None = None, id_co
     counts = replies.select("block", "bucket", "learn", "dev").groupBy("block")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Counted(left, right, buckets[0])
-        use = c.block.dev
-        pair, history, word = (a[use] - d[use] for a, d in zip(c.counts, c.deleted))
+        probe = _spread(left.column("probe")[0].as_py(), np.int32).reshape(3, -1)
+        kept = [learn - dev for learn, dev in zip(_replies(right, buckets[0], "learn"), _replies(right, buckets[0], "dev"))]
+        pair, history, word = kept[0][probe[0]], kept[1][probe[1]], kept[1][probe[2]]
         step = lambda r: np.where(r > 0, np.round(np.log2(np.maximum(r, 1e-30)) * STEPS_PER_OCTAVE), -9999).astype(np.int64)
         r2, r1 = map(step, _ratio(pair, history, word, total - total_dev, types_kept))
         rows, n = np.unique(np.stack([bucket_of(history), r2, r1], axis=1), axis=0, return_counts=True)
         return pa.table({"b": rows[:, 0], "r2": rows[:, 1], "r1": rows[:, 2], "n": n})
 
-    grid = blocks.drop("ids").groupBy("block").cogroup(counts).applyInArrow(measure, "b long, r2 long, r1 long, n long").groupBy(
-        "b", "r2", "r1").agg(F.sum("n").alias("n")).orderBy("b", "r2", "r1").collect()  # a grid of ratios, not of tokens
+    grid = blocks.select("block", "probe").groupBy("block").cogroup(counts).applyInArrow(
+        measure, "b long, r2 long, r1 long, n long").groupBy("b", "r2", "r1").agg(F.sum("n").alias("n")).orderBy(
+        "b", "r2", "r1").collect()  # a grid of ratios, not of tokens
     real = lambda r: 0.0 if r == -9999 else 2.0 ** (r / STEPS_PER_OCTAVE)
     weights = learn_weights([(r["b"], real(r["r2"]), real(r["r1"]), r["n"]) for r in grid])
     if not total:
         weights[:] = (0, 0, 1)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Counted(left, right, buckets[0])
-        pair, history, word = c.counts
+        row = left.drop_columns("ids").to_pylist()[0]
+        block, vocab = Block(row), _sorted_keys_in(row["vocab"])
+        end = int(np.searchsorted(vocab, END))
+        bigram, one = _replies(right, buckets[0], "learn")
+        pair, history, word = bigram[pairs_of(block.tokens, end, vocab)[1]], one[np.r_[end, block.tokens[:-1]]], one[block.tokens]
         r2, r1 = _ratio(pair, history, word, total, types)
         w = weights[bucket_of(history)]
         p = (w[:, 0] * r2 + w[:, 1] * r1 + w[:, 2]) / (types + 1)
         base = (word + 0.1) / (total + 0.1 * (types + 1))
-        n = len(c.block.size)
-        add = lambda x: np.bincount(c.block.owner, x, minlength=n)
-        return pa.table([c.ids, pa.array(c.block.size), pa.array(add(word > 0).astype(np.int64)), pa.array(np.full(n, total)),
+        n = len(block.size)
+        add = lambda x: np.bincount(block.owner, x, minlength=n)
+        return pa.table([pa.concat_arrays(left.column("ids").chunks).flatten(), pa.array(block.size), pa.array(add(word > 0).astype(np.int64)), pa.array(np.full(n, total)),
                          pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
                         names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(counts).applyInArrow(
+    return blocks.drop("probe").groupBy("block").cogroup(counts).applyInArrow(
         judge, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
