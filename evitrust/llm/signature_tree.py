@@ -8,8 +8,9 @@ traversal visits pairs of nodes and drops those whose largest possible overlap i
 against the whole sets, exactly. 5. Links give components.
 
 A group of near copies would have as many pairs as the square of its size. Where more than ``WIDE`` classes share a
-token, they are first held against the most connected of them only; then a second traversal visits the pairs that are
-not yet in one component. So no link between components is lost, and none is repeated inside one.
+token, they are first held against ``PIVOTS`` of them only, those with the largest share of such tokens (of copies with
+edits, the ones with the fewest); then a second traversal visits the pairs that are not yet in one component. So no
+link between components is lost, and none is repeated inside one.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from evitrust.llm.words import ODD, hash_strings, mix, shingles, slices, words_o
 WORDS, PERCENT = 5, 75
 WIDE = 64                    # classes in a leaf, and those all of whose pairs are visited at once
 FANOUT = 8
+PIVOTS = 4
 BITS = 4                     # longs of a bitmap
 SAMPLE = 16                  # one text in so many is used to find frequent tokens; only the order depends on it
 FREQUENT, MOST_FREQUENT = 4, 1_000_000
-BUCKET_ROWS = 250_000
+BUCKET_ROWS, WIDE_BUCKET_ROWS = 250_000, 60_000
 BROADCAST_ROWS = 500_000
 
 
@@ -165,8 +167,8 @@ def tree_pairs(token: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarr
                group: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, times): pairs of classes that share a token and may link, and how many tokens led to them.
 
-    Without ``group``, the classes of tokens with over ``WIDE`` of them are held against the one of highest ``rank``
-    only; with ``group``, only pairs of different groups count.
+    Without ``group``, the classes of tokens with over ``WIDE`` of them are held against the ``PIVOTS`` of highest
+    ``rank`` only; with ``group``, only pairs of different groups count.
     """
     order = np.lexsort((cls, token))
     new = np.r_[True, (token[order][1:] != token[order][:-1]) | (cls[order][1:] != cls[order][:-1])]
@@ -175,38 +177,57 @@ def tree_pairs(token: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarr
     group = None if group is None else group[order]
     begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[begin, len(token)])
-    left, right = [], []
+    found = Pairs()
+
+    def visit(i: np.ndarray, j: np.ndarray) -> None:
+        near = possible(bits[i], bits[j], n[i], n[j], n[i], n[j], np.minimum(lost[i], lost[j]), percent)
+        if group is not None:
+            near &= group[i] != group[j]
+        i, j = i[near], j[near]
+        found.add(np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]))
+
     narrow = np.repeat(size <= WIDE, size)
     for k in range(1, int(size[size <= WIDE].max(initial=1))):
         i = np.flatnonzero(narrow[:-k] & (token[k:] == token[:-k]))
-        left.append(i)
-        right.append(i + k)
+        visit(i, i + k)
     for b, m in zip(begin[size > WIDE], size[size > WIDE]):
         here = np.arange(b, b + m)
         if group is None:
-            top = here[np.lexsort((cls[here], -rank[here]))[0]]
-            left.append(here[here != top])
-            right.append(np.full(m - 1, top))
+            for top in here[np.lexsort((cls[here], -rank[here]))[:PIVOTS]]:
+                visit(here[here != top], np.full(m - 1, top))
             continue
         tree = Tree(n[here], bits[here], lost[here])
         for x, y in zip(*tree.leaf_pairs(percent)):
             i, j = here[tree.order[x * WIDE:(x + 1) * WIDE]], here[tree.order[y * WIDE:(y + 1) * WIDE]]
             i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-            other = (group[i] != group[j]) & ((i < j) | (x != y))
-            i, j = i[other], j[other]
-            near = possible(bits[i], bits[j], n[i], n[j], n[i], n[j], np.minimum(lost[i], lost[j]), percent)
-            left.append(i[near])
-            right.append(j[near])
-    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    near = possible(bits[i], bits[j], n[i], n[j], n[i], n[j], np.minimum(lost[i], lost[j]), percent)
-    if group is not None:
-        near &= group[i] != group[j]
-    i, j = i[near], j[near]
-    a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
-    return a[first], b[first], np.diff(np.r_[first, len(a)])
+            once = (i < j) | (x != y)
+            visit(i[once], j[once])
+    return found.fold()
+
+
+class Pairs:
+    """Pairs with how often they came; they are folded now and then, so memory follows the distinct ones."""
+
+    FOLD = 2_000_000
+
+    def __init__(self):
+        self.parts, self.size = [(np.empty(0, np.int64),) * 3], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.parts.append((a, b, np.ones(len(a), np.int64)))
+            self.size += len(a)
+            if self.size > self.FOLD:
+                self.parts, self.size = [self.fold()], 0
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        if not len(a):
+            return a, b, n
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return a[first], b[first], np.add.reduceat(n, first)
 
 
 def _bitmap(token: Column) -> list[Column]:
@@ -270,8 +291,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         .where("_a <> _b").drop("_a", "_b"))
     ones = "+".join(f"bit_count(w{k})" for k in range(BITS))
     signs = shared.distinct().groupBy("cls").agg(
-        *_bitmap(F.col("token")), F.count(F.lit(1)).alias("rank"), F.sum((F.col("wide") > WIDE).cast("long")).alias("in_wide")
-    ).withColumn("lost", F.col("rank") - F.expr(ones))
+        *_bitmap(F.col("token")), F.count(F.lit(1)).alias("_tokens"), F.sum((F.col("wide") > WIDE).cast("long")).alias("in_wide"),
+        F.first("n").alias("_n")
+    ).withColumn("lost", F.col("_tokens") - F.expr(ones)).withColumn("rank", F.col("in_wide") / F.col("_n")).drop("_tokens", "_n")
     signs = written(signs)
     signed = shared.join(signs.drop("in_wide"), "cls")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + shared.count() // BUCKET_ROWS)
@@ -290,7 +312,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         grouped = wide.join(groups, "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
         split = grouped.groupBy("token").agg(F.min("grp").alias("_a"), F.max("grp").alias("_b")).where("_a <> _b").select("token")
         rest = grouped.join(split, "token", "left_semi").join(signs.drop("in_wide"), "cls")
-        more = candidates(rest, percent, buckets, grouped=True).join(links, ["a", "b"], "left_anti")
+        rest = written(rest)  # few tokens remain; with few buckets a pair comes up once, not for each of its tokens
+        more = candidates(rest, percent, 1 + rest.count() // WIDE_BUCKET_ROWS, grouped=True).join(links, ["a", "b"], "left_anti")
         links = links.union(verified(more, classes, docs, id_col, text_col, words, percent))
     named = classes.withColumnRenamed("rep", "a")
     edges = links.join(named.withColumnRenamed("cls", "_ca").withColumnRenamed("a", "u"), F.col("a") == F.col("_ca")).join(
