@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -212,6 +215,17 @@ class Calibrator:
         return out.select(*rest, *[c.alias(n) for c, n in zip(probs.normalized(cols), names)])
 
 
+def isotonic_means(df: DataFrame, score: str, hit: str, increasing: bool = True) -> DataFrame:
+    """(score, mean) for each distinct score: the monotone step map of the mean of ``hit``.
+
+    Rows are folded to one weighted point a score before the fit, so the points are as many as distinct scores.
+    """
+    points = df.groupBy(score).agg(F.avg(hit).alias("_t"), F.count(F.lit(1)).cast("double").alias("_w")).withColumn(
+        "_s", array_to_vector(F.array(score)))
+    model = IsotonicRegression(featuresCol="_s", labelCol="_t", weightCol="_w", isotonic=increasing).fit(points)
+    return model.transform(points).select(score, F.col("prediction").alias("mean"))
+
+
 def _class_counts(calib: DataFrame, labels: Sequence[str], label: str) -> dict[str, int]:
     counts = {r[label]: r["n"] for r in calib.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
               .where(F.col(label).isin(list(labels))).collect()}
@@ -240,8 +254,11 @@ def fit_calibrator(calib: DataFrame, method: str, labels: Sequence[str], label:
         if counts[x] == 0 or counts[x] == n:
             continue  # a class that is absent, or the only one, has no map
         if method == "isotonic":
-            rows = scored.withColumn("_t", F.col("_hit").cast("double"))
-            maps[i] = IsotonicRegression(featuresCol="_s", labelCol="_t").fit(rows)
+            # one weighted point a score (to 6 digits): the driver pools points, not rows
+            points = calib.groupBy(F.round(f"{prefix}{x}", 6).alias("_p")).agg(
+                F.avg(hit.cast("double")).alias("_t"), F.count(F.lit(1)).cast("double").alias("_w")).withColumn(
+                    "_s", array_to_vector(F.array("_p")))
+            maps[i] = IsotonicRegression(featuresCol="_s", labelCol="_t", weightCol="_w").fit(points)
         else:
             high, low = (counts[x] + 1.0) / (counts[x] + 2.0), 1.0 / (n - counts[x] + 2.0)
             target = F.when(F.col("_hit"), high).otherwise(low)
@@ -274,58 +291,93 @@ def _slots(roles: DataFrame) -> list[tuple[int, int]]:
     return sorted((r["seed"], r["fold"]) for r in roles.select("seed", "fold").distinct().collect())
 
 
+def _fold_rows(rows: DataFrame, roles: DataFrame, seed: int, fold: int, group: str) -> DataFrame:
+    slot = roles.where((F.col("seed") == seed) & (F.col("fold") == fold)).select(group, "role")
+    return rows.join(slot, group)
+
+
 def predict_fold(rows: DataFrame, roles: DataFrame, seed: int, fold: int, features: FeatureSet, spec: RunSpec,
                  labels: Sequence[str], group: str, label: str = "y_true") -> tuple[DataFrame | None, str, str]:
     """Fit on train, calibrate on calib, predict test of one (seed, fold): (predictions, status, reason)."""
-    slot = roles.where((F.col("seed") == seed) & (F.col("fold") == fold)).select(group, "role")
-    named = rows.join(slot, group).persist(StorageLevel.MEMORY_AND_DISK)  # read by every fitting job below
-    try:
-        return _fit_and_predict(named, seed, fold, features, spec, labels, group, label)
-    finally:
-        named.unpersist()  # later reads of the predictions recompute the join
+    return predict_fold_all(rows, roles, seed, fold, features, [spec], labels, group, label)[0]
 
 
-def _fit_and_predict(named: DataFrame, seed: int, fold: int, features: FeatureSet, spec: RunSpec,
-                     labels: Sequence[str], group: str, label: str) -> tuple[DataFrame | None, str, str]:
-    train_roles = ["train", "calib"] if spec.calibration == "none" else ["train"]
-    train = named.where(F.col("role").isin(train_roles))
-    prep = fit_preparation(train, features.categorical, features.numeric)
-    ready = lambda d: prep.apply(d.where(F.col(label).isNotNull()))
-    fitted = fit_classifier(ready(train), spec.model, labels, label, seed=seed, **dict(spec.params))
+def predict_fold_all(rows: DataFrame, roles: DataFrame, seed: int, fold: int, features: FeatureSet, specs: Sequence[RunSpec],
+                     labels: Sequence[str], group: str, label: str = "y_true") -> list[tuple[DataFrame | None, str, str]]:
+    """The same for several runs of one (seed, fold). Runs that learn from the same rows share preparation and model,
+    whatever their calibrations are."""
+    named = _fold_rows(rows, roles, seed, fold, group).persist(StorageLevel.MEMORY_AND_DISK)  # for the fitting jobs
+    try:
+        shared: dict = {}
+        return [_fit_and_predict(named, seed, fold, features, spec, labels, group, label, shared) for spec in specs]
+    finally:
+        named.unpersist()  # predictions are lazy; they read their test rows again
+
+
+def _fit_and_predict(named: DataFrame, seed: int, fold: int, features: FeatureSet, spec: RunSpec, labels: Sequence[str],
+                     group: str, label: str, shared: dict) -> tuple[DataFrame | None, str, str]:
+    train_roles = ("train", "calib") if spec.calibration == "none" else ("train",)
+    train = named.where(F.col("role").isin(list(train_roles)))
+    ready = lambda prep, d: prep.apply(d.where(F.col(label).isNotNull()))
+    if ("prep", train_roles) not in shared:
+        shared["prep", train_roles] = fit_preparation(train, features.categorical, features.numeric)
+    prep = shared["prep", train_roles]
+    key = (train_roles, spec.model, spec.params)
+    if key not in shared:
+        shared[key] = fit_classifier(ready(prep, train), spec.model, labels, label, seed=seed, **dict(spec.params))
+    fitted = shared[key]
     keep = ["row_id", group, label]
-    test = fitted.predict(ready(named.where("role = 'test'"))).select(*keep, *[f"prob_{x}" for x in labels])
+    cols = [f"prob_{x}" for x in labels]
+    test = fitted.predict(ready(prep, named.where("role = 'test'"))).select(*keep, *cols)
+    test = test.withColumns({f"prob_raw_{x}": F.col(f"prob_{x}") for x in labels})
+    raw = [f"prob_raw_{x}" for x in labels]
     if spec.calibration != "none":
-        calib = fitted.predict(ready(named.where("role = 'calib'"))).select(*keep, *[f"prob_{x}" for x in labels])
+        calib = fitted.predict(ready(prep, named.where("role = 'calib'"))).select(*keep, *cols)
         if spec.calibration == "isotonic":
             reason = isotonic_gate(_class_counts(calib, labels, label))
             if reason:
                 return None, "SKIP", reason
         if spec.calibration == "temperature":
-            cols = [f"prob_{x}" for x in labels]
             losses = late_fusion.temperature_losses(
                 calib.withColumnsRenamed({label: "y_true"}).withColumn("_k", F.lit(0)), ["_k"], cols, labels)
             best = late_fusion.select_temperature(losses, ["_k"])
-            test = late_fusion.apply_temperature(test.withColumn("_k", F.lit(0)), best, ["_k"], cols, labels).select(*keep, *cols)
+            test = late_fusion.apply_temperature(test.withColumn("_k", F.lit(0)), best, ["_k"], cols, labels).select(*keep, *cols, *raw)
         else:
             test = fit_calibrator(calib, spec.calibration, labels, label).apply(test)
-    cols = [F.col(f"prob_{x}") for x in labels]
+    final = [F.col(c) for c in cols]
     out = test.select(
         "row_id", F.lit(seed).alias("seed"), F.lit(fold).alias("fold"), F.lit("test").alias("split_role"),
-        group, F.col(label).alias("y_true"), probs.arg_max(cols, labels).alias("y_pred"),
-        F.greatest(*cols).alias("confidence"), *cols)
+        group, F.col(label).alias("y_true"), probs.arg_max(final, labels).alias("y_pred"),
+        F.greatest(*final).alias("confidence"), *final,
+        probs.arg_max([F.col(c) for c in raw], labels).alias("y_pred_raw"), *raw)
     return out, "OK", ""
 
 
+FITS_AT_ONCE = 4
+
+
+def out_of_fold_all(rows: DataFrame, roles: DataFrame, features: FeatureSet, specs: Sequence[RunSpec], labels: Sequence[str],
+                    group: str, label: str = "y_true") -> list[tuple[DataFrame | None, str, str]]:
+    """Predictions of every (seed, fold), one result for each run. Folds and seeds are few; each fit is a distributed
+    job, and ``FITS_AT_ONCE`` folds are fitted side by side, so that small steps of one fill the gaps of another.
+
+    Calibrated runs also hold the probabilities and labels before calibration (``prob_raw_*``, ``y_pred_raw``).
+    """
+    work = inheritable_thread_target(rows.sparkSession)(
+        lambda slot: predict_fold_all(rows, roles, *slot, features, specs, labels, group, label))
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(work, _slots(roles)))
+    out = []
+    for runs in zip(*parts):
+        bad = [r for r in runs if r[0] is None]
+        out.append((None, *bad[0][1:]) if bad else (reduce(DataFrame.unionByName, [r[0] for r in runs]), "OK", ""))
+    return out
+
+
 def out_of_fold(rows: DataFrame, roles: DataFrame, features: FeatureSet, spec: RunSpec, labels: Sequence[str],
                 group: str, label: str = "y_true") -> tuple[DataFrame | None, str, str]:
-    """Predictions of every (seed, fold). Folds and seeds are few; each fit is a distributed job."""
-    out = None
-    for seed, fold in _slots(roles):
-        part, status, reason = predict_fold(rows, roles, seed, fold, features, spec, labels, group, label)
-        if part is None:
-            return None, status, reason
-        out = part if out is None else out.unionByName(part)
-    return out, "OK", ""
+    """``out_of_fold_all`` of one run."""
+    return out_of_fold_all(rows, roles, features, [spec], labels, group, label)[0]
 
 
 def prediction_metrics(pred: DataFrame, keys: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -341,23 +393,34 @@ GRID_METRICS = ["balanced_accuracy", "macro_f1", "log_loss", "brier", "ece"]
 
 def compare_runs(rows: DataFrame, roles: DataFrame, features: FeatureSet, specs: Sequence[RunSpec],
                  labels: Sequence[str], group: str, label: str = "y_true") -> DataFrame:
-    """One row per (model, calibration): status, reason and the mean metrics over seeds. A combination
-    that fails is reported, not raised."""
+    """One row per (model, calibration): status, reason and the mean metrics over seeds, raw and calibrated. A
+    combination whose data do not allow its fit is reported; any other error is raised."""
     spark = rows.sparkSession
     states, tables = [], None
+    by_model: dict = {}
     for spec in specs:
+        by_model.setdefault((spec.model, spec.params), []).append(spec)
+    for group_of in by_model.values():
         try:
-            pred, status, reason = out_of_fold(rows, roles, features, spec, labels, group, label)
-            if pred is not None:
-                scored = prediction_metrics(pred, ["seed", "fold"], labels)
-                summary = metrics.two_level_rollup(scored, [], "seed", GRID_METRICS).select(
-                    F.lit(spec.model).alias("model"), F.lit(spec.calibration).alias("calibration"), "*")
-                # materialized here, so that a failing fit shows up as this combination's status
-                kept = spark.createDataFrame(summary.collect(), summary.schema)
-                tables = kept if tables is None else tables.unionByName(kept)
-        except Exception as error:  # noqa: BLE001
-            status, reason = "FAIL", f"{type(error).__name__}: {str(error)[:200]}"
-        states.append((spec.model, spec.calibration, status, reason))
+            runs = out_of_fold_all(rows, roles, features, group_of, labels, group, label)
+        except (ValueError, IllegalArgumentException) as error:
+            runs = [(None, "FAIL", f"{type(error).__name__}: {str(error)[:200]}")] * len(group_of)
+        for spec, (pred, status, reason) in zip(group_of, runs):
+            states.append((spec.model, spec.calibration, status, reason))
+            if pred is None:
+                continue
+            pred = pred.persist(StorageLevel.MEMORY_AND_DISK)  # every metric reads it
+            raw = pred.select("seed", "fold", "y_true", F.col("y_pred_raw").alias("y_pred"), *[
+                F.col(f"prob_raw_{x}").alias(f"prob_{x}") for x in labels]).withColumn(
+                    "confidence", F.greatest(*[F.col(f"prob_{x}") for x in labels]))
+            final = metrics.two_level_rollup(prediction_metrics(pred, ["seed", "fold"], labels), [], "seed", GRID_METRICS)
+            before = metrics.two_level_rollup(prediction_metrics(raw, ["seed", "fold"], labels), [], "seed", GRID_METRICS)
+            before = before.select(*[F.col(c).alias(f"raw_{c}") for c in before.columns])
+            summary = final.join(F.broadcast(before)).select(  # one row each
+                F.lit(spec.model).alias("model"), F.lit(spec.calibration).alias("calibration"), "*")
+            kept = spark.createDataFrame(summary.collect(), summary.schema)  # one row
+            pred.unpersist()
+            tables = kept if tables is None else tables.unionByName(kept)
     frame = spark.createDataFrame(states, "model string, calibration string, status string, reason string")
     return frame if tables is None else frame.join(tables, ["model", "calibration"], "left")
 
