@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Salt and counter-ion words left out of parent names.
-SALT_TOKENS = (
-    "hydrochloride hydrobromide hydroiodide hemifumarate fumarate maleate tartrate succinate "
-    "mesylate mesilate besylate besilate tosylate phosphate sulfate sulphate acetate citrate "
-    "nitrate oxalate carbonate bromide chloride iodide sodium potassium calcium magnesium "
-    "hydrate monohydrate dihydrate trihydrate hemihydrate sesquihydrate anhydrous hcl hbr"
-).split()
+SALT_TOKENS = [
+    "hydrochloride", "hydrobromide", "hydroiodide", "hemifumarate", "fumarate", "maleate", "tartrate", "succinate",
+    "mesylate", "mesilate", "besylate", "besilate", "tosylate", "phosphate", "sulfate", "sulphate", "acetate",
+    "citrate", "nitrate", "oxalate", "carbonate", "bromide", "chloride", "iodide", "sodium", "potassium", "calcium",
+    "magnesium", "hydrate", "monohydrate", "dihydrate", "trihydrate", "hemihydrate", "sesquihydrate", "anhydrous",
+    "hcl", "hbr",
+]
 # Words that are not part of a name.
 DROP_TOKENS = ["blinded"]
 # Misspelling -> name, applied always.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _GLYPHS = "".join(chr(0xF030 + i) for i in range(10)) + "\uf02e\uf06d\uf0b5"
 _REPAIRED = "0123456789.uu"
 
+# How numbers, concentrations and means with deviations are written.
 NUMBER = r"-?\d+(?:\.\d+)?"
 CONCENTRATION = r"(-?\d+(?:\.\d+)?)(\s*(?i:nM|uM|mM))"
 MEAN_SEM = r"(-?\d+(?:\.\d+)?)(?:\s*±\s*(-?\d+(?:\.\d+)?))?"
@@ -98,7 +99,7 @@ def header_units(header: Column) -> Column:
     )
 
 
-# Fixed value: spellings of micromolar.
+# How micromolar is written in column names.
 UNIT_HINT = r"(?i)µM|\buM\b|micromolar|micro mol|microM"
 
 
