@@ -24,7 +24,8 @@ def rows(t: Tables) -> DataFrame:
     return t.sql(ROWS)
 
 
-def outer_folds(t: Tables, seeds=(42,), n_splits: int = FOLDS) -> DataFrame:
+def outer_folds(t: Tables, seeds=(42,), n_splits: int | None = None) -> DataFrame:
+    n_splits = n_splits or FOLDS
     return folds.stratified_group_folds(rows(t), "grp", "y_true", LABELS, list(seeds), n_splits, **sizing(t))
 
 
@@ -36,7 +37,8 @@ def plain_roles(t: Tables, **kw) -> DataFrame:
                         F.when(F.col("_f") == F.col("fold"), "test").otherwise("train").alias("role"))
 
 
-def calibration_roles(t: Tables, n_splits: int = FOLDS) -> DataFrame:
+def calibration_roles(t: Tables, n_splits: int | None = None) -> DataFrame:
+    n_splits = n_splits or FOLDS
     # a table of groups, read once per fold
     return folds.calibration_roles(rows(t), outer_folds(t, n_splits=n_splits), "grp", "y_true", LABELS,
                                    n_outer=n_splits, **sizing(t)).persist()

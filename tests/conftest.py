@@ -23,6 +23,17 @@ def spark():
     yield session
 
 
+@pytest.fixture(scope="session", autouse=True)
+def short_model_runs():
+    """Two folds, one seed and small forests while pytest runs; the registered queries keep their full settings, which
+    tests/check_oracles.py runs."""
+    from evitrust.operators import modeling as M
+    from evitrust.plans import model_queries as Q
+    Q.FOLDS, Q.SEEDS = 2, (42,)
+    Q.MODELS[:] = [M.RunSpec("logistic", c) for c in ("none", "sigmoid", "isotonic", "temperature")] + [
+        M.RunSpec("forest", "none", (("trees", 10), ("depth", 5)))]
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
