@@ -8,10 +8,9 @@ sequence) with multiplicities. Spark then numbers the pieces of each length and
 from __future__ import annotations
 
 import json
-import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from evitrust.llm.words import slices
 CAPACITY = 2048
 END_ID = 0
 NODES = 20_000
+NODES_PER_LENGTH = 100
 ROWS_PER_SALT = 200_000
 
 Filling = tuple[tuple[int, ...], int]
@@ -110,86 +110,167 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return [*merged.items()]
 
 
-def completions(first: int, counts: dict[int, int], capacity: int, most: int, nodes: list[int]) -> list[tuple[int, ...]]:
-    """Undominated fillings around a piece of length ``first``, least waste first.
+def _reach(lengths: list[int], free: list[int], room: int) -> list[int]:
+    """For each place i, bits of all sums up to ``room`` that ``free[j]`` pieces of ``lengths[j]`` from i on can have."""
+    full, sums = (1 << room + 1) - 1, 1
+    out = [1] * (len(lengths) + 1)
+    for i in reversed(range(len(lengths))):
+        left, step = min(free[i], room // lengths[i]), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << step * lengths[i] & full
+            left, step = left - step, 2 * step
+        out[i] = sums
+    return out
+
 
-    Only maximal fillings count. One larger piece dominates smaller ones that fill the same room, so a perfect
-    partner ends the search; fillings with fewer and larger pieces come first among equal waste.
+def _dominated(items: tuple[int, ...], lengths: list[int], free: list[int], waste: int) -> bool:
+    """True if one free piece can take the place of several, of a smaller one or of part of the room left over."""
+    none_or_more, two_or_more, one = 1, 0, 0
+    for x in items:
+        two_or_more |= two_or_more << x | one << x
+        one |= 1 << x
+        none_or_more |= none_or_more << x
+    reached, width = none_or_more << 1, 1   # sums below the piece, by up to ``waste``
+    while width < waste:
+        more = min(width, waste - width)
+        reached |= reached << more
+        width += more
+    reached = two_or_more | (reached if waste else 0)
+    used = Counter(items)
+    return any(reached >> x & 1 and n > used[x] for x, n in zip(lengths, free))
+
+
+def completions(first: int, counts: dict[int, int], capacity: int, most_waste: int, spend: Callable[[], bool],
+                only_first: bool = False) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """All undominated fillings around a piece of length ``first``, least waste first, and if one dominates all others.
+
+    A single perfect partner, or no room, is such a filling and ends the enumeration. Otherwise every filling is given
+    that wastes at most ``most_waste`` and that no exchange of some pieces for one free piece improves. Sums that the
+    pieces can have are known beforehand, so no branch is a dead end. The first one given is never dominated: none
+    wastes less, and it takes the longest pieces.
     """
-    lengths = sorted((x for x in counts if x <= capacity - first), reverse=True)
-    found: dict[int, tuple[int, ...]] = {}
-
-    def free(length: int, items: tuple[int, ...]) -> bool:
-        return counts.get(length, 0) > items.count(length) + (length == first)
-
-    def extend(items: tuple[int, ...], room: int, at: int) -> bool:
-        """True once a perfect filling is found or the nodes are used up."""
-        nodes[0] -= 1
-        if not room or free(room, items):
-            found[0] = items + ((room,) if room else ())
-            return True
-        fits = [i for i in range(at, len(lengths)) if lengths[i] <= room and free(lengths[i], items)]
-        if not fits and (room not in found or len(items) < len(found[room])):
-            found[room] = items
-        return any(nodes[0] <= 0 or extend(items + (lengths[i],), room - lengths[i], i) for i in fits[:most])
-
-    extend((), capacity - first, 0)
-    return [(first, *found[w]) for w in sorted(found)]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branches: int = 3,
-                   most: int = 24) -> list[Filling]:
-    """Fillings with multiplicities that hold every piece once, in as few sequences as the search finds.
-
-    Best-fit decreasing is the first incumbent and ceil(tokens / capacity) the bound at which the search stops.
-    Otherwise the fillings around the longest piece left are tried, least waste first, each as often as the
-    histogram allows; a branch is cut when its waste exceeds what a better packing than the incumbent may waste.
-    ``nodes`` bounds the search, not the pieces: the incumbent is always a complete packing.
+    room = capacity - first
+
+    def free_of(length: int) -> int:
+        return counts.get(length, 0) - (length == first)
+
+    if not room or free_of(room) > 0:
+        yield (first, room) if room else (first,), True
+        return
+    lengths = sorted((x for x in counts if x <= room and free_of(x) > 0), reverse=True)
+    free = [free_of(x) for x in lengths]
+    reach = _reach(lengths, free, room)
+
+    def fill(at: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        for i in range(at, len(lengths)):
+            if not reach[i] >> rest & 1:
+                return
+            for k in range(min(free[i], rest // lengths[i]), 0, -1):
+                if reach[i + 1] >> rest - k * lengths[i] & 1:
+                    if not spend():
+                        return
+                    for tail in fill(i + 1, rest - k * lengths[i]):
+                        yield (lengths[i],) * k + tail
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[0] >> room - waste & 1:
+            for items in fill(0, room - waste):
+                if only_first or not _dominated(items, lengths, free, waste):
+                    yield (first, *items), False
+                    if only_first:
+                        return
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
+           nodes_per_length: int = NODES_PER_LENGTH) -> tuple[list[Filling], bool]:
+    """Fillings with multiplicities that hold every piece once, and whether they are proved to be the fewest.
+
+    Best-fit decreasing is the first incumbent. The search ends at ceil(tokens / capacity) or the number of pieces over
+    half the capacity. Otherwise every undominated filling around the longest piece left is tried, least waste first, at
+    every multiplicity from the largest to 1; a filling that was passed over does not come back for the same longest
+    piece. A branch is cut when its waste exceeds what a better packing than the incumbent may waste.
+
+    The first way down is free of any budget. After it, ``nodes`` and ``nodes_per_length`` for each distinct length
+    bound the steps of search and enumeration; what they find is then the incumbent, always a complete packing.
     """
     counts = {k: n for k, n in counts.items() if n}
     total = sum(k * n for k, n in counts.items())
     incumbent = best_fit(counts, capacity)
     size = sum(m for _, m in incumbent)
     bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
-    budget = [nodes]
-
-    def search(left: dict[int, int], chosen: list[Filling], used: int, waste: int) -> bool:
-        """True when a packing at the bound was found."""
-        nonlocal incumbent, size
-        while left:
-            budget[0] -= 1
-            if budget[0] <= 0:
-                return True
-            first = max(left)
-            options = completions(first, left, capacity, most, budget)[:branches]
-            for rank, items in enumerate(options):
-                need = Counter(items)
-                m = min(left[x] // k for x, k in need.items())
-                more = m * (capacity - sum(items))
-                if waste + more > (size - 1) * capacity - total:
+    budget = nodes + nodes_per_length * len(counts)
+    down = True      # still on the first way down
+
+    def spend() -> bool:
+        nonlocal budget
+        budget -= not down
+        return budget > 0
+
+    def children(left: dict[int, int], used: int, waste: int, barred: frozenset) -> Iterator[tuple]:
+        """(step, pieces left, sequences, waste, barred fillings) of each choice for the longest piece."""
+        first = max(left)
+
+        def spare() -> int:
+            return (size - 1) * capacity - total - waste
+
+        def ways() -> Iterator[tuple[tuple[int, ...], bool]]:
+            head = None
+            if not barred:   # the first one without keeping the tables of the others
+                head = next(completions(first, left, capacity, spare(), spend, True), None)
+                if head is None:
+                    return
+                yield head
+                if head[1]:
+                    return
+            yield from (w for w in completions(first, left, capacity, spare(), spend) if w != head)
+
+        passed = barred
+        for items, alone in ways():
+            if items in passed:
+                continue
+            passed = passed | {items}
+            need = Counter(items)
+            lost, most = capacity - sum(items), min(left[x] // k for x, k in need.items())
+            for m in range(most, most - 1 if alone else 0, -1):
+                if m * lost > spare():
                     continue
+                if not spend():
+                    return
                 after = dict(left)
                 for x, k in need.items():
                     after[x] -= k * m
                     if not after[x]:
                         del after[x]
-                step = (items, m)
-                if rank == len(options) - 1:
-                    break
-                if search(after, chosen + [step], used + m, waste + more):
-                    return True
-            else:
-                return False
-            left, used, waste = after, used + m, waste + more
-            chosen = chosen + [step]
-        if used < size:
-            incumbent, size = chosen, used
-        return size <= bound
+                yield (items, m), after, used + m, waste + m * lost, passed if first in after else frozenset()
 
     if size > bound:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        search(counts, [], 0, 0)
-    return incumbent
+        stack, chosen = [children(counts, 0, 0, frozenset())], []
+        while stack and size > bound and budget > 0:
+            found = next(stack[-1], None)
+            if found is None:
+                down = False
+                stack.pop()
+                if chosen:
+                    chosen.pop()
+                continue
+            step, left, used, waste, barred = found
+            if left:
+                chosen.append(step)
+                stack.append(children(left, used, waste, barred))
+            else:
+                down = False
+                if used < size:
+                    incumbent, size = chosen + [step], used
+    return incumbent, size <= bound or budget > 0
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Filling]:
+    """The fillings of ``search``."""
+    return search(counts, capacity, nodes)[0]
 
 
 def slot_rows(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]:

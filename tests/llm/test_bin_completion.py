@@ -92,3 +92,40 @@ def test_salted_ranks_repeated_rows_and_empty_table(spark, table):
     assert bc.pack_documents(table([]), PATH).count() == 0
     with pytest.raises(ValueError):
         bc.pack(pieces, 4)
+
+
+def test_no_undominated_filling_is_lost():
+    fillings, proved = bc.search(Counter([50, 49, 49, 31, 30, 26, 24, 21, 20]), 100)
+    assert proved and sum(m for _, m in fillings) == 3
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=7), st.integers(20, 30))
+def test_fillings_match_brute_force(items, capacity):
+    counts, first = Counter(items), max(items)
+    rest = counts - Counter([first])
+    every = {()}
+    for x in rest.elements():
+        every |= {tuple(sorted((*f, x), reverse=True)) for f in every if sum(f) + x <= capacity - first}
+
+    def better(f):
+        """Fillings made from f by one free piece in the place of several pieces, of a smaller one or of room."""
+        subsets = {()}
+        for x in f:
+            subsets |= {(*s, x) for s in subsets}
+        return any((sum(s) < x or sum(s) == x and len(s) > 1) and sum(f) - sum(s) + x <= capacity - first
+                   for s in subsets for x in rest - Counter(f))
+    want = {(first, *f) for f in every if not better(f)}
+    got = [*bc.completions(first, counts, capacity, capacity, lambda: True)]
+    if got[0][1]:
+        assert len(got) == 1 and got[0][0] in want
+    else:
+        assert len(got) == len(want) and {f for f, _ in got} == want
+        assert [sum(f) for f, _ in got] == sorted((sum(f) for f in want), reverse=True)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=5, max_size=10), st.integers(12, 24))
+def test_repeated_lengths_are_packed_in_the_fewest(items, capacity):
+    fillings, proved = bc.search(Counter(items), capacity)
+    assert proved and sum(m for _, m in fillings) == fewest(items, capacity)
