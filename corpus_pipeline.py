@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later runs of lines of 50 words or more that stand twice; n_chars follows the text."""
-    done = winnow_lines.dedup_lines(docs)
+    done = winnow_lines.dedup_lines(docs, every_place=True)
     return done.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

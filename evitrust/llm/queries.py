@@ -66,7 +66,7 @@ def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = winnow_lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    done = winnow_lines.dedup_lines(_table(spark, sf_dir, "documents"), every_place=True)
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -96,3 +96,37 @@ def test_no_window_is_lost_on_the_documents(documents):
     assert done.count() == documents.count()
     again = wl.dedup_lines(done).agg(F.sum("n_deleted")).first()[0]
     assert again <= 0.02 * done.agg(F.sum("n_lines")).first()[0]
+
+
+def brute_every_place(rows, k):
+    """Texts without the lines of any run of k words that stands at any place before."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        counted = [(j, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for j, x in enumerate((t or "").split("\n"))]
+        p, gone = [c for c in counted if c[2]], set()
+        for s in range(len(p)):
+            runs = [(e, tuple(x for _, x, _ in p[s:e + 1])) for e in range(s, len(p)) if sum(n for _, _, n in p[s:e + 1]) >= k]
+            gone |= {j for e, r in runs if r in seen for j, _, _ in p[s:e + 1]}
+            seen |= {r for _, r in runs}
+        out[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed,k", [(1, 1), (2, 4), (3, 6), (4, 9), (5, 12)])
+def test_every_place_matches_brute_force(table, seed, k):
+    rnd = random.Random(seed)
+    lines = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 9))) for _ in range(6)] + ["", "  ", "one two three", "x\ty"]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 12)))) for i in range(40)]
+    got = {r.doc_id: r.text for r in wl.dedup_lines(table(rows), min_words=k, every_place=True).collect()}
+    assert got == brute_every_place(rows, k)
+
+
+def test_queries_find_the_longer_run_behind_a_popular_passage(spark, table, tmp_path):
+    from evitrust.llm.queries import QUERIES
+    import corpus_pipeline
+    p, x = passage(60), passage(10, "x")
+    docs = table([(1, p), (2, f"{p}\n{x}"), (3, f"{p}\n{x}")])
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()} == {1: p, 2: x, 3: ""}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op10_winnow_lines"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_deleted for r in found} == {1: 0, 2: 1, 3: 2}
