@@ -122,3 +122,32 @@ def test_out_of_fold_covers_every_row_once(data):
     from evitrust.functions import probs
     from evitrust.operators import trust
     assert trust.argmax_mismatches(pred, "y_pred", probs.arg_max(cols, LABELS)).first()["n_mismatch"] == 0
+
+
+def test_every_seed_reaches_the_registered_runs(data, monkeypatch):
+    t, _, _ = data
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(name):
+        def run(rows, roles, *a, **kw):
+            seen[name] = ({r["seed"] for r in roles.select("seed").distinct().collect()}, a)
+            raise Stop
+        return run
+    monkeypatch.setattr(Q, "SEEDS", (42, 43, 44))
+    for f in ("out_of_fold", "compare_runs", "compare_feature_sets", "forest_baseline"):
+        monkeypatch.setattr(M, f, stop(f))
+    from evitrust.plans import load_all
+    queries = load_all()
+    for name in ("model_calibration_grid", "default_model_choice", "feature_set_comparison", "feature_ablation_equality",
+                 "sigmoid_calibrated_predictions", "isotonic_calibrated_predictions", "boosting_out_of_fold",
+                 "entity_model_plausibility", "forest_baseline", "logistic_out_of_fold"):
+        with pytest.raises(Stop):
+            queries[name].run(t)
+        assert [s for s, _ in seen.values()] == [{42, 43, 44}], name
+        seen.clear()
+    with pytest.raises(Stop):
+        queries["boosting_facts"].run(t)
+    assert M.RunSpec("boosting", "none") in seen["out_of_fold"][1]
