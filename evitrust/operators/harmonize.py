@@ -173,26 +173,29 @@ def priority_violations(wide: DataFrame, cells: DataFrame, channels: Sequence[st
 
 
 def gap_fill(primary: DataFrame, secondary: DataFrame, reference: DataFrame, key: str,
-             n_col: str) -> DataFrame:
+             n_col: str, by: Sequence[str] = ()) -> DataFrame:
     """Primary rows plus secondary rows of reference keys the primary lacks and that have data.
 
-    Columns the secondary table does not have become null.
+    With ``by`` the primary must lack the key for these columns. Columns the secondary table does not have become null.
     """
     extra = (
         secondary.where(F.col(n_col) > 0)
         .join(reference.select(key).distinct(), key, "left_semi")
-        .join(primary.select(key).distinct(), key, "left_anti")
+        .join(primary.select(key, *by).distinct(), [key, *by], "left_anti")
     )
     return primary.unionByName(extra, allowMissingColumns=True)
 
 
 def gapfill_summary(wanted: DataFrame, resolved: DataFrame, activities: DataFrame, key: str,
-                    catalogue_id: str, value: str, **sizing) -> DataFrame:
-    """Statistics of the convertible values of every wanted entity; n = 0 where unresolved or empty."""
-    stats = value_summary(activities.where(F.col(value).isNotNull()), [catalogue_id], value, **sizing)
-    joined = wanted.select(key).distinct().join(resolved.select(key, catalogue_id), key, "left")
-    return joined.join(stats, catalogue_id, "left").fillna({"n": 0}).select(
-        key, catalogue_id, "n", "mean", "std", "median", "iqr", "min", "max")
+                    catalogue_id: str, value: str, by: Sequence[str] = (), **sizing) -> DataFrame:
+    """Statistics of the convertible values of every wanted entity; n = 0 where unresolved or empty.
+
+    ``by`` names further key columns of ``wanted`` and ``activities``.
+    """
+    stats = value_summary(activities.where(F.col(value).isNotNull()), [catalogue_id, *by], value, **sizing)
+    joined = wanted.select(key, *by).distinct().join(resolved.select(key, catalogue_id), key, "left")
+    return joined.join(stats, [catalogue_id, *by], "left").fillna({"n": 0}).select(
+        key, *by, catalogue_id, "n", "mean", "std", "median", "iqr", "min", "max")
 
 
 def source_set(df: DataFrame, entity: str, source: str, ranks: Mapping[str, int], sep: str = "+") -> DataFrame:

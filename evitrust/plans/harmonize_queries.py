@@ -323,6 +323,41 @@ def gapfill_summary(t):
     return rounded(out, "mean", "std", "median", "iqr", "min", "max", digits=6)
 
 
+CHANNEL_CTE = "ch AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in CHANNELS) + ") AS v(channel))"
+
+
+@query("gap_fill_channels", f"""WITH {M_CTE}, p AS (SELECT entity, channel, avg(value_um) AS mean, count(*) AS n FROM conv WHERE source='src_a' GROUP BY 1,2),
+ s AS (SELECT entity, channel, avg(value_um) AS mean, count(*) AS n FROM conv WHERE source<>'src_a' GROUP BY 1,2)
+ SELECT entity, channel, round(mean,6) AS mean, n, 'primary' AS origin, true AS measured FROM p UNION ALL
+ SELECT entity, channel, round(mean,6), n, 'secondary', NULL FROM s WHERE entity IN (SELECT entity FROM ref)
+ AND NOT EXISTS (SELECT 1 FROM p WHERE p.entity=s.entity AND p.channel=s.channel)""")
+def gap_fill_channels(t):
+    """gap_fill for each channel."""
+    rows = converted(t)
+    agg = lambda d, o: d.groupBy("entity", "channel").agg(F.round(F.avg("value_um"), 6).alias("mean"),
+                                                          F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit(o))
+    first = agg(rows.where("source = 'src_a'"), "primary").withColumn("measured", F.lit(True))
+    return harmonize.gap_fill(first, agg(rows.where("source <> 'src_a'"), "secondary"), reference(t), "entity", "n",
+                              by=["channel"])
+
+
+@query("gapfill_summary_channels", f"""WITH {M_CTE}, {CHANNEL_CTE}, cat AS (SELECT p_partkey AS entity, p_partkey*10 AS catalogue_id FROM {{part}} WHERE p_partkey%5<>0),
+ act AS (SELECT entity*10 AS catalogue_id, channel, value_um FROM conv WHERE standard_type='IC50' AND relation='=')
+ SELECT r.entity, ch.channel, c.catalogue_id, count(value_um) AS n, round(avg(value_um),6) AS mean,
+ round(CASE WHEN count(value_um)=1 THEN 0 ELSE stddev_samp(value_um) END,6) AS std, round(median(value_um),6) AS median,
+ round(quantile_cont(value_um,0.75)-quantile_cont(value_um,0.25),6) AS iqr, round(min(value_um),6) AS min, round(max(value_um),6) AS max
+ FROM ref r CROSS JOIN ch LEFT JOIN cat c ON r.entity=c.entity LEFT JOIN act a ON a.catalogue_id=c.catalogue_id AND a.channel=ch.channel GROUP BY 1,2,3""")
+def gapfill_summary_channels(t):
+    """gapfill_summary for each channel of the reference."""
+    resolved = t.part.where("p_partkey % 5 <> 0").select(
+        F.col("p_partkey").alias("entity"), (F.col("p_partkey") * 10).alias("catalogue_id"))
+    act = C.strict_rows(measurements(t)).select((F.col("entity") * 10).alias("catalogue_id"), "channel", "value_um")
+    wanted = reference(t).select("entity", F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
+    out = harmonize.gapfill_summary(wanted, resolved, act, "entity", "catalogue_id", "value_um", by=["channel"],
+                                    **sizing(t, "lineitem"))
+    return rounded(out, "mean", "std", "median", "iqr", "min", "max", digits=6)
+
+
 @query("feature_join", f"""WITH {CELL_CTE}, {WIDE_CTE} SELECT l_orderkey, l_partkey, n_channels_present, round("ic50_uM_ch1",6) AS ic50_ch1
  FROM {{lineitem}} LEFT JOIN wide ON l_partkey=entity""")
 def feature_join(t):

@@ -47,3 +47,13 @@ def test_no_cartesian_product(spark, sf_dir):
     for name in WITH_SQL:
         plan = QUERIES[name].run(t)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+@pytest.mark.parametrize("name,rest", [("gap_fill", ["mean", "n", "origin"]), ("gapfill_summary", ["n", "mean", "median"])])
+def test_channel_queries_hold_every_channel(spark, sf_dir, name, rest):
+    t = Tables(spark, sf_dir)
+    every = QUERIES[f"{name}_channels"].run(t).persist()
+    assert every.select("channel").distinct().count() == 7
+    one = {"gap_fill": "ch1", "gapfill_summary": "ch2"}[name]
+    got = every.where(f"channel = '{one}'").select("entity", *rest)
+    assert sorted(map(str, got.collect())) == sorted(map(str, QUERIES[name].run(t).select("entity", *rest).collect()))
