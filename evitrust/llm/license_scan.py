@@ -1,8 +1,7 @@
 """Licence families of paragraphs: sparse word n-gram logistic regression, a calibrated unknown class, and a comparison
 with the family's templates that confirms a prediction. DataFrame and Spark ML functions only.
 
-A paragraph is a line. Its features are the word n-grams (1 to 3) that hold an anchor word, so a paragraph without one
-has no features and is unknown by the intercept alone; such paragraphs are dropped before any n-gram is made.
+A paragraph is a line, and every one is classified. Its features are the word n-grams (1 to 3) that a template holds.
 """
 
 from __future__ import annotations
@@ -23,11 +22,6 @@ WINDOW_WORDS = 7
 CONFIRM = 0.6           # share of trigrams in common with a template
 
 
-def anchor_pattern() -> str:
-    """For a quick look at whole texts: an anchor word with no letter or digit of the same script beside it."""
-    return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS, key=len, reverse=True)) + ")(?![a-z0-9])"
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -39,19 +33,27 @@ def grams(tokens: str, n: int) -> Column:
                   f"transform(sequence(0, greatest(size({tokens}) - {n}, 0)), i -> array_join(slice({tokens}, i + 1, {n}), ' ')))")
 
 
-def _featured(df: DataFrame) -> DataFrame:
-    """Adds ``features`` (n-grams with an anchor) and ``trigrams`` to a frame with ``words``; shorter paragraphs than
-    three words have their whole sequence as the one trigram."""
+def every_gram() -> Column:
+    return F.concat(grams("words", 1), grams("words", 2), grams("words", 3))
+
+
+def _featured(df: DataFrame, anchored: bool = True) -> DataFrame:
+    """Adds ``features`` (n-grams, or only those with an anchor) and ``trigrams`` to a frame with ``words``; shorter
+    paragraphs than three words have their whole sequence as the one trigram."""
     anchors = F.array(*map(F.lit, ANCHORS))
-    every = F.concat(grams("words", 1), grams("words", 2), grams("words", 3))
-    return df.withColumn("features", F.filter(every, lambda g: F.arrays_overlap(F.split(g, " "), anchors))).withColumn(
+    held = F.filter(every_gram(), lambda g: F.arrays_overlap(F.split(g, " "), anchors)) if anchored else every_gram()
+    return _trigrams(df.withColumn("features", held))
+
+
+def _trigrams(df: DataFrame) -> DataFrame:
+    return df.withColumn(
         "trigrams", F.when(F.size("words") < 3, F.array(F.array_join("words", " "))).otherwise(F.array_distinct(grams("words", 3))))
 
 
 def templates(spark: SparkSession) -> DataFrame:
     rows = [F.struct(F.lit(family).alias("family"), F.lit(i).alias("template"), F.lit(text).alias("text"))
             for family, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    return _featured(spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words(F.col("text"))))
+    return _featured(spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words(F.col("text"))), False)
 
 
 @dataclass
@@ -62,20 +64,21 @@ class Model:
 
 
 def training_rows(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Rows (family, words, features, trigrams): templates whole and in windows of words, ordinary uses of the same
-    words, and lines of about ``sample_docs`` documents that share no trigram with a template."""
+    """Rows (family, words, features, trigrams): templates whole, without "the" and "license", and in windows of words,
+    ordinary uses of the same words, and lines of about ``sample_docs`` documents that share no trigram with a template."""
     spark = docs.sparkSession
     known = templates(spark)
     step = F.expr(f"transform(sequence(0, greatest(size(words) - {WINDOW_WORDS}, 0), 2), i -> slice(words, i + 1, {WINDOW_WORDS}))")
-    parts = known.select("family", F.explode(F.array_union(F.array("words"), step)).alias("words"))
-    parts = _featured(parts).where(F.size("features") > 0)
+    brief = F.filter("words", lambda w: ~w.isin("the", "license"))  # as in 'Released under MIT'
+    parts = known.select("family", F.explode(F.array_union(F.array("words", brief), step)).alias("words"))
+    parts = _featured(parts, False)
     ambiguous = parts.groupBy("words").agg(F.countDistinct("family").alias("n")).where("n > 1").select("words")
     parts = parts.join(F.broadcast(ambiguous), "words", "left_anti").select("family", "words", "features", "trigrams")
     other = spark.range(1).select(F.explode(F.array(*map(F.lit, OTHER))).alias("text"))
     share = min(1.0, sample_docs / max(docs.count(), 1))
     lines = docs.where(F.pmod(F.xxhash64(text_col, F.lit("licence")), F.lit(1_000_000)) <= int(share * 1_000_000)).select(
         F.explode(F.split(text_col, "\n")).alias("text"))
-    ordinary = _featured(other.union(lines).withColumn("words", words(F.col("text")))).where(F.size("words") > 0)
+    ordinary = _featured(other.union(lines).withColumn("words", words(F.col("text"))), False).where(F.size("words") > 0)
     seen = sorted({g for r in known.select("trigrams").collect() for g in r[0]})  # of the templates only
     ordinary = ordinary.where(~F.arrays_overlap(F.col("trigrams"), F.lit(seen)) | (F.size("words") < 3))
     return parts.union(ordinary.select(F.lit(UNKNOWN), "words", "features", "trigrams"))
@@ -86,11 +89,12 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
 
     The learning rows are the templates' and a bounded sample of lines, whatever the size of the corpus.
     """
-    rows = training_rows(docs, text_col, sample_docs).select("family", F.array_sort(F.array_distinct("features")).alias("features"))
+    vocabulary = sorted({g for r in templates(docs.sparkSession).select("features").collect() for g in r[0]})
+    rows = training_rows(docs, text_col, sample_docs).select(
+        "family", F.array_sort(F.array_intersect("features", F.lit(vocabulary))).alias("features"))
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1.0)
     rows = rows.groupBy("label", "features").agg(F.least(F.count(F.lit(1)), F.lit(20)).cast("double").alias("weight"))
     rows = rows.coalesce(1).sortWithinPartitions("label", "features").cache()
-    vocabulary = [r[0] for r in rows.select(F.explode("features").alias("g")).distinct().orderBy("g").collect()]
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="vector", binary=True)
     held = F.pmod(F.xxhash64("features"), F.lit(5)) == 0
     regression = LogisticRegression(featuresCol="vector", weightCol="weight", family="multinomial", regParam=2e-4,
@@ -114,23 +118,22 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     line counts from 0. probability is that of the likeliest family; below the calibrated least the paragraph is unknown.
     similarity is the largest share of trigrams that the paragraph has in common with a template of that family, of the
-    smaller of both sets; a family is confirmed from ``confirm`` on. ``every`` also gives unknown paragraphs that hold an
-    anchor word. Null and empty texts give no row, repeated rows each their own. Nothing is shuffled.
+    smaller of both sets; a family is confirmed from ``confirm`` on. ``every`` also gives unknown paragraphs. Null and empty texts give no row, repeated rows each their own. Nothing is shuffled.
     """
     spark = docs.sparkSession
-    lines = docs.where(F.col(text_col).rlike(anchor_pattern())).select(
+    lines = docs.select(
         F.col(id_col).alias(id_col), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    rows = _featured(lines.where(F.col("paragraph").rlike(anchor_pattern())).withColumn("words", words(F.col("paragraph"))))
+    rows = lines.withColumn("words", words(F.col("paragraph"))).where(F.size("words") > 0).withColumn("features", every_gram())
     p = vector_to_array("probability")
     judged = model.regression.transform(model.vectors.transform(rows)).withColumn("_p", F.slice(p, 2, len(FAMILIES) - 1))
     judged = judged.withColumn("_best", F.array_max("_p"))
     named = F.element_at(F.array(*map(F.lit, FAMILIES[1:])), F.array_position("_p", F.col("_best")).cast("int"))
     judged = judged.withColumn("family", F.when(F.col("_best") >= model.least, named).otherwise(UNKNOWN))
+    judged = _trigrams(judged if every else judged.where(F.col("family") != UNKNOWN))
     shapes = templates(spark).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("template", "trigrams"))).alias("_shapes"))
     same = F.expr("transform(_shapes, t -> struct(size(array_intersect(t.trigrams, trigrams)) / "
                   "least(size(t.trigrams), size(trigrams)) AS similarity, -t.template AS template))")
     out = judged.join(F.broadcast(shapes), "family", "left").withColumn("_near", F.array_max(same))
     out = out.select(id_col, "line", "paragraph", "family", F.col("_best").alias("probability"),
                      (-F.col("_near.template")).alias("template"), F.coalesce("_near.similarity", F.lit(0.0)).alias("similarity"))
-    out = out.withColumn("confirmed", F.col("similarity") >= confirm)
-    return out if every else out.where(F.col("family") != UNKNOWN)
+    return out.withColumn("confirmed", F.col("similarity") >= confirm)

@@ -83,3 +83,10 @@ def test_documents(documents, model):
     got = scan.scan(documents, model)
     assert {(r.doc_id, r.line) for r in got.collect()} == want
     assert got.where("NOT confirmed").count() == 0
+
+
+def test_notices_without_an_anchor_are_classified(table, model):
+    texts = [("mit", "Released under MIT."), ("apache", "Distributed under Apache 2.0."), ("apache", "Source code: Apache-2.0"),
+             ("mit", "to use, copy, modify, merge, publish, distribute")]
+    got = {r.doc_id: r.family for r in scan.scan(table([t for _, t in texts]), model).collect()}
+    assert got == {i: f for i, (f, _) in enumerate(texts)}
