@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import (bin_completion, deleted_interpolation, language_id, license_scan, line_crf, progressive_dedup,
+from evitrust.llm import (bin_completion, deleted_interpolation, hash_ring, language_id, license_scan, line_crf, progressive_dedup,
                           rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines)
 
 
@@ -70,9 +70,14 @@ def op10_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = hash_ring.shard(_table(spark, sf_dir, "documents"), 24)
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_deleted_interpolation, op2_rule_cascade, op3_license_scan, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree,
-    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines)}
+    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines, op11_hash_ring)}
 
 ORACLES = {
     "op9_progressive_dedup": """
