@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm import (bin_completion, deleted_interpolation, hash_ring, language_id, license_scan, line_crf, progressive_dedup,
+from evitrust.llm import (bin_completion, blocked_search, deleted_interpolation, hash_ring, language_id, license_scan, line_crf, progressive_dedup,
                           rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines)
 
 
@@ -75,13 +75,42 @@ def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_deleted_interpolation, op2_rule_cascade, op3_license_scan, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree,
-    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines, op11_hash_ring)}
+    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines, op11_hash_ring, op13_blocked_search)}
 
 ORACLES = {
     "op9_progressive_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_blocked_search": r"""
+        WITH said AS (
+            SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        asked AS (
+            SELECT item_id, unnest(list_distinct(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+        sizes AS (SELECT place, doc_id, len(terms) AS n FROM said),
+        totals AS (SELECT CAST(count(*) FILTER (n > 0) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+        hits AS (
+            SELECT place, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT place, unnest(terms) AS term FROM said)
+            WHERE term IN (SELECT term FROM asked) GROUP BY place, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM hits, totals GROUP BY term, docs),
+        scored AS (
+            SELECT item_id, doc_id, place, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+            FROM asked JOIN hits USING (term) JOIN weights USING (term) JOIN sizes USING (place), totals
+            GROUP BY item_id, doc_id, place),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, place) AS rank, doc_id, score
+            FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
