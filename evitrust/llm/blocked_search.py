@@ -1,9 +1,9 @@
 """Exact top-k lexical search over posting lists that are cut into blocks of similar documents.
 
 Documents are tokenised once, into the terms that the queries hold; sums over all of them give the term weights. Slabs of
-documents are then searched side by side. In a slab every posting list a query needs is clustered: documents go to the
-nearest of some of its members by a random projection of their term scores, clusters are cut into blocks. A block keeps
-the coordinatewise maximum of its documents' scores. A query adds up these maxima over its terms; that is at least the
+documents are then searched side by side. In a slab every posting list a query needs is clustered: each document goes to
+the nearest of some of its members, by the cosine of their scores in the terms that are asked for together with the
+list's, and clusters are cut into blocks. A block keeps the coordinatewise maximum of its documents' scores. A query adds up these maxima over its terms; that is at least the
 score of every document of the block, so a block whose sum is below the k-th best score known is skipped, all others are
 scored document by document. Lists are visited from the heaviest term on; terms that cannot reach the k-th best score
 together need no visit.
@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evitrust.llm.storage import written
 from evitrust.llm.words import slices
 
-BLOCK_DOCS = 32               # documents of a block, about
-CENTRES = 128                 # clusters of one posting list at most; larger clusters are cut into blocks
-PROJECTION = 24               # directions of the random projection
+BLOCK_DOCS = 8                # documents of a block at most
+CENTRES = 128                 # clusters of a part of a posting list at most; larger clusters are cut into blocks
 SLAB_POSTINGS = 1_000_000     # postings of the documents that are searched together, about
 SAMPLE = 32                   # one document in so many gives the first bounds
 QUERY_BYTES = 4 << 20         # text of the queries that go over the documents together
-PART_CELLS = 2_000_000        # cells of a dense part of a posting list
+PART_CELLS = 2_000_000        # documents times terms of a part of a posting list
 
 #: Bytes of a term, A-Z lower-cased; all others are spaces.
 _KEEP = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
@@ -82,25 +81,6 @@ class Slab:
         self.list_doc, self.list_start = doc[order], np.searchsorted(terms[order], np.arange(n_terms + 1))
         self.most = np.zeros(n_terms, np.int64)
         np.maximum.at(self.most, terms, scores)
-        directions = np.random.default_rng(1).standard_normal((n_terms, PROJECTION)).astype(np.float32)
-        self.sketch = np.zeros((len(lengths), PROJECTION), np.float32)
-        full = np.flatnonzero(lengths)
-        if len(full):
-            for j in range(PROJECTION):
-                self.sketch[full, j] = np.add.reduceat(scores * directions[terms, j], self.starts[full])
-            self.sketch /= np.maximum(np.linalg.norm(self.sketch, axis=1, keepdims=True), 1e-9)
-
-    def blocks(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents of a term, similar ones side by side, and where each block of them begins."""
-        docs = self.list_doc[self.list_start[term]:self.list_start[term + 1]]
-        n = min(CENTRES, -(-len(docs) // BLOCK_DOCS))
-        near = np.zeros(len(docs), np.int64)
-        if n > 1:
-            near = np.argmax(self.sketch[docs] @ self.sketch[docs[np.arange(n) * len(docs) // n]].T, axis=1)
-        order = np.argsort(near, kind="stable")
-        within = np.arange(len(docs)) - np.searchsorted(near[order], near[order])
-        return docs[order], np.flatnonzero(within % BLOCK_DOCS == 0)
-
     def dense(self, docs: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """Scores of documents in the terms that have a place."""
         n = self.lengths[docs]
@@ -112,6 +92,20 @@ class Slab:
         return out
 
 
+def blocks(cells: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows with similar ones side by side, and where each block of them begins. The list's own term,
+    column ``own``, does not count."""
+    x = cells.astype(np.float32)
+    x[:, own] = 0
+    total = x.sum(axis=1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    n = min(CENTRES, -(-len(x) // BLOCK_DOCS))
+    near = np.argmax(x @ x[np.arange(n) * len(x) // n].T, axis=1)
+    order = np.lexsort((-total, near))
+    within = np.arange(len(x)) - np.searchsorted(near[order], near[order])
+    return order, np.flatnonzero(within % BLOCK_DOCS == 0)
+
+
 class Best:
     """The best documents of one query: those that may still be among its k best."""
 
@@ -149,15 +143,15 @@ def search_slab(slab: Slab, queries: list[np.ndarray], least: np.ndarray, k: int
             continue
         wide = np.unique(np.concatenate([queries[q] for q in asks]))
         place[wide] = np.arange(len(wide))
-        docs, begin = slab.blocks(term)
-        step = max(1, PART_CELLS // len(wide) // BLOCK_DOCS)
-        for b in range(0, len(begin), step):
-            inner = begin[b:b + step]
-            stop = begin[b + step] if b + step < len(begin) else len(docs)
-            part = docs[inner[0]:stop]
+        docs = slab.list_doc[slab.list_start[term]:slab.list_start[term + 1]]
+        step = max(BLOCK_DOCS, PART_CELLS // len(wide))
+        for at in range(0, len(docs), step):
+            part = docs[at:at + step]
             cells = slab.dense(part, place, len(wide))
-            summary = np.maximum.reduceat(cells, inner - inner[0], axis=0)
-            block = np.searchsorted(inner, np.arange(inner[0], stop), side="right") - 1
+            order, begin = blocks(cells, place[term])
+            part, cells = part[order], cells[order]
+            summary = np.maximum.reduceat(cells, begin, axis=0)
+            block = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(part)]))
             for q in asks:
                 columns = place[queries[q]]
                 live = summary[:, columns].sum(axis=1) >= best[q].least

@@ -79,11 +79,9 @@ def test_summaries_bound_every_document():
     lengths = rng.integers(0, 9, 80)
     terms_ = np.concatenate([rng.permutation(12)[:n] for n in lengths])
     slab = bs.Slab(lengths, terms_, rng.integers(1, 99, lengths.sum()), 12)
-    place = np.arange(12)
-    for t in range(12):
-        docs, begin = slab.blocks(t)
-        cells = slab.dense(docs, place, 12)
-        top = np.maximum.reduceat(cells, begin, axis=0)
-        for a, b, row in zip(begin, np.r_[begin[1:], len(docs)], top):
-            assert (cells[a:b] <= row).all() and (cells[a:b, t] > 0).all()
-        assert sorted(docs) == sorted(slab.list_doc[slab.list_start[t]:slab.list_start[t + 1]])
+    cells = slab.dense(np.arange(80), np.arange(12), 12)
+    assert (slab.most == cells.max(axis=0)).all()
+    order, begin = bs.blocks(cells, 3)
+    assert sorted(order) == list(range(80)) and np.diff(np.r_[begin, 80]).max() <= bs.BLOCK_DOCS
+    for a, b in zip(begin, np.r_[begin[1:], 80]):
+        assert (cells[order[a:b]] <= np.maximum.reduceat(cells[order], begin, axis=0)[begin == a]).all()
