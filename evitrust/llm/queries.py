@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evitrust.llm import (bin_completion, blocked_search, deleted_interpolation, hash_ring, language_id, license_scan, line_crf, progressive_dedup,
-                          rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines)
+                          recompressed_runs, rule_cascade, sentencepiece_bpe, signature_tree, winnow_lines)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,13 +75,42 @@ def op11_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Texts, of which one in ten by crc32 of the id goes on periodically from some word on. A null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        at = F.struct(F.pmod(F.floor(h / 10), n).alias("a"))
+        at = at.withField("p", 1 + F.floor((n - at.a) / (3 + F.floor(h / 10) % 8)))
+        where = F.transform(F.array(at), lambda x: F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < x.a, i).otherwise(x.a + (i - x.a) % x.p)))[0]
+        return F.when(n > 0, F.concat_ws(" ", F.transform(where, lambda i: w[i.cast("int")]))).otherwise("")
+
+    changed = F.transform(F.array(words), periodic)[0]      # the words are taken out once
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(text).alias("text"))
+
+
+def op12_recompressed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = recompressed_runs.collapse_runs(_with_periods(_table(spark, sf_dir, "documents")))
+    better = lambda x, y: (x.length * y.period > y.length * x.period)  # noqa: E731, runs stand by start, then period
+    top = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, x: F.when(better(x, best), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", *(x[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    done = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, top).alias("top"),
+                       F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return done.select("doc_id", "n_runs", *(F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")),
+                       F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_deleted_interpolation, op2_rule_cascade, op3_license_scan, op4_language_id, op5_sentencepiece_bpe, op6_signature_tree,
-    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines, op11_hash_ring, op13_blocked_search)}
+    op7_line_crf, op8_bin_completion, op9_progressive_dedup, op10_winnow_lines, op11_hash_ring, op12_recompressed_runs, op13_blocked_search)}
 
 ORACLES = {
     "op9_progressive_dedup": """
