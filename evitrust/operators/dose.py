@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from evitrust.sources import shared
 
 # Bounds of the fit and the response below which a curve counts as censored.
 IC50_BOUNDS = (1e-6, 1e6)
@@ -106,15 +107,6 @@ def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.drop(columns=["_pts"]).assign(_u=[f[0] for f in fits], _h=[f[1] for f in fits])
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-    if not (named or local):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="spark-")
-
-
 def _fit_distributed(points: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same damped steps for curves with very many points: every step is one partially aggregated
     pass over the points, and only the parameters (one row per curve) are carried on."""
@@ -178,7 +170,7 @@ def fit_curves(df: DataFrame, keys: Sequence[str], conc: str, response: str,
     if large.limit(1).count():
         spark = df.sparkSession
         if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+            spark.sparkContext.setCheckpointDir(shared.folder(spark))
         big_points = points.join(large.select(*keys), keys, "left_semi")
         fitted = fitted.unionByName(_fit_distributed(big_points, large, keys))
     out = rules.drop("_u", "_h").join(fitted, keys, "left")

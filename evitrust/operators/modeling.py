@@ -473,11 +473,9 @@ def forest_baseline(rows: DataFrame, folds: DataFrame, features: FeatureSet, lab
 
 def shuffled_column(df: DataFrame, row_id: str, column: str, salt: str, **sizing) -> DataFrame:
     """(row_id, column) with the column's values dealt to other rows in md5 order, distributed."""
-    text = F.md5(F.concat_ws(":", F.lit(salt), F.col(row_id).cast("string")))
-    work = df.select(row_id, column, text.alias("_h"), F.conv(F.substring(text, 1, 15), 16, 10).cast("double").alias("_v"))
-    slim = work.withColumn("_r", F.col(row_id).cast("double"))
-    takes = ordering.row_positions(slim, [], "_r", [row_id], position="_at", total="_n", **sizing).select(row_id, "_at")
-    gives = ordering.row_positions(slim, [], "_v", [row_id], position="_at", total="_n", **sizing).select("_at", column)
+    work = df.select(row_id, column, F.md5(F.concat_ws(":", F.lit(salt), F.col(row_id).cast("string"))).alias("_h"))
+    takes = ordering.row_positions(work, [], row_id, [], position="_at", total="_n", **sizing).select(row_id, "_at")
+    gives = ordering.row_positions(work, [], "_h", [row_id], position="_at", total="_n", **sizing).select("_at", column)
     return takes.join(gives, "_at").select(row_id, column)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 MAX_ROWS_PER_RANGE = 1_000_000
 CUTS = 1_023        # cuts that one binary search looks through, a power of two less one
@@ -137,6 +137,25 @@ def cumulative(
     )
 
 
+def falling(df: DataFrame, column: str) -> Column:
+    """A key whose rising order is the falling order of a column, without loss for any type."""
+    kind, x = df.select(column).schema[0].dataType, F.col(column)
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(x)                     # -x - 1, which also the smallest number has
+    if isinstance(kind, T.NumericType):
+        return -x
+    if isinstance(kind, T.BooleanType):
+        return ~x
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(x)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(x)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        turned = F.translate(F.hex(x), "0123456789ABCDEF", "FEDCBA9876543210")
+        return F.concat(turned, F.lit("G"))         # behind every digit: a longer text comes before its beginning
+    raise TypeError(f"no falling order for {kind.simpleString()}")
+
+
 def row_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -148,9 +167,9 @@ def row_positions(
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
     group_at_most: int | None = None,
 ) -> DataFrame:
-    """1-based position by (value, tie) within ``keys`` plus the group size."""
-    signed = -F.col(value) if descending else F.col(value)
-    work = df.withColumn("_signed", signed.cast("double"))
+    """1-based position by (value, tie) within ``keys`` plus the group size. Values of any type that can be ordered are
+    compared as they are; nulls come first and NaN last in both directions."""
+    work = df.withColumn("_signed", falling(df, value) if descending else F.col(value))
     out = cumulative(work, keys, "_signed", {"_pos": F.lit(1).cast("bigint")}, tie, max_rows_per_range,
                      group_at_most)
     return (

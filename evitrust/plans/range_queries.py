@@ -34,6 +34,20 @@ def positions_in_ranges(t):
     return out.select("grp", "name", F.col("pos").cast("bigint").alias("pos"), "n_total")
 
 
+LARGE = """SELECT CAST(o_custkey % 3 AS INT) AS grp, 1152921504606846976 + CAST(o_orderkey * 7919 % 1000003 AS BIGINT) AS big, o_comment_free AS name, o_orderkey AS id
+ FROM (SELECT *, o_orderpriority || CAST(o_orderkey % 7 AS VARCHAR(1)) AS o_comment_free FROM {orders}) o"""
+
+
+@query("positions_of_large_integers", f"""WITH x AS ({LARGE}) SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY big DESC, id) AS by_number,
+ row_number() OVER (PARTITION BY grp ORDER BY name DESC, id) AS by_text FROM x""")
+def positions_of_large_integers(t):
+    """Falling order of integers that doubles do not tell apart, in ranges, and of text in plain windows."""
+    x = t.sql(LARGE)
+    number = ordering.row_positions(x, ["grp"], "big", ["id"], descending=True, position="by_number", max_rows_per_range=ROWS)
+    text = ordering.row_positions(x, ["grp"], "name", ["id"], descending=True, position="by_text")
+    return number.select("id", "grp", "by_number").join(text.select("id", "by_text"), "id")
+
+
 @query("ranks_in_ranges", f"""WITH odd AS ({ODD}) SELECT grp, name, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY grp ORDER BY score NULLS LAST)
  + (count(score) OVER (PARTITION BY grp, score)-1)/2e0 END AS avg_rank FROM odd""")
 def ranks_in_ranges(t):

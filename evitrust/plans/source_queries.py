@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F, types as T
 
 from evitrust.functions import columns as C
 from evitrust.plans.registry import query
 from evitrust.plans.trust_queries import rounded
-from evitrust.sources import sinks, tables
+from evitrust.sources import shared, sinks, tables
 
 ORDERS_SCHEMA = T.StructType([
     T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
@@ -29,6 +31,20 @@ def tree_read(t):
         F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("key_sum"))
 
 
+@query("tree_read_three_levels", """SELECT 'lab '||CAST(o_custkey%3 AS VARCHAR)||'%' AS lab, o_orderstatus AS phase, count(*) AS n, sum(o_custkey)::BIGINT AS key_sum
+ FROM {orders} WHERE o_orderstatus IN ('F','O') GROUP BY ALL""")
+def tree_read_three_levels(t):
+    """Orders written to folders whose names hold spaces and percent signs, and read back by folder and file."""
+    root = f"{shared.folder(t.spark)}/tree of {uuid.uuid4().hex}"
+    for lab in range(3):
+        for phase in ("F", "O", "P"):
+            part = t.orders.where((F.col("o_custkey") % 3 == lab) & (F.col("o_orderstatus") == phase))
+            part.coalesce(1).write.parquet(f"{root}/lab {lab}%/{phase}")
+    rows = tables.read_tree(t.spark, root, ORDERS_SCHEMA, ["lab", "phase", "file_name"], "parquet", keep={"phase": ["F", "O"]})
+    return rows.where(F.col("file_name").startswith("part-")).groupBy("lab", "phase").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("key_sum"))
+
+
 BLOB = "CASE WHEN event_id % 17 = 0 THEN '{\"k\": \"n/a\"}' ELSE props END"
 
 

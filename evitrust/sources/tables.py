@@ -98,7 +98,9 @@ def read_tree(spark: SparkSession, root: str, schema: T.StructType, levels: Sequ
         return df.select("*", *[F.lit("").alias(n) for n in levels])
     df = reader.load(folders)
     skip = len(full.toUri().getPath().rstrip("/")) + 2
-    tail = F.split(F.substring(F.expr("parse_url(_metadata.file_path, 'PATH')"), skip, 1_000_000), "/")
+    # the file path is percent-encoded, the root is not; a plus stands for itself
+    file_path = F.url_decode(F.replace(F.expr("parse_url(_metadata.file_path, 'PATH')"), F.lit("+"), F.lit("%2B")))
+    tail = F.split(F.substring(file_path, skip, 1_000_000), "/")
     out = df.select("*", *[F.coalesce(F.get(tail, F.lit(i)), F.lit("unknown")).alias(n) for i, n in enumerate(levels)])
     for name, values in (keep or {}).items():
         out = out.where(F.col(name).isin(list(values)))

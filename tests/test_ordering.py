@@ -111,3 +111,16 @@ def test_nulls_and_single_rows(spark):
     got = {r["id"]: r["p"] for r in ordering.with_average_rank(df, ["k"], "v", percentile="p").collect()}
     assert got == {1: 1.0, 2: None, 3: 1.0}
     assert {r["k"]: r["median"] for r in ordering.grouped_median(df, ["k"], "v").collect()} == {"a": 1.0, "b": 4.0}
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+@pytest.mark.parametrize("kind,values", [
+    ("bigint", [2**60, 2**60 + 1, 2**60 + 2, -2**63, 2**63 - 1]), ("decimal(38,0)", [10**30, 10**30 + 1, 10**30 - 1, 0, -5]),
+    ("string", ["a", "ab", "", "b", "é"]), ("boolean", [True, False, True, False, True]), ("double", [0.5, -1.0, float("inf"), 2.0, -0.5])])
+def test_falling_positions_of_any_type(spark, kind, values, limit):
+    df = spark.createDataFrame([("k", str(v), i) for i, v in enumerate(values)], "k string, v string, i int").withColumn("v", F.col("v").cast(kind))
+    got = {r.i: r.pos for r in ordering.row_positions(df, ["k"], "v", ["i"], True, max_rows_per_range=limit).collect()}
+    key = (lambda v: v.encode()) if kind == "string" else (lambda v: v)
+    order = sorted(sorted(range(len(values))), key=lambda i: key(values[i]), reverse=True)
+    order = sorted(range(len(values)), key=lambda i: (order.index(next(j for j in order if values[j] == values[i])), i))
+    assert [got[i] for i in order] == list(range(1, len(values) + 1))

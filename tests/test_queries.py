@@ -26,12 +26,13 @@ def test_runs_without_sql(spark, sf_dir, name):
     df = QUERIES[name].run(Tables(spark, sf_dir))
     rows = [r.asDict() for r in df.collect()]
     assert rows, name
-    probs = [c for c in df.columns if c.startswith("prob_")]
-    for r in rows:
-        values = [r[c] for c in probs if r[c] is not None]
-        assert all(-1e-9 <= v <= 1 + 1e-9 for v in values)
-        if len(values) == len(probs) > 1:
-            assert abs(sum(values) - 1) < 1e-6
+    raw = [c for c in df.columns if c.startswith("prob_raw_")]
+    for probs in (raw, [c for c in df.columns if c.startswith("prob_") and c not in raw]):
+        for r in rows:
+            values = [r[c] for c in probs if r[c] is not None]
+            assert all(-1e-9 <= v <= 1 + 1e-9 for v in values)
+            if len(values) == len(probs) > 1:
+                assert abs(sum(values) - 1) < 1e-6
 
 
 def test_entry_point(spark):
