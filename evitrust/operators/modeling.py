@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel, Pipeline
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evitrust import ordering
 from evitrust.functions import probs
-from evitrust.operators import curves, folds as fold_ops, harmonize, late_fusion, metrics
+from evitrust.operators import curves, fold_models, folds as fold_ops, harmonize, late_fusion, metrics
+from evitrust.sources.shared import written
 
 MIN_ISOTONIC_PER_CLASS = 50
 
@@ -354,26 +357,130 @@ def _fit_and_predict(named: DataFrame, seed: int, fold: int, features: FeatureSe
 
 
 FITS_AT_ONCE = 4
+MAX_COEFFICIENTS = 600        # of a model whose Newton steps are solved on the driver; wider ones are fitted fold by fold
+MAX_POOLS = 1_000_000         # of all isotonic maps of a run, which go to the tasks
 
 
 def out_of_fold_all(rows: DataFrame, roles: DataFrame, features: FeatureSet, specs: Sequence[RunSpec], labels: Sequence[str],
                     group: str, label: str = "y_true") -> list[tuple[DataFrame | None, str, str]]:
-    """Predictions of every (seed, fold), one result for each run. Folds and seeds are few; each fit is a distributed
-    job, and ``FITS_AT_ONCE`` folds are fitted side by side, so that small steps of one fill the gaps of another.
+    """Predictions of every (seed, fold), one result for each run.
 
-    Calibrated runs also hold the probabilities and labels before calibration (``prob_raw_*``, ``y_pred_raw``).
+    Logistic and boosted models of all folds are fitted together (see ``fold_models``); runs that differ in calibration
+    only share their fits. Forests, and logistic models with very many columns, are fitted fold by fold with Spark ML,
+    ``FITS_AT_ONCE`` side by side. Calibrated runs also hold the probabilities and labels before calibration
+    (``prob_raw_*``, ``y_pred_raw``).
     """
-    work = inheritable_thread_target(rows.sparkSession)(
-        lambda slot: predict_fold_all(rows, roles, *slot, features, specs, labels, group, label))
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        parts = list(pool.map(work, _slots(roles)))
+    roles = written(roles.select(group, "seed", "fold", "role"))
+    slots = _slots(roles)
+    table = None
+    by_model: dict[tuple, list[int]] = {}
+    for i, spec in enumerate(specs):
+        by_model.setdefault((spec.model, spec.params), []).append(i)
+    out: list = [None] * len(specs)
+    apart = []
+    for (model, params), at in by_model.items():
+        if model in ("logistic", "boosting"):
+            table = table or fold_models.fold_table(rows, roles, features.categorical, features.numeric, labels, group, label, slots)
+            if model == "boosting" or fold_models.width(table) * len(labels) <= MAX_COEFFICIENTS:
+                for i, done in zip(at, _joint_runs(table, model, dict(params), [specs[i].calibration for i in at])):
+                    out[i] = done
+                continue
+        apart += at
+    if apart:
+        work = inheritable_thread_target(rows.sparkSession)(
+            lambda slot: predict_fold_all(rows, roles, *slot, features, [specs[i] for i in apart], labels, group, label))
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            parts = list(pool.map(work, slots))
+        for i, runs in zip(apart, zip(*parts)):
+            bad = [r for r in runs if r[0] is None]
+            out[i] = (None, *bad[0][1:]) if bad else (reduce(DataFrame.unionByName, [r[0] for r in runs]), "OK", "")
+    return out
+
+
+def _joint_runs(ft: fold_models.FoldTable, model: str, params: dict, calibrations: Sequence[str]) -> list[tuple[DataFrame | None, str, str]]:
+    """The runs of one model on all slots: fits on train and calibration rows for no calibration, on train rows for any."""
+    need = sorted({c == "none" for c in calibrations})
+    fits = [fold_models.Fit(s, w) for w in need for s in range(len(ft.slots))]
+    prep = fold_models.prepare(ft, fits, params.pop("balanced", True))
+    fitted = (fold_models.fit_logistic if model == "logistic" else fold_models.fit_boosting)(ft, fits, prep, **params)
+    labels, names = ft.labels, [f"prob_{x}" for x in ft.labels]
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("fit") + 1)
+    both = written(fold_models.predictions(ft, fits, prep, fitted).where("y >= 0")).select(
+        "row_id", at([ft.slots[f.slot][0] for f in fits]).alias("seed"), at([ft.slots[f.slot][1] for f in fits]).alias("fold"),
+        at([f.with_calib for f in fits]).alias("_all"), ft.group, F.element_at(F.array(*map(F.lit, labels)), F.col("y") + 1).alias("y_true"),
+        "role", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    test, calib = both.where(F.col("role") == fold_models.TEST), both.where(F.col("role") == fold_models.CALIB)
     out = []
-    for runs in zip(*parts):
-        bad = [r for r in runs if r[0] is None]
-        out.append((None, *bad[0][1:]) if bad else (reduce(DataFrame.unionByName, [r[0] for r in runs]), "OK", ""))
+    for calibration in calibrations:
+        own = test.where(F.col("_all") == (calibration == "none")).withColumns({f"prob_raw_{x}": F.col(f"prob_{x}") for x in labels})
+        if calibration == "isotonic":
+            reasons = [isotonic_gate({x: r[x] or 0 for x in labels}) for r in calib.groupBy("seed", "fold").agg(
+                *[F.count_if(F.col("y_true") == x).alias(x) for x in labels]).orderBy("seed", "fold").collect()]  # one row a slot
+            reasons = [r for r in reasons if r] or ([] if reasons else ["no calibration rows"])
+            if reasons:
+                out.append((None, "SKIP", reasons[0]))
+                continue
+        if calibration == "temperature":
+            losses = late_fusion.temperature_losses(calib, ["seed", "fold"], names, labels)
+            best = late_fusion.select_temperature(losses, ["seed", "fold"])
+            own = late_fusion.apply_temperature(own, best, ["seed", "fold"], names, labels)
+        elif calibration != "none":
+            long = calib.select("seed", "fold", F.posexplode(F.array(*names)).alias("c", "score"), "y_true").withColumn(
+                "hit", F.col("y_true") == F.element_at(F.array(*map(F.lit, labels)), F.col("c") + 1)).drop("y_true")
+            own = _sigmoid_applied(own, long, names) if calibration == "sigmoid" else _isotonic_applied(own, long, names)
+        final, raw = [F.col(c) for c in names], [F.col(f"prob_raw_{x}") for x in labels]
+        out.append((own.select(
+            "row_id", "seed", "fold", F.lit("test").alias("split_role"), ft.group, "y_true", probs.arg_max(final, labels).alias("y_pred"),
+            F.greatest(*final).alias("confidence"), *final, probs.arg_max(raw, labels).alias("y_pred_raw"), *raw), "OK", ""))
     return out
 
 
+def _sigmoid_applied(rows: DataFrame, long: DataFrame, names: Sequence[str]) -> DataFrame:
+    maps: dict[tuple, list] = {}
+    for seed, fold, c, a, b in fold_models.sigmoid_maps(long, ["seed", "fold", "c"]):
+        maps.setdefault((seed, fold), [None] * len(names))[c] = {"a": a, "b": b}
+    table = rows.sparkSession.createDataFrame([(*k, v) for k, v in maps.items()], "_seed int, _fold int, maps array<struct<a: double, b: double>>")
+    joined = rows.join(F.broadcast(table), (F.col("seed") == F.col("_seed")) & (F.col("fold") == F.col("_fold")), "left")  # one row a slot
+    cols = [F.coalesce(1 / (1 + F.exp(-(F.col("maps")[i]["a"] * F.col(n) + F.col("maps")[i]["b"]))), F.lit(0.0)) for i, n in enumerate(names)]
+    scaled = joined.select(*[c for c in rows.columns if c not in names], *[c.alias(n) for c, n in zip(probs.normalized(cols), names)])
+    return scaled.select(*rows.columns)
+
+
+def _isotonic_applied(rows: DataFrame, long: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The step maps applied, straight between pools. A class with no hit, or no miss, in a slot has no map."""
+    usable = long.groupBy("seed", "fold", "c").agg(F.avg(F.col("hit").cast("double")).alias("_m")).where("_m > 0 AND _m < 1").drop("_m")
+    pools = fold_models.isotonic_pools(long.join(F.broadcast(usable), ["seed", "fold", "c"], "left_semi"), ["seed", "fold", "c"])
+    found = pools.limit(MAX_POOLS + 1).collect()
+    if len(found) > MAX_POOLS:
+        raise ValueError(f"more than {MAX_POOLS} pools")
+    maps: dict[tuple, list] = {}
+    for r in found:
+        maps.setdefault((r.seed, r.fold, r.c), []).append((r.lo, r.hi, r["mean"]))
+    lines = {}
+    for key, pool in maps.items():
+        lo, hi, mean = np.array(sorted(pool)).T
+        lines[key] = np.stack([lo, hi], axis=1).ravel(), np.repeat(mean, 2)
+    at = [rows.columns.index(n) for n in names]
+
+    def run(batches):
+        for batch in batches:
+            slot = list(zip(batch.column("seed").to_pylist(), batch.column("fold").to_pylist()))
+            columns, place = list(batch.columns), {}
+            for i, s in enumerate(slot):
+                place.setdefault(s, []).append(i)
+            out = np.zeros((batch.num_rows, len(names)))
+            for (seed, fold), own in place.items():
+                for c, j in enumerate(at):
+                    if (seed, fold, c) in lines:
+                        out[own, c] = np.interp(np.asarray(batch.column(j))[own], *lines[seed, fold, c])
+            for c, j in enumerate(at):
+                columns[j] = pa.array(out[:, c])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    mapped = rows.mapInArrow(run, rows.schema)
+    return mapped.withColumns(dict(zip(names, probs.normalized([F.col(n) for n in names]))))
+
+
 def out_of_fold(rows: DataFrame, roles: DataFrame, features: FeatureSet, spec: RunSpec, labels: Sequence[str],
                 group: str, label: str = "y_true") -> tuple[DataFrame | None, str, str]:
     """``out_of_fold_all`` of one run."""

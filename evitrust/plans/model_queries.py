@@ -17,7 +17,7 @@ BASE = M.FeatureSet("ml", tuple(CATEGORICAL), ("price", "level"))
 EVIDENCE = M.FeatureSet("mech", (), ("balance",))
 FUSED = M.FeatureSet("fused", tuple(CATEGORICAL), tuple(NUMERIC))
 SEEDS, FOLDS = (42, 43, 44), 5
-MODELS = [M.RunSpec("logistic", c) for c in ("none", "sigmoid", "isotonic", "temperature")] + [M.RunSpec("forest", "none")]
+MODELS = [M.RunSpec(m, c) for m in ("logistic", "boosting") for c in ("none", "sigmoid", "isotonic", "temperature")]
 
 
 def rows(t: Tables) -> DataFrame:
