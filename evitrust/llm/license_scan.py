@@ -13,11 +13,12 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evitrust.llm.license_templates import ANCHORS, OTHER, TEMPLATES
+from evitrust.llm.license_templates import OTHER, TEMPLATES
 
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 SAMPLE_DOCS = 500       # documents whose lines show the classifier ordinary text, about
+SAMPLE_CHARS = 100_000  # longer documents are not in that sample
 WINDOW_WORDS = 7
 CONFIRM = 0.6           # share of trigrams in common with a template
 
@@ -37,12 +38,10 @@ def every_gram() -> Column:
     return F.concat(grams("words", 1), grams("words", 2), grams("words", 3))
 
 
-def _featured(df: DataFrame, anchored: bool = True) -> DataFrame:
-    """Adds ``features`` (n-grams, or only those with an anchor) and ``trigrams`` to a frame with ``words``; shorter
-    paragraphs than three words have their whole sequence as the one trigram."""
-    anchors = F.array(*map(F.lit, ANCHORS))
-    held = F.filter(every_gram(), lambda g: F.arrays_overlap(F.split(g, " "), anchors)) if anchored else every_gram()
-    return _trigrams(df.withColumn("features", held))
+def _featured(df: DataFrame) -> DataFrame:
+    """Adds ``features`` (n-grams) and ``trigrams`` to a frame with ``words``; shorter paragraphs than three words have
+    their whole sequence as the one trigram."""
+    return _trigrams(df.withColumn("features", every_gram()))
 
 
 def _trigrams(df: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def _trigrams(df: DataFrame) -> DataFrame:
 def templates(spark: SparkSession) -> DataFrame:
     rows = [F.struct(F.lit(family).alias("family"), F.lit(i).alias("template"), F.lit(text).alias("text"))
             for family, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    return _featured(spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words(F.col("text"))), False)
+    return _featured(spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words(F.col("text"))))
 
 
 @dataclass
@@ -64,50 +63,64 @@ class Model:
 
 
 def training_rows(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Rows (family, words, features, trigrams): templates whole, without "the" and "license", and in windows of words,
-    ordinary uses of the same words, and lines of about ``sample_docs`` documents that share no trigram with a template."""
+    """Rows (family, words, features, trigrams, sampled): templates whole, without "the" and "license", and in windows of
+    words, ordinary uses of the same words, and the lines of about ``sample_docs`` documents that share no trigram with
+    any of those of a family."""
     spark = docs.sparkSession
     known = templates(spark)
     step = F.expr(f"transform(sequence(0, greatest(size(words) - {WINDOW_WORDS}, 0), 2), i -> slice(words, i + 1, {WINDOW_WORDS}))")
     brief = F.filter("words", lambda w: ~w.isin("the", "license"))  # as in 'Released under MIT'
     parts = known.select("family", F.explode(F.array_union(F.array("words", brief), step)).alias("words"))
-    parts = _featured(parts, False)
+    parts = _featured(parts)
     ambiguous = parts.groupBy("words").agg(F.countDistinct("family").alias("n")).where("n > 1").select("words")
     parts = parts.join(F.broadcast(ambiguous), "words", "left_anti").select("family", "words", "features", "trigrams")
     other = spark.range(1).select(F.explode(F.array(*map(F.lit, OTHER))).alias("text"))
     share = min(1.0, sample_docs / max(docs.count(), 1))
-    lines = docs.where(F.pmod(F.xxhash64(text_col, F.lit("licence")), F.lit(1_000_000)) <= int(share * 1_000_000)).select(
-        F.explode(F.split(text_col, "\n")).alias("text"))
-    ordinary = _featured(other.union(lines).withColumn("words", words(F.col("text"))), False).where(F.size("words") > 0)
-    seen = sorted({g for r in known.select("trigrams").collect() for g in r[0]})  # of the templates only
-    ordinary = ordinary.where(~F.arrays_overlap(F.col("trigrams"), F.lit(seen)) | (F.size("words") < 3))
-    return parts.union(ordinary.select(F.lit(UNKNOWN), "words", "features", "trigrams"))
+    picked = (F.pmod(F.xxhash64(text_col, F.lit("licence")), F.lit(1_000_000)) <= int(share * 1_000_000)) & (F.length(text_col) <= SAMPLE_CHARS)
+    lines = docs.where(picked).select(F.explode(F.split(text_col, "\n")).alias("text"))
+    both = other.withColumn("sampled", F.lit(False)).union(lines.withColumn("sampled", F.lit(True)))
+    ordinary = _featured(both.withColumn("words", words(F.col("text")))).where(F.size("words") > 0)
+    seen = sorted({g for r in parts.select("trigrams").collect() for g in r[0]})  # of the templates only
+    ordinary = ordinary.where(~F.arrays_overlap(F.col("trigrams"), F.lit(seen)) | (F.size("words") < 3) | ~F.col("sampled"))
+    return parts.withColumn("sampled", F.lit(False)).union(ordinary.select(F.lit(UNKNOWN), "words", "features", "trigrams", "sampled"))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on four fifths of the learning rows; the rest sets the probability below which a paragraph is unknown.
 
-    The learning rows are the templates' and a bounded sample of lines, whatever the size of the corpus.
+    The learning rows are the templates' and a bounded sample of lines, whatever the size of the corpus. A sampled line may
+    itself be a notice, and one that the corpus holds often would be learnt as unknown. So the lines are dealt into two
+    halves by their features, a model that has learnt from one half judges the other, and lines in which it sees a family
+    are left out; of those that stay, a line with any template n-gram counts once however often it stands there.
     """
     vocabulary = sorted({g for r in templates(docs.sparkSession).select("features").collect() for g in r[0]})
     rows = training_rows(docs, text_col, sample_docs).select(
-        "family", F.array_sort(F.array_intersect("features", F.lit(vocabulary))).alias("features"))
+        "family", "sampled", F.array_sort(F.array_intersect("features", F.lit(vocabulary))).alias("features"))
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1.0)
-    rows = rows.groupBy("label", "features").agg(F.least(F.count(F.lit(1)), F.lit(20)).cast("double").alias("weight"))
-    rows = rows.coalesce(1).sortWithinPartitions("label", "features").cache()
+    often = F.when(F.col("sampled") & (F.size("features") > 0), F.lit(1)).otherwise(F.lit(20))
+    rows = rows.groupBy("label", "features", "sampled").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.least("n", often).cast("double"))
+    rows = rows.coalesce(1).sortWithinPartitions("label", "features", "sampled").cache()
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="vector", binary=True)
-    held = F.pmod(F.xxhash64("features"), F.lit(5)) == 0
     regression = LogisticRegression(featuresCol="vector", weightCol="weight", family="multinomial", regParam=2e-4,
                                     elasticNetParam=0.3, maxIter=80)
-    first = regression.fit(vectors.transform(rows.where(~held)))
+    half = F.pmod(F.xxhash64("features", F.lit("half")), F.lit(2))
+    judged = []
+    for h in (0, 1):
+        other = regression.fit(vectors.transform(rows.where(~F.col("sampled") | (half != h))))
+        own = rows.where(F.col("sampled") & (half == h))
+        judged.append(other.transform(vectors.transform(own)).where(F.col("prediction") == 0).select(*rows.columns))
+    kept = rows.where(~F.col("sampled")).union(judged[0]).union(judged[1]).coalesce(1).sortWithinPartitions("label", "features").cache()
+    held = F.pmod(F.xxhash64("features"), F.lit(5)) == 0
+    first = regression.fit(vectors.transform(kept.where(~held)))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1))
-    sides = first.transform(vectors.transform(rows.where(held))).select("label", best.alias("p")).groupBy(F.col("label") > 0).agg(
+    sides = first.transform(vectors.transform(kept.where(held))).select("label", best.alias("p")).groupBy(F.col("label") > 0).agg(
         F.max("p").alias("high"), F.percentile("p", F.lit(0.05)).alias("low")).collect()
     found = {r[0]: r for r in sides}
     negative = found[False]["high"] if False in found else 0.0
     positive = found[True]["low"] if True in found else 1.0
     least = min(0.9, max(0.3, (negative + max(positive, negative)) / 2))
-    model = Model(vectors, regression.fit(vectors.transform(rows)), float(least))
+    model = Model(vectors, regression.fit(vectors.transform(kept)), float(least))
+    kept.unpersist()
     rows.unpersist()
     return model
 

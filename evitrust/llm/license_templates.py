@@ -91,10 +91,3 @@ OTHER = (
     "Software companies argue about license fees for years.",
     "The doctor renewed her medical license in spring.",
 )
-
-#: Words of which a paragraph must hold one to be looked at; every template holds one.
-ANCHORS = (
-    "license", "licenses", "licensed", "licence", "licences", "licenced", "sublicense", "unlicense", "spdx", "copyright",
-    "copyrighted", "copyleft", "warranty", "warranties", "redistribution", "redistributions", "redistribute", "permission",
-    "merchantability", "gnu", "gpl", "lgpl", "agpl", "bsd", "mpl", "cc", "cc0", "commons", "noncommercial",
-)

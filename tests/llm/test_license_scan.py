@@ -1,11 +1,12 @@
 import re
 
+import numpy as np
 import pytest
 from conftest_llm import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from evitrust.llm import license_scan as scan
-from evitrust.llm.license_templates import ANCHORS, OTHER, TEMPLATES
+from evitrust.llm.license_templates import OTHER, TEMPLATES
 
 
 @pytest.fixture(scope="module")
@@ -22,17 +23,40 @@ def trigrams(text):
     return {" ".join(t[i:i + 3]) for i in range(len(t) - 2)} if len(t) >= 3 else {" ".join(t)}
 
 
-def test_every_template_holds_an_anchor():
-    assert all(set(tokens(t)) & set(ANCHORS) for ts in TEMPLATES.values() for t in ts)
-
-
 def test_features_match_brute_force(table):
-    texts = ["A license", "licence", "x", "Some words, then a License: and more words", "the GNU/Linux gpl-3 a b c"]
+    texts = ["A license", "licence", "x", "", "Some words, then a License: and more words", "the GNU/Linux gpl-3 a b c"]
     rows = scan._featured(table(texts).withColumn("words", scan.words(F.col("text")))).collect()
     for r in rows:
         t = tokens(texts[r.doc_id])
-        want = [" ".join(t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1) if set(t[i:i + n]) & set(ANCHORS)]
-        assert r.features == want and set(r.trigrams) == trigrams(texts[r.doc_id])
+        assert r.features == [" ".join(t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+        assert set(r.trigrams) == trigrams(texts[r.doc_id])
+
+
+def test_scan_matches_brute_force(table, model):
+    """Probability, family and similarity of every line, computed from the coefficients."""
+    texts = [t for ts in TEMPLATES.values() for t in ts] + list(OTHER) + ["see the MIT site", "license license of the gpl"]
+    place = {g: i for i, g in enumerate(model.vectors.vocabulary)}
+    b, w = model.regression.interceptVector.toArray(), model.regression.coefficientMatrix.toArray()
+    got = {r.doc_id: r for r in scan.scan(table(texts), model, every=True).collect()}
+    for i, text in enumerate(texts):
+        t = tokens(text)
+        held = sorted({place[g] for n in (1, 2, 3) for k in range(len(t) - n + 1) if (g := " ".join(t[k:k + n])) in place})
+        z = b + w[:, held].sum(axis=1)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = p[1:].max()
+        assert got[i].probability == pytest.approx(best, abs=1e-9)
+        family = scan.FAMILIES[1 + int(p[1:].argmax())] if best >= model.least else scan.UNKNOWN
+        assert got[i].family == family
+        near = max((len(trigrams(text) & trigrams(x)) / min(len(trigrams(text)), len(trigrams(x))) for x in TEMPLATES.get(family, ())), default=0.0)
+        assert got[i].similarity == pytest.approx(near) and got[i].confirmed == (near >= scan.CONFIRM)
+
+
+@pytest.mark.parametrize("notice,family", [("Released under MIT.", "mit"), ("Distributed under Apache 2.0.", "apache"),
+                                           ("This file is licensed under the MIT License.", "mit")])
+def test_a_notice_that_every_document_holds_is_found(table, notice, family):
+    docs = table([f"the story of number {i} and its friends\n{notice}\nthey went home" for i in range(300)])
+    got = scan.scan(docs, scan.train(docs)).collect()
+    assert len(got) == 300 and all(r.family == family and r.line == 1 for r in got)
 
 
 def test_templates_are_found_and_confirmed(table, model):
@@ -60,7 +84,7 @@ def test_changed_notices_and_unknown_paragraphs(table, model):
     assert every.where("family = 'unknown'").count() >= len(OTHER) - 2
 
 
-def test_no_anchor_is_unknown_by_the_intercept(model):
+def test_no_feature_is_unknown_by_the_intercept(model):
     b = model.regression.interceptVector.toArray()
     assert scan.FAMILIES[b.argmax()] == scan.UNKNOWN
 
