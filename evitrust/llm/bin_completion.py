@@ -40,16 +40,18 @@ def read_encoder(path: str):
     import public_tokenizers
     import tiktoken
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], whole.get("added_tokens") or []
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
     names = {c: b for b, c in enumerate(byte_alphabet())}
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     vocab = {p: i for p, i in model["vocab"].items() if all(c in names for c in p) and i < 256 + len(merged)}
-    if len(vocab) == 256 + len(merged) and all(vocab[p] == 256 + i for i, p in enumerate(merged)):
+    if plain and len(vocab) == 256 + len(merged) and all(vocab[p] == 256 + i for i, p in enumerate(merged)):
         ranks = {bytes(names[c] for c in p): i for p, i in vocab.items()}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: fast.encode_to_numpy(text, disallowed_special=())
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={t["content"]: t["id"] for t in added})
+        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

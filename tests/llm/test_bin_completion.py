@@ -12,7 +12,6 @@ from evitrust.llm import bin_completion as bc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 FULL = Tokenizer.from_file(PATH)
-FULL.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -129,3 +128,8 @@ def test_fillings_match_brute_force(items, capacity):
 def test_repeated_lengths_are_packed_in_the_fewest(items, capacity):
     fillings, proved = bc.search(Counter(items), capacity)
     assert proved and sum(m for _, m in fillings) == fewest(items, capacity)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|> ", "<|endoftext|", "it's\n<|endoftext|>\n\n"])
+def test_added_token_is_read_as_the_library_reads_it(text):
+    assert [*bc.read_encoder(PATH)(text), 0] == ids_of(text)
