@@ -15,20 +15,20 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per text held by two or more rows: text_sha256, keep_id (the largest id) and group_size.
 
-    Lengths are counted first; among rows that share a length, hashes of the first ``prefix_chars`` characters; the
-    full text is hashed and moved only for rows that still have a partner. The first two levels move (id, length,
-    hash) rows. Groups are counts with map-side sums, so a text held by a third of all rows is no hot task.
+    Lengths are counted first; among rows that share a length, hashes of the first ``prefix_chars`` characters; full
+    hashes are grouped only for rows that still have a partner. What moves between tasks is (id, length, hashes), never a
+    text. Groups are counts with map-side sums, so a text held by a third of all rows is no hot task.
     Null text is the empty text. Rows with a null id take part; keep_id is null only if every id of the group is.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("_text"))
-    heads = rows.select("_id", F.octet_length("_text").alias("_n"),
-                        F.xxhash64(F.substring("_text", 1, prefix_chars)).alias("_head"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.sha2(_text(text_col), 256).alias("text_sha256"))
+    heads = docs.select(F.col(id_col).alias("_id"), F.octet_length(_text(text_col)).alias("_n"),
+                        F.xxhash64(F.substring(_text(text_col), 1, prefix_chars)).alias("_head"))
     lengths = heads.groupBy("_n").count().where("count > 1").select("_n")
     same_length = heads.join(lengths, "_n", "left_semi")
     same_head = same_length.groupBy("_n", "_head").count().where("count > 1").select("_n", "_head")
     left = same_length.join(same_head, ["_n", "_head"], "left_semi").select(F.col("_id").alias("_left"))
     full = rows.join(left, F.col("_id").eqNullSafe(F.col("_left")), "left_semi")
-    return (full.groupBy(F.sha2("_text", 256).alias("text_sha256"))
+    return (full.groupBy("text_sha256")
             .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .where("group_size > 1"))
 
