@@ -19,6 +19,7 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 SAMPLE_DOCS = 500       # documents whose lines show the classifier ordinary text, about
 SAMPLE_CHARS = 100_000  # longer documents are not in that sample
+JUDGE_STEPS = 15        # of the models that judge the sampled lines
 WINDOW_WORDS = 7
 CONFIRM = 0.6           # share of trigrams in common with a template
 
@@ -34,6 +35,11 @@ def grams(tokens: str, n: int) -> Column:
                   f"transform(sequence(0, greatest(size({tokens}) - {n}, 0)), i -> array_join(slice({tokens}, i + 1, {n}), ' ')))")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later expressions and filters read and do not compute anew: a generator stands between."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def every_gram() -> Column:
     return F.concat(grams("words", 1), grams("words", 2), grams("words", 3))
 
@@ -103,10 +109,11 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="vector", binary=True)
     regression = LogisticRegression(featuresCol="vector", weightCol="weight", family="multinomial", regParam=2e-4,
                                     elasticNetParam=0.3, maxIter=80)
+    rough = regression.copy({regression.maxIter: JUDGE_STEPS})
     half = F.pmod(F.xxhash64("features", F.lit("half")), F.lit(2))
     judged = []
     for h in (0, 1):
-        other = regression.fit(vectors.transform(rows.where(~F.col("sampled") | (half != h))))
+        other = rough.fit(vectors.transform(rows.where(~F.col("sampled") | (half != h))))
         own = rows.where(F.col("sampled") & (half == h))
         judged.append(other.transform(vectors.transform(own)).where(F.col("prediction") == 0).select(*rows.columns))
     kept = rows.where(~F.col("sampled")).union(judged[0]).union(judged[1]).coalesce(1).sortWithinPartitions("label", "features").cache()
@@ -136,10 +143,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     lines = docs.select(
         F.col(id_col).alias(id_col), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    rows = lines.withColumn("words", words(F.col("paragraph"))).where(F.size("words") > 0).withColumn("features", every_gram())
-    p = vector_to_array("probability")
-    judged = model.regression.transform(model.vectors.transform(rows)).withColumn("_p", F.slice(p, 2, len(FAMILIES) - 1))
-    judged = judged.withColumn("_best", F.array_max("_p"))
+    rows = _once(lines, "words", words(F.col("paragraph"))).where(F.size("words") > 0).withColumn("features", every_gram())
+    judged = model.regression.transform(model.vectors.transform(rows))
+    judged = _once(judged, "_p", F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1)).withColumn("_best", F.array_max("_p"))
     named = F.element_at(F.array(*map(F.lit, FAMILIES[1:])), F.array_position("_p", F.col("_best")).cast("int"))
     judged = judged.withColumn("family", F.when(F.col("_best") >= model.least, named).otherwise(UNKNOWN))
     judged = _trigrams(judged if every else judged.where(F.col("family") != UNKNOWN))
