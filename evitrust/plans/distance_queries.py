@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from evitrust.functions import columns as C
-from evitrust.operators import curves, dose, neighbors, trust
+from evitrust.operators import curves, dose, fold_models, fold_neighbors, neighbors, trust
 from evitrust.plans.fixtures import DOSE_RESPONSE
 from evitrust.plans.registry import Tables, query
 from evitrust.plans.trust_queries import curve_cte, rounded
+from evitrust.sources.shared import written
 
 # --- vectors ---------------------------------------------------------------------------------
 
@@ -151,3 +152,83 @@ def row_level_fused_rows(t):
                              "hill_n": F.coalesce("nh", F.lit(1.0))})
     rows = rows.withColumn("block", dose.hill_block(F.col("l_quantity"), F.col("ic50"), F.col("hill_n")))
     return rounded(rows.select("l_orderkey", "l_partkey", "l_linenumber", "ic50", "hill_n", "nh_imputed", "block"), "block")
+
+
+# --- distances on prepared features of each fold ----------------------------------------------
+
+FOLD_ROWS = """SELECT c_custkey AS row_id, c_custkey % 40 AS grp, y_true, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS segment,
+  'n' || c_nationkey AS nation, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal / 97.0e0 END AS balance, price, CAST(n AS DOUBLE) AS n
+ FROM {customer} JOIN (SELECT o_custkey, min_by(o_orderstatus, o_orderkey) AS y_true, min_by(o_totalprice, o_orderkey) / 9973.0e0 AS price,
+  count(*) AS n FROM {orders} GROUP BY o_custkey) ON c_custkey = o_custkey"""
+FOLD_KS, FOLD_SLOTS = (3, 5, 10), [(s, f) for s in (1, 2, 3) for f in range(5)]
+FOLD_PRED = "CASE WHEN (row_id + seed) % 4 = 0 THEN 'P' WHEN (row_id + seed) % 9 = 0 THEN 'F' ELSE y_true END"
+
+
+def fold_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, the role of each group in each slot, and predictions."""
+    rows = t.sql(FOLD_ROWS)
+    seeds = rows.select("grp").distinct().withColumn("seed", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    dealt = seeds.withColumn("_own", F.expr("CAST((grp DIV seed + seed) % 5 AS INT)"))
+    roles = dealt.withColumn("fold", F.explode(F.array(*map(F.lit, range(5))))).select(
+        "seed", "fold", "grp", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train").alias("role"))
+    pred = rows.join(dealt, "grp").select("row_id", "seed", F.col("_own").alias("fold"), "y_true", F.expr(FOLD_PRED).alias("y_pred"))
+    return rows, roles, pred
+
+
+def fold_distance_table(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows, roles, pred = fold_rows(t)
+    labels = ["F", "O", "P"]
+    ft = fold_models.fold_table(rows, roles, ["segment", "nation"], ["balance", "price", "n"], labels, "grp", "y_true", FOLD_SLOTS)
+    fits = [fold_models.Fit(i, True) for i in range(len(FOLD_SLOTS))]
+    near = fold_neighbors.fold_neighbors(ft, fits, fold_models.prepare(ft, fits), max(FOLD_KS))
+    return fold_neighbors.fold_distances(near, ft, pred, FOLD_KS), pred
+
+
+FOLD_CTE = f"""r AS MATERIALIZED ({FOLD_ROWS.replace('min_by', 'arg_min')}), sl AS (SELECT seed, fold FROM (VALUES (1),(2),(3)) a(seed), (VALUES (0),(1),(2),(3),(4)) b(fold)),
+ g AS (SELECT r.*, seed, fold, CAST((grp // seed + seed) % 5 AS INT) = fold AS held FROM r, sl),
+ md AS (SELECT seed, fold, median(balance) AS mb, median(price) AS mp, median(n) AS mn FROM g WHERE NOT held GROUP BY ALL),
+ ms AS (SELECT seed, fold, segment AS sg FROM (SELECT seed, fold, segment, row_number() OVER (PARTITION BY seed, fold ORDER BY count(*) DESC, segment) AS rn
+   FROM g WHERE NOT held AND segment IS NOT NULL GROUP BY seed, fold, segment) WHERE rn=1),
+ nat AS (SELECT DISTINCT seed, fold, nation AS seen FROM g WHERE NOT held),
+ f AS (SELECT g.seed, g.fold, row_id, held, y_true, coalesce(segment, sg) AS segment, seen AS nation, coalesce(balance, mb) AS b, coalesce(price, mp) AS p, coalesce(n, mn) AS n
+   FROM g JOIN md USING (seed, fold) JOIN ms USING (seed, fold) LEFT JOIN nat ON nat.seed=g.seed AND nat.fold=g.fold AND seen=nation),
+ sd AS (SELECT seed, fold, CASE WHEN stddev_pop(b)>0 THEN stddev_pop(b) ELSE 1 END AS sb, CASE WHEN stddev_pop(p)>0 THEN stddev_pop(p) ELSE 1 END AS sp, CASE WHEN stddev_pop(n)>0 THEN stddev_pop(n) ELSE 1 END AS sn FROM f WHERE NOT held GROUP BY seed, fold),
+ z AS MATERIALIZED (SELECT seed, fold, row_id, held, y_true, segment, nation, b/sb AS b, p/sp AS p, n/sn AS n,
+   sqrt(1+CASE WHEN nation IS NULL THEN 0 ELSE 1 END+b/sb*b/sb+p/sp*p/sp+n/sn*n/sn) AS len FROM f JOIN sd USING (seed, fold)),
+ nn AS (SELECT a.seed, a.fold, a.row_id, c.y_true AS y, min(1-(CASE WHEN a.segment=c.segment THEN 1 ELSE 0 END+CASE WHEN a.nation=c.nation THEN 1 ELSE 0 END+a.b*c.b+a.p*c.p+a.n*c.n)/(a.len*c.len), 10) AS ds
+   FROM z a JOIN z c ON a.seed=c.seed AND a.fold=c.fold AND a.held AND NOT c.held GROUP BY ALL),
+ al AS (SELECT seed, fold, row_id, list_sort(flatten(list(ds))) AS ds FROM nn GROUP BY ALL),
+ pr AS (SELECT row_id, seed, fold, y_true, {FOLD_PRED} AS y_pred FROM z WHERE held),
+ ds AS (SELECT pr.*, k, list_avg(al.ds[1:k]) AS cosine, list_avg(coalesce(nn.ds, al.ds)[1:k]) AS cosine_class
+   FROM pr JOIN al USING (seed, fold, row_id) LEFT JOIN nn ON nn.seed=pr.seed AND nn.fold=pr.fold AND nn.row_id=pr.row_id AND nn.y=pr.y_pred, (VALUES (3),(5),(10)) v(k))"""
+
+
+@query("fold_feature_distances", f"""WITH {FOLD_CTE} SELECT row_id, seed, fold, k, round(cosine,8)+0 AS cosine, round(cosine_class,8)+0 AS cosine_class,
+ round(cosine_class-cosine,8)+0 AS cosine_margin FROM ds""")
+def fold_feature_distances(t):
+    out, _ = fold_distance_table(t)
+    return rounded(out, "cosine", "cosine_class", "cosine_margin")
+
+
+FOLD_SCORED = """SELECT k, seed, fold, row_id, y_true, y_pred, CASE WHEN bad<ok THEN -d ELSE d END AS u FROM (SELECT *, round(cosine_margin,10) AS d,
+   avg(CASE WHEN y_true=y_pred THEN round(cosine_margin,10) END) OVER (PARTITION BY k) AS ok,
+   avg(CASE WHEN y_true<>y_pred THEN round(cosine_margin,10) END) OVER (PARTITION BY k) AS bad FROM (SELECT *, cosine_class-cosine AS cosine_margin FROM ds))"""
+
+
+@query("fold_feature_selected_k", f"""WITH {FOLD_CTE}, {curve_cte(FOLD_SCORED, 'k, seed, fold')}, s AS (SELECT k,
+  round(avg(balanced_accuracy) FILTER (abstention_rate=0),8) AS bal_acc_0, round(avg(balanced_accuracy) FILTER (abstention_rate=CAST(0.1 AS DOUBLE)),8) AS bal_acc_10,
+  round(avg(balanced_accuracy) FILTER (abstention_rate=CAST(0.3 AS DOUBLE)),8) AS bal_acc_30, round(avg(balanced_accuracy) FILTER (abstention_rate=CAST(0.5 AS DOUBLE)),8) AS bal_acc_50 FROM curve GROUP BY 1)
+ SELECT * FROM s ORDER BY bal_acc_30 DESC, bal_acc_50 DESC, k LIMIT 1""")
+def fold_feature_selected_k(t):
+    """Preparation, neighbours, alignment, direction and the choice of k, from rows to the chosen k."""
+    out, pred = fold_distance_table(t)
+    scored = out.join(pred, ["row_id", "seed", "fold"]).withColumn("raw", F.round("cosine_margin", 10)).withColumn(
+        "error", (F.col("y_true") != F.col("y_pred")).cast("int"))
+    scored = written(scored.select("k", "seed", "fold", "row_id", "y_true", "y_pred", "raw", "error"))
+    turned = None
+    for k in FOLD_KS:
+        one = trust.fix_direction(scored.where(F.col("k") == k), "raw")
+        turned = one if turned is None else turned.unionByName(one)
+    curve = curves.abstention_curve(turned, ["k", "seed", "fold"], "ood_score", ["F", "O", "P"])
+    chosen = trust.select_k(curve)
+    return rounded(chosen, *[c for c in chosen.columns if c.startswith("bal_acc")])
