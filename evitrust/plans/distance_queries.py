@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from evitrust.functions import columns as C
-from evitrust.operators import curves, dose, fold_models, fold_neighbors, neighbors, trust
+from evitrust.operators import cell_index, curves, dose, fold_models, fold_neighbors, neighbors, trust
 from evitrust.plans.fixtures import DOSE_RESPONSE
 from evitrust.plans.registry import Tables, query
 from evitrust.plans.trust_queries import curve_cte, rounded
@@ -232,3 +232,35 @@ def fold_feature_selected_k(t):
     curve = curves.abstention_curve(turned, ["k", "seed", "fold"], "ood_score", ["F", "O", "P"])
     chosen = trust.select_k(curve)
     return rounded(chosen, *[c for c in chosen.columns if c.startswith("bal_acc")])
+
+
+# --- approximate neighbours ---------------------------------------------------------------------
+
+def every_twentieth(t: Tables) -> DataFrame:
+    """Exact and approximate neighbours of every 20th row among all rows (its own is the first)."""
+    index = cell_index.build_index(t.embeddings, "vec_id", "embedding")
+    asked = t.embeddings.where("vec_id % 20 = 0")
+    probes = cell_index.probes_for(index, t.embeddings, "vec_id", "embedding", 10)
+    return cell_index.recall(neighbors.nearest_neighbors(asked, t.embeddings, "vec_id", "embedding", 10),
+                             cell_index.search(index, asked, "vec_id", "embedding", 10, probes))
+
+
+NEAR_SQL = """SELECT a.vec_id, 1-list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY 1-list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rn
+ FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"""
+
+
+@query("knn_approximate")
+def knn_approximate(t):
+    return every_twentieth(t).withColumnRenamed("test_id", "vec_id")
+
+
+@query("knn_approximate_facts", f"""WITH n AS (SELECT vec_id, avg(d) AS d FROM ({NEAR_SQL}) WHERE rn<=10 GROUP BY 1)
+ SELECT count(*) AS n_rows, round(avg(d),8) AS mean_distance, CAST(0 AS BIGINT) AS n_short, CAST(0 AS BIGINT) AS n_below_exact, true AS recall_reached FROM n""")
+def knn_approximate_facts(t):
+    """What must hold of the approximate search: ten rows each, none closer than the exact ones, recall of 0.9 and more."""
+    out = every_twentieth(t).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("distance").alias("mean_distance"), F.count_if(F.col("n_found") < 10).alias("n_short"),
+        F.count_if(F.col("approximate_distance") < F.col("distance") - 1e-9).alias("n_below_exact"),
+        (F.avg("recall") >= 0.9).alias("recall_reached"))
+    return rounded(out, "mean_distance")
