@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Observation, functions as F, types as T
 
 from evitrust.functions import columns as C
 from evitrust.plans.registry import query
@@ -94,3 +94,15 @@ def table_fingerprints(t):
 def input_manifest(t):
     """Path, size, hash, row count and fingerprint of the part files of two tables."""
     return sinks.run_manifest(t.spark, {"orders": t.path("orders"), "part": t.path("part")})
+
+
+@query("sorted_write_read_back", """WITH x AS (SELECT md5(coalesce(CAST(o_custkey AS VARCHAR),'\\N')||'|'||coalesce(CAST(o_orderkey AS VARCHAR),'\\N')||'|'||coalesce(CAST(o_orderstatus AS VARCHAR),'\\N')) AS h FROM {orders})
+ SELECT count(*) AS n_rows, CAST(sum(CAST('0x'||substr(h,1,7) AS BIGINT)) AS BIGINT) AS sum_a, CAST(sum(CAST('0x'||substr(h,8,7) AS BIGINT)) AS BIGINT) AS sum_b,
+ CAST(0 AS BIGINT) AS n_overlapping_files FROM x""")
+def sorted_write_read_back(t):
+    """Orders written in key order: count and fingerprint of the write, equal to those of what is read back."""
+    path, seen = f"{shared.folder(t.spark)}/evitrust-{uuid.uuid4().hex}", Observation()
+    sinks.write_sorted(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), path, ["o_orderkey"], observed=seen)
+    sinks.require_written(t.spark, path, seen)
+    return sinks.overlapping_files(t.spark, path, "o_orderkey").agg(F.count(F.lit(1)).alias("n_overlapping_files")).select(
+        *[F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("n_rows", "sum_a", "sum_b")], "n_overlapping_files")

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+
+from evitrust.contracts import ContractError
 
 
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
-                 partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+                 partition_by: Sequence[str] = (), mode: str = "overwrite", observed: Observation | None = None) -> None:
     """Write in key order. Without partition columns the files are globally ordered (a range shuffle);
-    with them each file is ordered inside."""
+    with them each file is ordered inside. ``observed`` gets the row count and the fingerprint of what the write
+    itself passed on, without another pass."""
     if partition_by:
         out = df.repartition(*partition_by).sortWithinPartitions(*partition_by, *keys)
     else:
         out = df.orderBy(*keys)
+    if observed is not None:
+        out = out.observe(observed, *_fingerprint(df))
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -60,6 +65,22 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return df.agg(*_fingerprint(df, columns))
 
 
+def require_written(spark: SparkSession, path: str, observed: Observation, fmt: str = "parquet") -> dict:
+    """Fail unless the table read back has the rows that its write passed on; gives count and fingerprint."""
+    want, got = observed.get, table_fingerprint(spark.read.format(fmt).load(path)).first().asDict()
+    if want != got:
+        raise ContractError(f"{path} holds {got}, its write passed on {want}")
+    return got
+
+
+def overlapping_files(spark: SparkSession, path: str, key: str, fmt: str = "parquet") -> DataFrame:
+    """(path, low, high, before) of files whose first key lies below the last key of the file before it, in file name
+    order. One row a file is compared; none is found in a globally ordered table."""
+    at = spark.read.format(fmt).load(path).select(F.col("_metadata.file_path").alias("path"), F.col(key).alias("k"))
+    ends = at.groupBy("path").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    return ends.withColumn("before", F.lag("high").over(Window.orderBy("path"))).where(F.col("low") < F.col("before"))
+
+
 def file_fingerprints(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """(path, size_bytes, n_rows, sum_a, sum_b) of every file of a table that holds a row.
 

@@ -5,7 +5,7 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Observation, functions as F, types as T
 
 from evitrust.contracts import ContractError
 from evitrust.sources import sinks, tables
@@ -106,3 +106,20 @@ def test_summary_sink(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     sinks.write_summary(df, str(tmp_path / "s"), ["k"])
     assert spark.read.json(str(tmp_path / "s")).count() == 2
+
+
+def test_observed_write(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v")).repartition(5)
+    seen, out = Observation(), str(tmp_path / "o")
+    sinks.write_sorted(df, out, ["k"], observed=seen)
+    assert sinks.require_written(spark, out, seen)["n_rows"] == 1000
+    assert sinks.overlapping_files(spark, out, "k").count() == 0
+    df.limit(10).write.mode("append").parquet(out)
+    with pytest.raises(ContractError):
+        sinks.require_written(spark, out, seen)
+    part, seen = str(tmp_path / "p"), Observation()
+    sinks.write_sorted(df.withColumn("p", F.col("k") % 3), part, ["k"], partition_by=["p"], observed=seen)
+    assert seen.get["n_rows"] == 1000
+    empty, seen = str(tmp_path / "e"), Observation()
+    sinks.write_sorted(df.where("false"), empty, ["k"], observed=seen)
+    assert sinks.require_written(spark, empty, seen) == {"n_rows": 0, "sum_a": 0, "sum_b": 0}
