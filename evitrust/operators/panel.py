@@ -1,7 +1,8 @@
 """Text panels (entity line, concentration line, channel lines with replicates) to long rows.
 
-A panel is the text of one table row, so all windows here are partitioned by document and a document
-is never larger than one string value.
+A document is one string value, so it is parsed inside its row: its lines become an array, marks of the lines are arrays
+beside it, and one pass over a batch of documents folds them. Nothing is shuffled between the scan and the parsed cells,
+and rows with the same id are parsed one by one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evitrust.functions import text as X
 from evitrust.functions.columns import map_by_prefix
@@ -28,78 +29,156 @@ CHANNEL_PREFIXES = {
 }
 
 
+_SPACE = " \t\n\x0b\f\r"
+
+
 def numbered_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, raw, norm): one row per line; ``norm`` has glyphs repaired and both ends stripped."""
     lines = docs.select(doc, F.posexplode(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "_t"))
-    raw = F.regexp_replace("_t", r"\s+$", "")
-    return lines.select(doc, "pos", raw.alias("raw"),
-                        F.regexp_replace(X.repair_glyphs(raw), r"^\s+|\s+$", "").alias("norm"))
-
-
-def _channel_tail(norm: Column, prefixes: Mapping[str, str]) -> Column:
-    """Text after the channel prefix of a channel line."""
-    tail = F.lit("")
-    for key in sorted(prefixes, key=len):
-        tail = F.when(F.lower(norm).startswith(key.lower()), F.trim(F.substr(norm, F.lit(len(key) + 1)))).otherwise(tail)
-    return tail
-
-
-def _marked_lines(docs: DataFrame, doc: str, text: str, prefixes: Mapping[str, str]) -> DataFrame:
-    """Lines with block number, entity and header of the block, and run number of the channel line they follow."""
-    upto = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = numbered_lines(docs, doc, text)
-    is_header = F.lower("norm").startswith("current")
-    stripped = F.trim("raw")
-    lines = lines.withColumns({
-        "is_header": is_header,
-        "channel": F.when(~is_header, map_by_prefix(F.col("norm"), prefixes)),
-        "_named": F.last(F.when(stripped != "", stripped), ignorenulls=True).over(before),
-    })
-    lines = lines.withColumns({
-        "block": F.sum(F.col("is_header").cast("int")).over(upto),
-        "entity": F.last(F.when(F.col("is_header"), F.struct("_named")), ignorenulls=True).over(upto)["_named"],
-        "header": F.last(F.when(F.col("is_header"), F.col("norm")), ignorenulls=True).over(upto),
-    })
-    lines = lines.where(F.col("block") > 0)
-    starts = F.col("channel").isNotNull()
-    return lines.withColumns({
-        "run": F.sum(starts.cast("int")).over(upto),
-        "run_block": F.last(F.when(starts, F.col("block")), ignorenulls=True).over(upto),
-    })
+    return lines.select(doc, "pos", F.rtrim("_t", F.lit(_SPACE)).alias("raw"), _norm(F.col("_t")).alias("norm"))
 
 
-def _best_split(values: np.ndarray, means: np.ndarray) -> list[np.ndarray]:
-    """Contiguous groups of ``values`` whose means are closest to ``means`` (least squares)."""
-    n, k = len(values), len(means)
-    cost = np.full((n + 1, k + 1), np.inf)
-    back = np.zeros((n + 1, k + 1), dtype=np.int64)
-    cost[0, 0] = 0.0
+def _norm(line: Column) -> Column:
+    return F.btrim(X.repair_glyphs(line), F.lit(_SPACE))
+
+
+def _line_arrays(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, _lines): the lines of ``numbered_lines`` as one array<struct<raw, norm>> for each row."""
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
+    return docs.select(doc, F.transform(lines, lambda x: F.struct(
+        F.rtrim(x, F.lit(_SPACE)).alias("raw"), _norm(x).alias("norm"))).alias("_lines"))
+
+
+# What a line is to the panel fold.
+_PLAIN, _HEADER, _CHANNEL, _SEM = range(4)
+
+_EVENTS = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("block", "run", "pos")] + [
+    T.StructField(name, T.StringType()) for name in ("entity", "channel", "header", "rep_text", "mean_line")]))
+
+
+def _fold_lines(named, kinds, pieces, channels, mean_lines) -> list[tuple]:
+    """Header events (run is null) and channel-line events of one document, in line order."""
+    events, block, run = [], 0, 0
+    last = entity = header = None
+    for pos, kind in enumerate(kinds):
+        if kind == _HEADER:
+            block, entity, header = block + 1, last, pieces[pos]
+            events.append([block, None, pos, entity, None, header, None, None])
+            collected = None
+        elif kind == _CHANNEL and block:
+            run += 1
+            collected = [pieces[pos]]
+            events.append([block, run, pos, entity, channels[pos], header, collected, None])
+        elif block and collected is not None:
+            collected.append(pieces[pos])
+            if kind == _SEM:
+                events[-1][-1], collected = mean_lines[pos], None
+        last = named[pos] or last
+    return [(*e[:6], None if e[1] is None else " ".join(filter(None, e[6])), e[7]) for e in events]
+
+
+@F.pandas_udf(_EVENTS)
+def fold_panel_lines(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """Events of each document from the marks of its lines; no text, no events."""
+    for columns in batches:
+        yield pd.Series([[] if row[0] is None else _fold_lines(*row) for row in zip(*columns)], dtype=object)
+
+
+def panel_events(docs: DataFrame, doc: str = "doc_id", text: str = "text",
+                 prefixes: Mapping[str, str] = CHANNEL_PREFIXES) -> DataFrame:
+    """One row per header line (``run`` is null) and per channel line below one, without a shuffle.
+
+    An entity is the last line with text above the header. A channel line collects replicate text up to the first SEM
+    line, the next channel line or the next header.
+    """
+    keys = sorted(prefixes, key=len)
+
+    def longest(low: Column, value) -> Column:
+        """Value of the longest prefix; the longest is tested first, so it wraps last."""
+        out = F.lit(None)
+        for key in keys:
+            out = F.when(low.startswith(key.lower()), F.lit(value(key))).otherwise(out)
+        return out
+
+    def read(line: Column) -> Column:
+        return F.struct(F.trim(line["raw"]).alias("named"), line["norm"].alias("norm"), F.lower(line["norm"]).alias("low"))
+
+    def find(line: Column) -> Column:
+        is_header, low = line["low"].startswith("current"), line["low"]
+        return F.struct(
+            line["named"].alias("named"), line["norm"].alias("norm"), low.alias("low"), is_header.alias("head"),
+            F.when(~is_header, longest(low, prefixes.get)).cast("string").alias("channel"),
+            F.when(~is_header, longest(low, len)).cast("int").alias("cut"),
+            (low.contains("sem") & ~is_header).alias("sem"))
+
+    def mark(line: Column) -> Column:
+        norm, is_channel = line["norm"], line["cut"].isNotNull()
+        splits_x = line["sem"] & line["low"].contains("x")
+        part = lambda i: F.trim(F.coalesce(F.get(F.split(norm, r"(?i)x\s*±\s*sem"), F.lit(i)), F.lit("")))
+        return F.struct(
+            line["named"].alias("named"),
+            F.when(line["head"], _HEADER).when(is_channel, _CHANNEL).when(line["sem"], _SEM).otherwise(_PLAIN).alias("kind"),
+            F.when(is_channel, F.trim(F.substr(norm, line["cut"] + 1))).when(splits_x, part(0))
+            .when(line["sem"], F.lit("")).otherwise(norm).alias("piece"),
+            line["channel"].alias("channel"),
+            F.when(~line["sem"] | is_channel, None).when(splits_x, F.trim(F.concat(F.lit("X ± SEM "), part(1))))
+            .otherwise(norm).alias("mean_line"))
+
+    # One step after the other, so that nothing is computed twice for a line.
+    steps = F.transform(F.transform(F.transform("_lines", read), find), mark)
+    marked = _line_arrays(docs, doc, text).select(doc, steps.alias("_m"))
+    fields = [F.col("_m")[name] for name in ("named", "kind", "piece", "channel", "mean_line")]
+    return marked.select(doc, F.inline(fold_panel_lines(*fields)))
+
+
+def _best_splits(values: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Ends of the contiguous groups of each row of ``values`` whose means are closest to ``means`` (least squares)."""
+    rows, n = values.shape
+    k = means.shape[1]
+    cost = np.full((rows, n + 1, k + 1), np.inf)
+    back = np.zeros((rows, n + 1, k + 1), dtype=np.int64)
+    cost[:, 0, 0] = 0.0
     for start in range(n):
-        group_means = np.cumsum(values[start:]) / np.arange(1, n - start + 1)
-        for j in range(1, k + 1):
-            if np.isinf(cost[start, j - 1]):
-                continue
-            trial = cost[start, j - 1] + (group_means - means[j - 1]) ** 2
-            better = trial < cost[start + 1:, j]
-            cost[start + 1:, j][better] = trial[better]
-            back[start + 1:, j][better] = start
-    groups, end = [], n
+        group_means = np.cumsum(values[:, start:], axis=1) / np.arange(1, n - start + 1)
+        for j in range(1, min(start + 1, k) + 1):
+            trial = cost[:, start, j - 1, None] + (group_means - means[:, j - 1, None]) ** 2
+            better = trial < cost[:, start + 1:, j]
+            cost[:, start + 1:, j][better] = trial[better]
+            back[:, start + 1:, j][better] = start
+    ends = np.empty((rows, k + 1), dtype=np.int64)
+    ends[:, k] = n
     for j in range(k, 0, -1):
-        groups.append(values[back[end, j]:end])
-        end = back[end, j]
-    return groups[::-1]
+        ends[:, j - 1] = back[np.arange(rows), ends[:, j], j]
+    return ends
+
+
+def _best_split(values: np.ndarray, means: np.ndarray) -> list[np.ndarray]:
+    """The groups of one row of ``_best_splits``."""
+    ends = _best_splits(np.asarray(values, float)[None], np.asarray(means, float)[None])[0]
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def split_by_means(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Optimal contiguous split of each row's numbers against its reported means, null without means."""
+    """Optimal contiguous split of each row's numbers against its reported means, null without means.
+
+    Rows with as many numbers and as many means are split together, about a million costs at once.
+    """
     for values, means in batches:
-        yield pd.Series([
-            None if v is None or m is None or len(m) == 0 or len(v) < len(m)
-            else [g.tolist() for g in _best_split(np.asarray(v, float), np.asarray(m, float))]
-            for v, m in zip(values, means)
-        ], dtype=object)
+        out, alike = [None] * len(values), {}
+        for i, (v, m) in enumerate(zip(values, means)):
+            if v is not None and m is not None and 0 < len(m) <= len(v):
+                alike.setdefault((len(v), len(m)), []).append(i)
+        vs, ms = values.tolist(), means.tolist()
+        for (n, k), rows in alike.items():
+            step = max(1, 1_000_000 // ((n + 1) * (k + 1)))
+            for at in range(0, len(rows), step):
+                some = rows[at:at + step]
+                v = np.array([vs[i] for i in some], dtype=float)
+                ends = _best_splits(v, np.array([ms[i] for i in some], dtype=float)).tolist()
+                for i, row, e in zip(some, v.tolist(), ends):
+                    out[i] = [row[a:b] for a, b in zip(e[:-1], e[1:])]
+        yield pd.Series(out, dtype=object)
 
 
 def replicate_groups(df: DataFrame, text: str, n_groups: str, means: str) -> DataFrame:
@@ -120,7 +199,7 @@ def replicate_groups(df: DataFrame, text: str, n_groups: str, means: str) -> Dat
         F.when(usable, F.col("_values")), F.when(usable, F.transform(means, lambda m: m["mean"]))))
     base = F.greatest(F.lit(1), F.floor(F.size("_values") / F.when(k > 0, k)).cast("int"))
     no_numbers = F.array().cast("array<double>")
-    equal = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(
+    equal = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.when(
         i * base < F.size("_values"), F.slice("_values", i * base + 1, base)).otherwise(no_numbers))
     empty = F.transform(F.sequence(F.lit(1), k), lambda i: no_numbers)
     by_comma = F.transform("_comma", X.all_numbers)
@@ -137,35 +216,14 @@ def replicate_groups(df: DataFrame, text: str, n_groups: str, means: str) -> Dat
 
 def panel_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                prefixes: Mapping[str, str] = CHANNEL_PREFIXES) -> DataFrame:
-    """One row per channel line: its block's entity and concentrations, replicate text, reported means.
+    """One row per channel line: its block's entity and concentrations, replicate text, reported means."""
+    return _with_values(panel_events(docs, doc, text, prefixes).where(F.col("run").isNotNull())).drop("pos", "mean_line")
 
-    Replicate text is collected up to the first SEM line (or the next channel or header line).
-    """
-    lines = _marked_lines(docs, doc, text, prefixes)
-    lines = lines.where((F.col("run") > 0) & (F.col("run_block") == F.col("block")) & (F.col("norm") != ""))
-    starts = F.col("channel").isNotNull()
-    is_sem = ~starts & F.lower("norm").contains("sem")
-    splits_x = is_sem & F.lower("norm").contains("x")
-    parts = F.split("norm", r"(?i)x\s*±\s*sem")
-    piece = F.when(starts, _channel_tail(F.col("norm"), prefixes)).when(
-        splits_x, F.trim(F.get(parts, F.lit(0)))).when(is_sem, F.lit("")).otherwise(F.col("norm"))
-    mean_line = F.when(splits_x, F.trim(F.concat(F.lit("X ± SEM "), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))))
-                       ).when(is_sem, F.col("norm"))
-    item = F.struct("pos", piece.alias("piece"), is_sem.alias("sem"), mean_line.alias("mean_line"))
-    runs = lines.groupBy(doc, "block", "run").agg(
-        F.max("channel").alias("channel"), F.first("entity").alias("entity"), F.first("header").alias("header"),
-        F.sort_array(F.collect_list(item)).alias("items"))
-    sem_items = F.filter("items", lambda i: i["sem"])
-    first_sem = F.coalesce(F.get(sem_items, F.lit(0))["pos"], F.lit(2**31 - 1))
-    runs = runs.withColumns({"_end": first_sem, "_mean": F.get(sem_items, F.lit(0))["mean_line"]})
-    kept = F.filter("items", lambda i: (i["pos"] <= F.col("_end")) & (i["piece"] != ""))
-    return runs.select(
-        doc, "block", "run", "entity", "channel", "header",
-        X.concentrations(F.col("header")).alias("concs"),
-        F.array_join(F.transform(kept, lambda i: i["piece"]), " ").alias("rep_text"),
-        F.when(F.col("_mean").isNull(), F.array().cast("array<struct<mean:double,sem:double>>")).otherwise(
-            X.mean_sem_pairs(F.col("_mean"))).alias("means"),
-    )
+
+def _with_values(events: DataFrame) -> DataFrame:
+    means = F.when(F.col("mean_line").isNull(), F.array().cast("array<struct<mean:double,sem:double>>")).otherwise(
+        X.mean_sem_pairs(F.col("mean_line")))
+    return events.withColumns({"concs": X.concentrations(F.col("header")), "means": means})
 
 
 def parse_panels(docs: DataFrame, doc: str = "doc_id", text: str = "text",
@@ -195,56 +253,57 @@ def parse_panels(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
 def parse_warnings(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                    prefixes: Mapping[str, str] = CHANNEL_PREFIXES) -> DataFrame:
-    """(doc, block, entity, channel, issue, detail) for everything the parser had to guess or skip."""
-    marked = _marked_lines(docs, doc, text, prefixes).where("is_header")
-    entity = F.coalesce("entity", F.lit("<unknown>"))
-    no_conc = F.size(X.concentrations(F.col("norm"))) == 0
-    headers = marked.select(
-        doc, "block", entity.alias("entity"), F.lit(None).cast("string").alias("channel"),
-        F.when(F.col("entity").isNull(), "missing_drug_name").when(no_conc, "missing_concentration").alias("issue"),
-        F.when(F.col("entity").isNull(), F.concat(F.lit("at line "), F.col("pos"))).otherwise(F.col("norm")).alias("detail"),
-    ).where(F.col("issue").isNotNull())
-    runs = panel_runs(docs, doc, text, prefixes).where(F.col("entity").isNotNull() & (F.size("concs") > 0))
-    grouped = replicate_groups(runs.withColumn("n_conc", F.size("concs")), "rep_text", "n_conc", "means")
+    """(doc, block, entity, channel, issue, detail) for everything the parser had to guess or skip, from one pass."""
+    events = _with_values(panel_events(docs, doc, text, prefixes)).withColumn("n_conc", F.size("concs"))
+    parsed = replicate_groups(events, "rep_text", "n_conc", "means")
+    is_head = F.col("run").isNull()
+    read = ~is_head & F.col("entity").isNotNull() & (F.col("n_conc") > 0)
+    issue = lambda when, name, detail: F.when(when, F.struct(F.lit(name).alias("issue"), detail.alias("detail")))
     sizes = F.concat(F.lit("groups="), F.size("groups"), F.lit(" conc="), F.col("n_conc"))
     how = F.concat(F.lit("method="), F.col("method"))
     issues = F.array_compact(F.array(
-        F.when(~F.col("method").isin("dp_means", "regex"), F.struct(
-            F.lit("replicate_group_fallback").alias("issue"), how.alias("detail"))),
-        F.when(F.size("groups") != F.col("n_conc"), F.struct(
-            F.lit("replicate_group_mismatch").alias("issue"), F.concat(sizes, F.lit(" "), how).alias("detail"))),
-        F.when(F.size("groups") < F.col("n_conc"), F.struct(
-            F.lit("channel_cells_padded").alias("issue"), sizes.alias("detail"))),
+        issue(is_head & F.col("entity").isNull(), "missing_drug_name", F.concat(F.lit("at line "), F.col("pos"))),
+        issue(is_head & F.col("entity").isNotNull() & (F.col("n_conc") == 0), "missing_concentration", F.col("header")),
+        issue(read & ~F.col("method").isin("dp_means", "regex"), "replicate_group_fallback", how),
+        issue(read & (F.size("groups") != F.col("n_conc")), "replicate_group_mismatch", F.concat(sizes, F.lit(" "), how)),
+        issue(read & (F.size("groups") < F.col("n_conc")), "channel_cells_padded", sizes),
     ))
-    found = grouped.select(doc, "block", "entity", "channel", F.explode(issues).alias("w")).select(
-        doc, "block", "entity", "channel", "w.*")
-    return headers.unionByName(found)
+    entity = F.when(is_head, F.coalesce("entity", F.lit("<unknown>"))).otherwise(F.col("entity"))
+    return parsed.select(doc, "block", entity.alias("entity"), "channel", F.inline(issues))
 
 
 def warning_counts(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def latest_true(flags: pd.Series) -> pd.Series:
+    """For each place of an array, the last place up to it that is true, -1 before the first."""
+    return pd.Series([None if f is None else np.maximum.accumulate(
+        np.where(np.asarray(f, dtype=bool), np.arange(len(f)), -1)).tolist() for f in flags], dtype=object)
+
+
 def parse_legacy_panels(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                         prefixes: Mapping[str, str] = CHANNEL_PREFIXES) -> DataFrame:
     """Older layout: a channel line is followed by its ``mean ± sem`` line. Rows whose number of means
     differs from the number of concentrations are dropped. Each channel line belongs to the closest
     header line above it on its page."""
-    lines = numbered_lines(docs, doc, text).where(F.col("norm") != "")
-    order = Window.partitionBy(doc).orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    is_header = F.lower("norm").startswith("current")
-    marked = lines.withColumns({
-        "_above": F.lag("raw").over(order), "_next": F.lead("norm").over(order),
-        "_h": is_header, "channel": F.when(~is_header, map_by_prefix(F.col("norm"), prefixes)),
-    })
-    block = F.last(F.when(F.col("_h"), F.struct(F.col("pos").alias("at"), F.trim("_above").alias("entity"),
-                                                F.col("norm").alias("header"))), ignorenulls=True).over(upto)
-    rows = marked.withColumn("b", block).where(F.col("channel").isNotNull() & F.col("b.entity").isNotNull())
-    rows = rows.withColumns({"concs": X.legacy_concentrations(F.col("b.header")),
-                             "means": X.numbers_before_plus_minus(F.coalesce("_next", F.lit("")))})
+    lines = F.transform("_lines", lambda x, i: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), i.alias("pos")))
+    kept = _line_arrays(docs, doc, text).select(doc, F.filter(lines, lambda x: x["norm"] != "").alias("_l"))
+    headed = kept.withColumn("_h", latest_true(F.transform("_l", lambda x: F.lower(x["norm"]).startswith("current"))))
+
+    def row(line: Column, i: Column) -> Column:
+        at = F.get("_h", i)
+        return F.struct(
+            F.get("_l", at - 1)["raw"].alias("above"), F.get("_l", at)["norm"].alias("header"), line["pos"].alias("pos"),
+            F.when(at < i, map_by_prefix(line["norm"], prefixes)).alias("channel"), F.get("_l", i + 1)["norm"].alias("next"))
+
+    found = F.filter(F.transform("_l", row), lambda r: r["channel"].isNotNull() & r["above"].isNotNull())
+    rows = headed.select(doc, F.inline(found)).withColumn("name_raw", F.trim("above"))
+    rows = rows.withColumns({"concs": X.legacy_concentrations(F.col("header")),
+                             "means": X.numbers_before_plus_minus(F.coalesce("next", F.lit("")))})
     rows = rows.where((F.size("concs") > 0) & (F.size("concs") == F.size("means")))
-    return rows.select(doc, F.col("b.entity").alias("name_raw"), "channel", "pos",
+    return rows.select(doc, "name_raw", "channel", "pos",
                        F.posexplode(F.arrays_zip("concs", "means")).alias("conc_no", "z")).select(
         doc, "name_raw", "channel", "pos", "conc_no", F.col("z.concs").alias("concentration_uM"),
         F.col("z.means").alias("block_pct_mean"))
@@ -252,32 +311,46 @@ def parse_legacy_panels(docs: DataFrame, doc: str = "doc_id", text: str = "text"
 
 # --- tables inside text ---------------------------------------------------------------------
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("table_no", "first", "n")])))
+def true_runs(flags: pd.Series) -> pd.Series:
+    """Unbroken runs of true in each array: how many false places stand before, first place, length."""
+    def runs(f):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], np.asarray(f, dtype=np.int8), [0]))))
+        first, n = edges[::2], edges[1::2] - edges[::2]
+        before = first - (np.cumsum(n) - n)
+        return list(zip(before.tolist(), first.tolist(), n.tolist()))
+    return pd.Series([None if f is None else runs(f) for f in flags], dtype=object)
+
+
 def detect_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_parts: int = 4,
                   min_numeric: int = 2, min_rows: int = 2) -> DataFrame:
     """Runs of consecutive table-like lines as (doc, table_no, first_pos, last_pos, n_rows, n_cols)."""
-    return _table_lines(docs, doc, text, min_parts, min_numeric, min_rows).groupBy(doc, "table_no").agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.size("parts")).alias("n_cols"))
-
-
-def _table_lines(docs, doc, text, min_parts, min_numeric, min_rows):
-    lines = numbered_lines(docs, doc, text).withColumn("_s", F.regexp_replace("raw", r"^\s+", "")).where(F.col("_s") != "")
-    lines = lines.withColumn("parts", F.split("_s", r"\s{2,}"))
-    numeric = F.size(F.filter("parts", lambda p: p.rlike(r"\d")))
-    lines = lines.withColumn("_q", (F.size("parts") >= min_parts) & (numeric >= min_numeric))
-    upto = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("table_no", F.sum((~F.col("_q")).cast("int")).over(upto)).where("_q")
-    run = Window.partitionBy(doc, "table_no")
-    return lines.withColumn("_n", F.count(F.lit(1)).over(run)).where(F.col("_n") >= min_rows)
+    tables = _text_tables(docs, doc, text, min_parts, min_numeric, min_rows)
+    return tables.select(
+        doc, "table_no", F.get("rows", F.lit(0))["pos"].alias("first_pos"), F.element_at("rows", -1)["pos"].alias("last_pos"),
+        F.size("rows").cast("bigint").alias("n_rows"), F.array_max(F.transform("rows", lambda r: F.size(r["parts"]))).alias("n_cols"))
+
+
+def _text_tables(docs, doc, text, min_parts, min_numeric, min_rows):
+    """(doc, table_no, rows array<struct<pos, parts>>): tables are found and cut inside the row of a document."""
+    lines = F.filter(F.transform("_lines", lambda x, i: F.struct(
+        i.alias("pos"), F.regexp_replace(x["raw"], r"^\s+", "").alias("s"))), lambda x: x["s"] != "")
+    split = F.transform("_s", lambda x: F.struct(x["pos"].alias("pos"), F.split(x["s"], r"\s{2,}").alias("parts")))
+    digits = lambda parts: F.size(F.filter(parts, lambda p: p.rlike(r"\d")))
+    like_table = F.transform("_l", lambda x: (F.size(x["parts"]) >= min_parts) & (digits(x["parts"]) >= min_numeric))
+    split_lines = _line_arrays(docs, doc, text).select(doc, lines.alias("_s")).select(doc, split.alias("_l"))
+    runs = split_lines.withColumn("_runs", true_runs(like_table))
+    tables = F.transform(F.filter("_runs", lambda r: r["n"] >= min_rows), lambda r: F.struct(
+        r["table_no"].alias("table_no"), F.slice("_l", r["first"] + 1, r["n"]).alias("rows")))
+    return runs.select(doc, F.inline(tables))
 
 
 def table_cells(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_parts: int = 4,
                 min_numeric: int = 2, min_rows: int = 2) -> DataFrame:
     """Cells (doc, table_no, row_no, col_no, cell_text) of the detected tables."""
-    lines = _table_lines(docs, doc, text, min_parts, min_numeric, min_rows)
-    row = F.row_number().over(Window.partitionBy(doc, "table_no").orderBy("pos")) - 1
-    return lines.withColumn("row_no", row).select(
-        doc, "table_no", "row_no", F.posexplode("parts").alias("col_no", "cell_text"))
+    tables = _text_tables(docs, doc, text, min_parts, min_numeric, min_rows)
+    rows = tables.select(doc, "table_no", F.posexplode("rows").alias("row_no", "_r"))
+    return rows.select(doc, "table_no", "row_no", F.posexplode("_r.parts").alias("col_no", "cell_text"))
 
 
 def table_signatures(cells: DataFrame, keys: Sequence[str] = ("table_id",)) -> DataFrame:

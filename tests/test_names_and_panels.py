@@ -151,3 +151,54 @@ def test_squeezed_terms_follow_the_rule_of_the_text(spark):
     got = {tuple(r) for r in panel.term_mentions(docs, ["DL-Sotalol", "was  GIVEN", "-"], squeeze=True).collect()}
     assert got == {(1, "DL-Sotalol"), (2, "DL-Sotalol"), (1, "was  GIVEN")}
     assert panel.term_mentions(docs, []).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_parsed_inside_their_row(spark):
+    docs = spark.createDataFrame([("d", PANEL, 1), ("d", PANEL, 2), ("e", None, 1), ("f", "", 1), ("g", "Current 1 nM\nhERG 5", 1)],
+                                 "doc_id string, text string, block int")
+    cells, warnings = panel.parse_panels(docs), panel.parse_warnings(docs)
+    for df in (cells, warnings, panel.parse_legacy_panels(docs), panel.detect_tables(docs), panel.table_cells(docs)):
+        assert "Exchange" not in plan_of(df)
+    one_row = panel.parse_panels(docs.where("doc_id = 'd' and block = 1")).collect()
+    assert sorted(map(str, cells.collect())) == sorted(map(str, one_row + one_row))  # rows with one id stay apart
+    found = {(r["doc_id"], r["entity"], r["channel"], r["issue"], r["detail"]) for r in warnings.collect()}
+    assert ("g", "<unknown>", None, "missing_drug_name", "at line 0") in found and {d for d, *_ in found} == {"d", "g"}
+    assert panel.parse_panels(docs.where("false")).collect() == []
+
+
+def test_fold_of_lines_against_a_rule_for_each_line():
+    r = random.Random(11)
+    for _ in range(300):
+        n = r.randint(0, 14)
+        kinds = [r.choice([0, 0, 1, 2, 2, 3]) for _ in range(n)]
+        named = [r.choice(["", f"n{i}"]) for i in range(n)]
+        pieces = ["" if k == 3 and r.random() < .5 else r.choice(["", f"p{i}"]) for i, k in enumerate(kinds)]
+        want = []
+        for i, k in enumerate(kinds):
+            heads = [j for j in range(i + (k == 1)) if kinds[j] == 1]
+            if not heads or k not in (1, 2):
+                continue
+            h = heads[-1]
+            entity = next((named[j] for j in range(h - 1, -1, -1) if named[j]), None)
+            if k == 1:
+                want.append((len(heads), None, i, entity, None, pieces[h], None, None))
+                continue
+            run = sum(kinds[j] == 2 for j in range(heads[0], i + 1))
+            stop = next((j for j in range(i + 1, n) if kinds[j] in (1, 2)), n)
+            sem = next((j for j in range(i + 1, stop) if kinds[j] == 3), None)
+            text = [pieces[j] for j in range(i, stop if sem is None else sem + 1) if pieces[j]]
+            want.append((len(heads), run, i, entity, f"c{i}", pieces[h], " ".join(text), None if sem is None else f"m{sem}"))
+        got = panel._fold_lines(named, kinds, pieces, [f"c{i}" for i in range(n)], [f"m{i}" for i in range(n)])
+        assert got == want
+
+
+def test_tables_in_text(spark):
+    text = "a  1  2  b\n\n c  3  4  d\nplain\nx  1  2  y\nplain\nq  5  6  r\ns  7  8  t  9"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    assert sorted(map(tuple, panel.detect_tables(docs).collect())) == [(1, 0, 0, 2, 2, 4), (1, 2, 6, 7, 2, 5)]
+    cells = {(r["table_no"], r["row_no"], r["col_no"]): r["cell_text"] for r in panel.table_cells(docs).collect()}
+    assert cells[(0, 1, 0)] == "c" and cells[(2, 1, 4)] == "9" and len(cells) == 17
