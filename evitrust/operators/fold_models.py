@@ -3,7 +3,7 @@
 Rows are joined with the roles their group has in each slot (train, calib, test) and written once. A *fit* is a slot with
 the roles it learns from. Statistics of all fits come from two jobs: medians from one running order of the folded values
 with one count for each fit, and moments, category and class counts from one pass. The multinomial logistic models take
-Newton steps, the boosted trees one histogram a level, for all fits together; a task adds up its own rows and sends one
+Newton steps, the boosted trees one histogram a level over rows folded by their codes, for all fits together; a task adds up its own rows and sends one
 vector a fit (and class), so what moves does not grow with the rows, and nothing is fitted in one task or on the driver
 but the solution of small systems. Predictions of all slots are one more pass.
 """
@@ -27,7 +27,8 @@ TRAIN, CALIB, TEST = 1, 2, 3
 ROWS_PER_TASK = 20_000
 LEAST_ROWS_PER_TASK = 500     # of tables that all executors have room for
 MAX_CATEGORIES = 10_000       # of all columns; more are no categories
-KEEP_EVERY = 10               # rounds after which the scores of the rows are written
+KEEP_EVERY = 10               # rounds after which the scores of the folded rows are written, at most
+KEPT_BYTES = 256 << 20        # so many bytes of scores for each round more than two
 
 
 @dataclass
@@ -103,19 +104,20 @@ class Rows:
         self.n, self.y = n, np.asarray(batch.column("y"))
         self.cats, self.nums = wide("cats", n_cats, np.int64), wide("nums", n_nums, np.float64)
         self.roles = np.asarray(batch.column("roles").flatten()).reshape(n, -1)
-        self.bins: np.ndarray | None = None
-        self.scores = np.asarray(batch.column("scores").flatten()).reshape(n, -1) if "scores" in batch.schema.names else None
 
 
 def _sums(ft: FoldTable, table: DataFrame, work: Callable[[Rows], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
     """The sum of the vectors that ``work`` gives for each key, added up in the tasks first."""
     n_cats, n_nums = len(ft.categories), len(ft.numeric)
+    return _added(table, lambda batch: work(Rows(batch, n_cats, n_nums)))
 
+
+def _added(table: DataFrame, work: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                for key, v in work(Rows(batch, n_cats, n_nums)):
+                for key, v in work(batch):
                     total[key] = total[key] + v if key in total else v
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["key", "v"])
@@ -279,23 +281,35 @@ class Trees:
     depth: int
 
 
-def _binned(trees: Trees, prep: Prepared, i: int, rows: Rows, m: np.ndarray) -> np.ndarray:
-    """Codes of all features: categories as they are (missing: the mode), numbers by the edges (missing: the median)."""
-    if rows.bins is None:
-        rows.bins = np.stack([np.searchsorted(e, rows.nums[:, c], side="left") for c, e in enumerate(trees.edges)], axis=1) if trees.edges else rows.nums.astype(int)
-    filled = [np.searchsorted(e, prep.fill[i, c], side="left") for c, e in enumerate(trees.edges)]
-    return np.hstack([_codes(prep, i, rows)[m], np.where(np.isnan(rows.nums[m]), filled, rows.bins[m]) if filled else rows.bins[m]])
+def _bins(edges: Sequence[np.ndarray], rows: Rows) -> np.ndarray:
+    """Codes of all features: categories as they are, numbers by the edges; -1 where missing."""
+    bins = [np.where(np.isnan(rows.nums[:, c]), -1, np.searchsorted(e, rows.nums[:, c], side="left")) for c, e in enumerate(edges)]
+    return np.column_stack([rows.cats, *bins]).astype(np.int64)
+
+
+def _filled(edges: Sequence[np.ndarray], prep: Prepared, i: int, bins: np.ndarray) -> np.ndarray:
+    """Missing categories by the mode, missing numbers by the bin of the median."""
+    fill = np.array([*prep.mode[i], *(np.searchsorted(e, prep.fill[i, c], side="left") for c, e in enumerate(edges))], np.int64)
+    return np.where(bins < 0, fill, bins)
 
 
 def _descend(trees: Trees, r: int, i: int, k: int, codes: np.ndarray, levels: int) -> np.ndarray:
     """The node of each row after so many levels of one tree."""
-    node, feature, cut = np.zeros(len(codes), np.int64), trees.feature[r, i, k], trees.cut[r, i, k]
-    at = np.arange(len(codes))
-    for _ in range(levels):
-        f, t = feature[node], cut[node]
-        code = codes[at, np.maximum(f, 0)]
-        right = (f >= 0) & np.where(f < trees.n_cats, code != t, code > t)
-        node = 2 * node + 1 + right
+    node, n, width = np.zeros(len(codes), np.intp), len(codes), codes.shape[1]
+    feature = trees.feature[r, i, k].astype(np.intp)
+    cut = trees.cut[r, i, k].astype(np.int64)
+    no_cut = np.iinfo(np.int64)
+    high = np.where(feature < 0, no_cut.max, cut)                                          # codes above it go right
+    low = np.where((feature >= 0) & (feature < trees.n_cats), cut, no_cut.min)             # of a category, those below it, too
+    flat, at, feature = np.ascontiguousarray(codes).ravel(), np.arange(n) * width, np.maximum(feature, 0)
+    for level in range(levels):
+        code = flat.take(at + feature.take(node))
+        right = code > high.take(node)
+        if (low[2 ** level - 1:2 ** (level + 1) - 1] > no_cut.min).any():
+            right |= code < low.take(node)
+        node += node
+        node += right
+        node += 1
     return node
 
 
@@ -303,10 +317,65 @@ def _scores(trees: Trees, i: int, codes: np.ndarray, start: np.ndarray | None, f
     out = np.zeros((len(codes), trees.value.shape[2])) if start is None else start.copy()
     for r in range(first, rounds):
         for k in range(out.shape[1]):
-            out[:, k] += trees.value[r, i, k][_descend(trees, r, i, k, codes, trees.depth)]
+            out[:, k] += trees.value[r, i, k].take(_descend(trees, r, i, k, codes, trees.depth))
     return out
 
 
+def _edges(ft: FoldTable, bins: int) -> list[np.ndarray]:
+    """Approximate quantiles of every number over all rows."""
+    if not ft.numeric:
+        return []
+    steps = [b / bins for b in range(1, bins)]
+    clean = ft.table.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in ((f"x{c}", F.get("nums", F.lit(c))) for c in range(len(ft.numeric)))])
+    return [np.unique(np.array(q, np.float64)) for q in clean.approxQuantile(clean.columns, steps, 1 / (4 * bins))]
+
+
+def folded_rows(ft: FoldTable, fits: Sequence[Fit], edges: Sequence[np.ndarray]) -> tuple[DataFrame, int]:
+    """Rows (y, bins, n) and their number: the distinct codes of labelled rows, with the count that each fit learns from.
+
+    Trees see nothing of a row but its codes and its label, so rows that share them are one row with a weight. There are no
+    more than combinations of codes, however long the table is.
+    """
+    n_cats, n_nums = len(ft.categories), len(ft.numeric)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = _bins(edges, Rows(batch, n_cats, n_nums))
+                ends = pa.array(np.arange(0, bins.size + 1, bins.shape[1]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(ends, pa.array(bins.astype(np.int32).ravel())),
+                                                  batch.column("roles")], ["y", "bins", "roles"])
+
+    learns = [F.get("roles", F.lit(f.slot)).isin([TRAIN, CALIB] if f.with_calib else [TRAIN]).cast("bigint") for f in fits]
+    coded = ft.table.where("y >= 0").mapInArrow(code, "y int, bins array<int>, roles array<int>")
+    folded = written(coded.groupBy("y", "bins").agg(F.array(*[F.sum(x) for x in learns]).alias("n")))
+    n_rows = folded.count()
+    spread = min(folded.sparkSession.sparkContext.defaultParallelism, n_rows // LEAST_ROWS_PER_TASK)
+    return written(folded.repartition(max(1, spread, -(-n_rows // ROWS_PER_TASK)), F.xxhash64("y", "bins"))), n_rows
+
+
+class Cells:
+    """One batch of ``folded_rows`` as arrays. Fits that fill missing values alike share their codes."""
+
+    def __init__(self, batch: pa.RecordBatch, edges: Sequence[np.ndarray], prep: Prepared):
+        n = batch.num_rows
+        wide = lambda c: np.asarray(batch.column(c).flatten()).reshape(n, -1)
+        self.y, self.bins, self.n = np.asarray(batch.column("y")), wide("bins").astype(np.int64), wide("n")
+        self.scores = wide("scores") if "scores" in batch.schema.names else None
+        self.edges, self.prep = edges, prep
+        self.filled: dict[bytes, np.ndarray] = {}
+
+    def codes(self, i: int) -> np.ndarray:
+        codes = _filled(self.edges, self.prep, i, self.bins[:1] * 0 - 1)
+        key = codes.tobytes()
+        if key not in self.filled:
+            self.filled[key] = np.where(self.bins < 0, codes, self.bins)
+        return self.filled[key]
+
+    def start(self, i: int, k: int) -> np.ndarray | None:
+        return None if self.scores is None else self.scores[:, i * k:(i + 1) * k]
+
+
 def _best_splits(hist: np.ndarray, n_bins: Sequence[int], n_cats: int, l2: float, least: float):
     """For each node (feature or -1, cut, (G, H) of both children). hist: (node, cell, [g, h])."""
     total = hist[:, :n_bins[0]].sum(axis=1)
@@ -339,46 +408,47 @@ def fit_boosting(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, max_iter: i
     the rest. ``least`` is the smallest sum of second derivatives in a child. One job a level and round serves all fits.
     """
     n, k, n_cats = len(fits), len(ft.labels), len(ft.categories)
-    edges = []
-    if ft.numeric:
-        steps = [b / bins for b in range(1, bins)]
-        clean = ft.table.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in ((f"x{c}", F.get("nums", F.lit(c))) for c in range(len(ft.numeric)))])
-        edges = [np.unique(np.array(q, np.float64)) for q in clean.approxQuantile(clean.columns, steps, 1 / (4 * bins))]
+    edges = _edges(ft, bins)
     n_bins = [max(1, len(v)) for v in ft.categories.values()] + [len(e) + 1 for e in edges]
-    offset = np.r_[0, np.cumsum(n_bins)][:-1]
-    cells = int(sum(n_bins))
     nodes = 2 ** (depth + 1) - 1
     trees = Trees(np.full((max_iter, n, k, nodes), -1, np.int16), np.zeros((max_iter, n, k, nodes), np.int16),
                   np.zeros((max_iter, n, k, nodes)), edges, n_cats, depth)
+    cells = int(sum(n_bins))
     if not cells:
         return trees
     there = prep.weight > 0
-    table, kept = ft.table, 0
+    table, n_rows = folded_rows(ft, fits, edges)
+    every = min(KEEP_EVERY, 2 + n_rows * n * k * 8 // KEPT_BYTES)
+    kept = 0
     for r in range(max_iter):
-        if r and r % KEEP_EVERY == 0:
-            table, kept = written(_with_scores(ft, table, fits, prep, trees, kept, r)), r
+        if r and r % every == 0:
+            table, kept = written(_with_scores(table, fits, prep, trees, kept, r)), r
         for level in range(depth):
             first = 2 ** level - 1
 
-            def work(rows: Rows, r=r, level=level, first=first, kept=kept) -> Iterator[tuple[int, np.ndarray]]:
-                for i, f in enumerate(fits):
-                    m = f.learns(rows.roles) & (rows.y >= 0)
-                    if not m.any() or there[i].sum() < 2:
+            def work(own: Cells, r=r, level=level, first=first, kept=kept) -> Iterator[tuple[int, np.ndarray]]:
+                for i in range(n):
+                    if there[i].sum() < 2 or not own.n[:, i].any():
                         continue
-                    codes, y = _binned(trees, prep, i, rows, m), rows.y[m]
-                    q = softmax(_scores(trees, i, codes, None if rows.scores is None else rows.scores[m, i * k:(i + 1) * k], kept, r), there[i])
-                    w = prep.weight[i][y]
-                    cell = np.maximum(codes, 0) + offset
-                    known = (codes >= 0).ravel()
+                    codes = own.codes(i)
+                    q = softmax(_scores(trees, i, codes, own.start(i, k), kept, r), there[i])
+                    w = prep.weight[i][own.y] * own.n[:, i]
+                    columns = [np.ascontiguousarray(codes[:, f]) for f in range(codes.shape[1])]
+                    known = [None if (c >= 0).all() else c >= 0 for c in columns]
                     for c in np.flatnonzero(there[i]):
-                        g, h = w * (q[:, c] - (y == c)), w * q[:, c] * (1 - q[:, c])
+                        sums = w * (q[:, c] - (own.y == c)), w * q[:, c] * (1 - q[:, c])
                         node = _descend(trees, r, i, c, codes, level) - first
-                        at = (node[:, None] * cells + cell).ravel()[known]
-                        wide = lambda v: np.repeat(v, codes.shape[1])[known]
-                        size = 2 ** level * cells
-                        yield i * k + c, np.stack([np.bincount(at, wide(g), minlength=size), np.bincount(at, wide(h), minlength=size)], axis=1).ravel()
-
-            for key, v in _sums(ft, table, work).items():
+                        hist = np.empty((2 ** level, cells, 2))
+                        at = 0
+                        for code, ok, size in zip(columns, known, n_bins):
+                            place = node * size + code
+                            for j, v in enumerate(sums):
+                                hist[:, at:at + size, j] = (np.bincount(place, v, minlength=2 ** level * size) if ok is None else
+                                                            np.bincount(place[ok], v[ok], minlength=2 ** level * size)).reshape(-1, size)
+                            at += size
+                        yield i * k + c, hist.ravel()
+
+            for key, v in _added(table, lambda batch, work=work: work(Cells(batch, edges, prep))).items():
                 i, c = divmod(key, k)
                 for node, (feature, cut, left, right) in enumerate(_best_splits(v.reshape(2 ** level, cells, 2), n_bins, n_cats, l2, least)):
                     at = first + node
@@ -388,17 +458,15 @@ def fit_boosting(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, max_iter: i
     return trees
 
 
-def _with_scores(ft: FoldTable, table: DataFrame, fits: Sequence[Fit], prep: Prepared, trees: Trees, first: int, rounds: int) -> DataFrame:
-    """The table with the scores of all fits after so many rounds."""
-    n_cats, n_nums, k = len(ft.categories), len(ft.numeric), len(ft.labels)
-    plain = [c for c in table.columns if c != "scores"]
+def _with_scores(table: DataFrame, fits: Sequence[Fit], prep: Prepared, trees: Trees, first: int, rounds: int) -> DataFrame:
+    """The folded rows with the scores of all fits after so many rounds."""
+    k, plain = trees.value.shape[2], [c for c in table.columns if c != "scores"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows, every = Rows(batch, n_cats, n_nums), np.ones(batch.num_rows, bool)
-                out = np.hstack([_scores(trees, i, _binned(trees, prep, i, rows, every),
-                                         None if rows.scores is None else rows.scores[:, i * k:(i + 1) * k], first, rounds) for i in range(len(fits))])
+                own = Cells(batch, trees.edges, prep)
+                out = np.hstack([_scores(trees, i, own.codes(i), own.start(i, k), first, rounds) for i in range(len(fits))])
                 ends = pa.array(np.arange(0, out.size + 1, out.shape[1]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*plain, "scores"])
 
@@ -416,13 +484,14 @@ def predictions(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, model: np.nd
             if not batch.num_rows:
                 continue
             rows = Rows(batch, n_cats, n_nums)
+            bins = _bins(model.edges, rows) if isinstance(model, Trees) else None
             for i, f in enumerate(fits):
                 own = rows.roles[:, f.slot]
                 m = (own == TEST) | ((own == CALIB) & (not f.with_calib))
                 if not m.any():
                     continue
                 if isinstance(model, Trees):
-                    z = _scores(model, i, _binned(model, prep, i, rows, m), None, 0, len(model.value))
+                    z = _scores(model, i, _filled(model.edges, prep, i, bins[m]), None, 0, len(model.value))
                 else:
                     z = _design(prep, i, rows, m) @ model[i]
                 p = softmax(z, there[i])

@@ -149,6 +149,21 @@ def test_boosting_matches_plain_trees(data, monkeypatch):
         assert len(got[i]) == sum((roles[:, f.slot] == 3) | ((roles[:, f.slot] == 2) & (not f.with_calib)))
 
 
+def test_boosting_reads_rows_folded_by_their_codes(data):
+    """Twice the rows are the same number of folded rows, with twice the counts."""
+    df, roles = data
+    fits = [FM.Fit(0, True), FM.Fit(4, False)]
+    seen = []
+    for rows in (df, df.unionByName(df.withColumn("row_id", F.col("row_id") + 600))):
+        ft = table_of((rows, roles), ("x1", "x2"))
+        edges = FM._edges(table_of(data, ("x1", "x2")), 4)
+        folded, n = FM.folded_rows(ft, fits, edges)
+        found = {(r.y, tuple(r.bins)): r.n for r in folded.collect()}
+        assert len(found) == n < 300 and sum(v[0] for v in found.values()) == ft.table.where("y >= 0 AND roles[0] IN (1, 2)").count()
+        seen.append(found)
+    assert seen[1] == {k: [2 * x for x in v] for k, v in seen[0].items()}
+
+
 def brute_isotonic(points):
     """Max over starts of min over ends of the mean of a stretch."""
     x = sorted(points)
