@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from evitrust.sources.shared import written
+
 MAX_ROWS_PER_RANGE = 1_000_000
 CUTS = 1_023        # cuts that one binary search looks through, a power of two less one
 OVERSAMPLE = 16     # sampled rows for each cut
@@ -62,17 +64,18 @@ def with_ranges(df: DataFrame, order: Sequence[str], max_rows_per_range: int = M
     ranges = 2 * -(-df.count() // max_rows_per_range)
     first = min(ranges, CUTS)
     second = min(-(-ranges // (first + 1)) - 1, CUTS)
-    out = df.withColumn("_o", F.struct(*order))
+    out = df.withColumn("_o", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)]))
     wanted = OVERSAMPLE * (first + 1) * (second + 1)
     total = max(ranges * max_rows_per_range // 2, 1)
     share = min(1_000_000, max(wanted * 1_000_000 // total, 1) * 2)
     sample = out.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).select("_o")
-    one = F.broadcast(_spread(sample, first).withColumnRenamed("cuts", "_cuts"))
+    # cuts are written: else the plan of the rows stands in the result once more for every use of them
+    one = F.broadcast(written(_spread(sample, first).withColumnRenamed("cuts", "_cuts")))
     out = out.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).drop("_cuts")
     if second < 1:
         return out.withColumn("_part", F.lit(0)).drop("_o")
     inner = sample.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).select("_range", "_o")
-    own = F.broadcast(_spread(inner, second, ["_range"]).withColumnRenamed("_range", "_r"))
+    own = F.broadcast(written(_spread(inner, second, ["_range"]).withColumnRenamed("_range", "_r")))
     return out.join(own, F.col("_range") == F.col("_r"), "left").withColumn(
         "_part", F.coalesce(_search(F.col("cuts"), F.col("_o")), F.lit(0))).drop("cuts", "_r", "_o")
 
@@ -234,7 +237,7 @@ def with_average_rank(
         cols.append(F.col("avg_rank").alias("_r_rank"))
     if percentile:
         cols.append((F.col("avg_rank") / F.col("n_total")).alias("_r_percentile"))
-    ranks = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, value)], F.col("n").alias("_r_n"), *cols)
+    ranks = written(ranks.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, value)], F.col("n").alias("_r_n"), *cols))
     on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, value)]
     found = [F.col(c).alias(n) for c, n in (("_r_rank", rank), ("_r_percentile", percentile)) if n]
     # A value that over max_rows_per_range rows share does not meet them in one task: there are at most

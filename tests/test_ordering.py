@@ -124,3 +124,12 @@ def test_falling_positions_of_any_type(spark, kind, values, limit):
     order = sorted(sorted(range(len(values))), key=lambda i: key(values[i]), reverse=True)
     order = sorted(range(len(values)), key=lambda i: (order.index(next(j for j in order if values[j] == values[i])), i))
     assert [got[i] for i in order] == list(range(1, len(values) + 1))
+
+
+def test_ranges_do_not_multiply_the_plan(spark):
+    """Two ranks one after the other in two levels of ranges: the plan holds the rows a few times, not hundreds."""
+    df = spark.range(4000).selectExpr("id", "id % 3 AS k", "CAST(id * 7 % 1009 AS DOUBLE) AS a", "CAST(id * 11 % 53 AS DOUBLE) AS b")
+    out = ordering.with_average_rank(df, ["k"], "a", rank="ra", max_rows_per_range=3)
+    out = ordering.with_average_rank(out, ["k"], "b", rank="rb", max_rows_per_range=3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 20
+    assert out.count() == 4000 and out.where("ra IS NULL OR rb IS NULL").count() == 0
