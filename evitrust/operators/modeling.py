@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evitrust import ordering
 from evitrust.functions import probs
@@ -24,6 +25,7 @@ from evitrust.operators import curves, fold_models, folds as fold_ops, harmonize
 from evitrust.sources.shared import written
 
 MIN_ISOTONIC_PER_CLASS = 50
+ROWS_PER_HASH_RANGE = 100_000
 
 
 # --- features --------------------------------------------------------------------------------
@@ -591,13 +593,28 @@ def permutation_importance(fitted: Classifier, prep: Preparation, test: DataFram
                            **sizing) -> DataFrame:
     """Mean and deviation of the balanced-accuracy loss when one column is shuffled, most important first.
 
-    All columns and repeats are scored in one job.
+    All columns and repeats are dealt in one order, as ``shuffled_column`` deals one, and scored in one job.
     """
-    stacked = test.withColumns({"_column": F.lit(""), "_repeat": F.lit(0)})
-    for c in columns:
-        for r in range(repeats):
-            mixed = test.drop(c).join(shuffled_column(test, "row_id", c, f"{seed}:{c}:{r}", **sizing), "row_id")
-            stacked = stacked.unionByName(mixed.withColumns({"_column": F.lit(c), "_repeat": F.lit(r)}))
+    columns = list(columns)
+    used = list(dict.fromkeys(["row_id", label, *prep.fills, *prep.medians, *columns]))
+    test = ordering.row_positions(test.select(*used), [], "row_id", [], position="_at", total="_n", **sizing).drop("_n")
+    test = written(test.repartition(test.sparkSession.sparkContext.defaultParallelism * 4, "row_id"))
+    # every column and repeat deals its own values to the rows by place, all in one order
+    turns = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.lit(r).alias("_repeat")) for c in columns for r in range(repeats)]))
+    work = test.select("row_id", *columns, turns.alias("_t")).select("row_id", "_t.*", *[F.when(F.col("_t._column") == c, F.col(c)).alias(f"_g_{c}") for c in columns])
+    work = work.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "_column", "_repeat", F.col("row_id").cast("string"))))
+    # the first digits of a hash are even ranges of its order
+    work = work.withColumn("_b", F.substring("_h", 1, math.ceil(math.log(max(test.count() / ROWS_PER_HASH_RANGE, 1), 16))))
+    turn = ["_column", "_repeat"]
+    before = Window.partitionBy(*turn).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = work.groupBy(*turn, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = sizes.select(*turn, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    gives = work.withColumn("_in", F.row_number().over(Window.partitionBy(*turn, "_b").orderBy("_h", "row_id"))).join(
+        F.broadcast(earlier), [*turn, "_b"]).withColumn("_at", F.col("_before") + F.col("_in"))  # one row a turn and range
+    gives = gives.select("_at", *turn, *[f"_g_{c}" for c in columns])
+    mixed = gives.join(test, "_at").withColumns({c: F.when(F.col("_column") == c, F.col(f"_g_{c}")).otherwise(F.col(c)) for c in columns})
+    whole = test.withColumns({"_column": F.lit(""), "_repeat": F.lit(0)})
+    stacked = whole.unionByName(mixed.select(*whole.columns))
     pred = fitted.predict(prep.apply(stacked))
     pred = pred.withColumn("y_pred", probs.arg_max([F.col(f"prob_{x}") for x in labels], labels))
     scored = metrics.classification_scores(pred, ["_column", "_repeat"], labels, label, "y_pred")

@@ -8,6 +8,7 @@ from evitrust.operators import folds, modeling as M, plausibility
 from evitrust.plans.fixtures import LABELS
 from evitrust.plans.registry import Tables, query
 from evitrust.plans.trust_queries import rounded, sizing
+from evitrust.sources.shared import written
 
 ROWS = """SELECT o_orderkey AS row_id, o_custkey AS grp, o_orderstatus AS y_true, o_orderpriority AS priority,
   CASE WHEN o_orderkey % 13 <> 0 THEN c_mktsegment END AS segment, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 9973.0e0 END AS price,
@@ -193,7 +194,7 @@ def shuffled_column(t):
 
 @query("permutation_importance")
 def permutation_importance(t):
-    df = rows(t).join(outer_folds(t, SEEDS[:1]).drop("seed"), "grp")
+    df = written(rows(t).join(outer_folds(t, SEEDS[:1]).drop("seed"), "grp"))  # read by every step of the fit
     train, test = df.where("fold <> 0"), df.where("fold = 0")
     prep = M.fit_preparation(train, CATEGORICAL, NUMERIC)
     fitted = M.fit_classifier(prep.apply(train), "logistic", LABELS)

@@ -151,3 +151,24 @@ def test_every_seed_reaches_the_registered_runs(data, monkeypatch):
     with pytest.raises(Stop):
         queries["boosting_facts"].run(t)
     assert M.RunSpec("boosting", "none") in seen["out_of_fold"][1]
+
+
+def test_permutations_share_one_order(spark, monkeypatch):
+    """All columns and repeats are dealt in one order, each as ``shuffled_column`` deals it."""
+    from evitrust import ordering
+    df = spark.createDataFrame([(i, "ab"[i % 2], "uvw"[i % 3], float(i * 7 % 31)) for i in range(60)], "row_id int, y_true string, cat string, x double")
+    prep = M.fit_preparation(df, ["cat"], ["x"])
+    fitted = M.fit_classifier(prep.apply(df), "logistic", ["a", "b"])
+    monkeypatch.setattr(M, "ROWS_PER_HASH_RANGE", 5)
+    calls, seen, plain, scores = [], {}, ordering.row_positions, M.metrics.classification_scores
+    monkeypatch.setattr(ordering, "row_positions", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    monkeypatch.setattr(M.metrics, "classification_scores", lambda pred, *a, **k: seen.update(pred=pred) or scores(pred, *a, **k))
+    M.permutation_importance(fitted, prep, df, ["cat", "x"], ["a", "b"], repeats=2).collect()
+    assert len(calls) == 1
+    for c in ("cat", "x"):
+        for r in range(2):
+            want = {x.row_id: x[c] for x in M.shuffled_column(df, "row_id", c, f"42:{c}:{r}").collect()}
+            got = seen["pred"].where((F.col("_column") == c) & (F.col("_repeat") == r)).collect()
+            assert {x.row_id: x[c] for x in got} == want and len(got) == 60
+            other = "x" if c == "cat" else "cat"
+            assert all(x[other] == ("uvw"[x.row_id % 3] if other == "cat" else float(x.row_id * 7 % 31)) for x in got)
