@@ -75,10 +75,11 @@ def source_cells(df: DataFrame, keep: Column, value: str, source: str, prio: int
 def cells_by_source(df: DataFrame, value: str, strict: Column, entity: str = "entity",
                     channel: str = "channel", source: str = "source", prio: str = "prio", **sizing) -> DataFrame:
     """Long cell table when the source is a column: all sources in one job."""
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull()).select(entity, channel, source, prio, value, strict.alias("_strict"))
     keys = [entity, channel, source, prio]
-    found = ordering.grouped_quantiles(rows.withColumn("_v", F.col(value)).withColumn("_strict", strict), keys, "_v", {"value": 0.5},
-                                       also={"n_records": F.count(F.lit(1)), "is_strict": F.bool_and("_strict")}, **sizing)
+    found = ordering.grouped_quantiles(rows.withColumnRenamed(value, "_v"), keys, "_v", {"value": 0.5},
+                                       also={"n_records": F.count(F.lit(1)), "is_strict": F.bool_and("_strict")},
+                                       deal_by=[entity, channel], **sizing)  # a cell's sources meet in one task
     return found.select(
         F.col(entity).alias("entity"), F.col(channel).alias("channel"), F.col(source).alias("source"),
         F.col(prio).alias("prio"), "value", "n_records", "is_strict")

@@ -22,6 +22,8 @@ from evitrust.sources.shared import written
 MAX_ROWS_PER_RANGE = 1_000_000
 CUTS = 1_023        # cuts that one binary search looks through, a power of two less one
 OVERSAMPLE = 16     # sampled rows for each cut
+BUCKETS = 1 << 14   # of hashed keys, whose sizes are looked at before those of the groups
+ROWS_PER_TASK = 500_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -33,12 +35,29 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 def groups_fit(df: DataFrame, keys: Sequence[str], max_rows_per_range: int = MAX_ROWS_PER_RANGE,
                group_at_most: int | None = None) -> bool:
-    """Is every group small enough for one task?"""
+    """Is every group small enough for one task? Rows of a bucket of hashed keys bound those of its groups, so groups
+    themselves are counted only where a large bucket holds several."""
     if group_at_most is not None and group_at_most <= max_rows_per_range:
         return True
+    if not keys:
+        return largest_group(df, keys) <= max_rows_per_range
+    hashed = df.select(F.xxhash64(*keys).alias("_h"))
+    sizes = hashed.groupBy(F.pmod("_h", F.lit(BUCKETS)).alias("_b")).agg(
+        F.count(F.lit(1)).alias("n"), (F.min("_h") == F.max("_h")).alias("one"))
+    large = sizes.where(F.col("n") > max_rows_per_range).agg(F.count(F.lit(1)).alias("n"), F.bool_or("one").alias("one")).first()
+    if not large.n or large.one:
+        return not large.n
     return largest_group(df, keys) <= max_rows_per_range
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """A large table dealt by ``keys`` to tasks of about ``ROWS_PER_TASK`` rows, whatever number of partitions the session
+    has: what a task holds then does not grow with the table. ``rows`` bounds its rows; unknown, or few, it stays as it is."""
+    if not keys or not rows or rows <= ROWS_PER_TASK * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // ROWS_PER_TASK), *keys)
+
+
 def _search(cuts: Column, row: Column) -> Column:
     """How many of at most ``CUTS`` sorted cuts are smaller than the row, by halving."""
     halves = [(CUTS + 1) >> (i + 1) for i in range((CUTS + 1).bit_length() - 1)]
@@ -199,6 +218,8 @@ def value_ranks(
     )
     if group_at_most is None:
         group_at_most = largest_group(df, keys)
+    if group_at_most > max_rows_per_range:
+        folded = written(folded)    # sizes, cuts and ranks each read it
     ranked = cumulative(folded, keys, value, {"_cum": F.col("n")}, (), max_rows_per_range, group_at_most)
     return (
         ranked.withColumn("avg_rank", F.col("_cum") - (F.col("n") - 1) / F.lit(2.0))
@@ -231,6 +252,7 @@ def with_average_rank(
         if percentile:
             outs[percentile] = F.when(F.col(value).isNotNull(), avg_rank / size)
         return df.withColumns(outs)
+    df = written(df)    # read by the fold and by each join below
     ranks = value_ranks(df, keys, value, None, max_rows_per_range, group_at_most)
     cols = []
     if rank:
@@ -258,11 +280,13 @@ def grouped_quantiles(
     max_rows_per_range: int = MAX_ROWS_PER_RANGE,
     group_at_most: int | None = None,
     also: Mapping[str, Column] | None = None,
+    deal_by: Sequence[str] = (),
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of the non-null values per group.
 
     ``also`` names further aggregates of all rows of ``df``. They come from the same shuffle where groups fit a task;
-    groups without a value then have them too, with null quantiles.
+    groups without a value then have them too, with null quantiles. Such groups are dealt to tasks by ``deal_by``, some of
+    the keys that later steps group by (else by all keys).
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer; this
     form keeps only counts per distinct value and running totals, so a hot group is spread out.
@@ -272,6 +296,7 @@ def grouped_quantiles(
     if fits:
         part = keys if keys else [F.lit(0)]
         present = df if also else df.where(F.col(value).isNotNull()).select(*keys, value)
+        present = dealt(present, list(deal_by) or keys, group_at_most)
         ordered = Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last())
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ranks = present.withColumns({

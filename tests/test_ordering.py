@@ -133,3 +133,33 @@ def test_ranges_do_not_multiply_the_plan(spark):
     out = ordering.with_average_rank(out, ["k"], "b", rank="rb", max_rows_per_range=3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 20
     assert out.count() == 4000 and out.where("ra IS NULL OR rb IS NULL").count() == 0
+
+
+def test_cells_are_dealt_once_by_rows_not_by_the_session(spark, monkeypatch):
+    """Cells of a large table lie in as many tasks as its rows ask for, and the choice of sources moves nothing again."""
+    from evitrust.operators import harmonize
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 100)
+    df = spark.range(3000).selectExpr("id % 40 AS entity", "'c' || id % 7 AS channel", "'s' || id % 5 AS source", "CAST(id % 5 AS INT) AS prio",
+                                      "CAST(id * 7 % 1009 AS DOUBLE) AS v")
+    one = lambda **kw: harmonize.cells_by_source(df, "v", F.col("v") > 3, **kw)
+    cells = one(group_at_most=3000)
+    assert cells.rdd.getNumPartitions() == 30
+    best = harmonize.select_cells(cells)
+    assert best._jdf.queryExecution().sparkPlan().toString().count("Repartition") <= 1
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, cells.collect())) == sorted(map(str, one().collect()))
+
+
+def test_groups_fit_by_buckets_of_hashed_keys(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 10 AS k", "id % 3 AS l")
+    for buckets in (1 << 14, 1):        # groups apart, and all in one bucket
+        monkeypatch.setattr(ordering, "BUCKETS", buckets)
+        assert ordering.groups_fit(df, ["k"], 100) and not ordering.groups_fit(df, ["k"], 99)
+        assert ordering.groups_fit(df, ["k", "l"], 34) and not ordering.groups_fit(df, ["k", "l"], 33)
+
+
+def test_two_ranks_read_the_rows_once(spark):
+    df = spark.range(4000).selectExpr("id", "id % 3 AS k", "CAST(id * 7 % 1009 AS DOUBLE) AS a")
+    out = ordering.with_average_rank(df, ["k"], "a", rank="ra", max_rows_per_range=300)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("ra IS NOT NULL").count() == 4000
