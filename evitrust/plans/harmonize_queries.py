@@ -549,7 +549,8 @@ def selected_vs_source(t):
     pool = chosen.select("entity", "channel", "source", "value").unionByName(
         long_cells.where("source = 'src_d'").select("entity", "channel", "source", "value"))
     pairs = [("selected", "src_d")]
-    out = concordance.fold_concordance(concordance.source_pairs(pool, pairs), pairs, **sizing(t, "lineitem"))
+    both = concordance.source_pairs(pool, pairs).persist(StorageLevel.DISK_ONLY)  # read several times
+    out = concordance.fold_concordance(both, pairs, **sizing(t, "lineitem"))
     return rounded(out, "median_fold_diff", "mean_fold_diff", "max_fold_diff", digits=6)
 
 
