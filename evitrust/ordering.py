@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evitrust.sources.shared import written
 
-MAX_ROWS_PER_RANGE = 1_000_000
-CUTS = 1_023        # cuts that one binary search looks through, a power of two less one
+MAX_ROWS_PER_RANGE = 250_000   # Spark may put several groups into one task
+CUTS = 1_023        # cuts that one binary search looks through at most
 OVERSAMPLE = 16     # sampled rows for each cut
 BUCKETS = 1 << 14   # of hashed keys, whose sizes are looked at before those of the groups
 ROWS_PER_TASK = 500_000
@@ -58,9 +58,9 @@ def dealt(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
     return df.repartition(-(-rows // ROWS_PER_TASK), *keys)
 
 
-def _search(cuts: Column, row: Column) -> Column:
-    """How many of at most ``CUTS`` sorted cuts are smaller than the row, by halving."""
-    halves = [(CUTS + 1) >> (i + 1) for i in range((CUTS + 1).bit_length() - 1)]
+def _search(cuts: Column, row: Column, n: int) -> Column:
+    """How many of at most ``n`` sorted cuts are smaller than the row, by halving."""
+    halves = [1 << i for i in reversed(range(max(n, 1).bit_length()))]
     return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0),
                        lambda low, half: F.when(F.get(cuts, low + half - 1) < row, low + half).otherwise(low))
 
@@ -90,13 +90,13 @@ def with_ranges(df: DataFrame, order: Sequence[str], max_rows_per_range: int = M
     sample = out.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < share).select("_o")
     # cuts are written: else the plan of the rows stands in the result once more for every use of them
     one = F.broadcast(written(_spread(sample, first).withColumnRenamed("cuts", "_cuts")))
-    out = out.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).drop("_cuts")
+    out = out.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"), first)).drop("_cuts")
     if second < 1:
         return out.withColumn("_part", F.lit(0)).drop("_o")
-    inner = sample.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"))).select("_range", "_o")
+    inner = sample.join(one, F.lit(True), "left").withColumn("_range", _search(F.col("_cuts"), F.col("_o"), first)).select("_range", "_o")
     own = F.broadcast(written(_spread(inner, second, ["_range"]).withColumnRenamed("_range", "_r")))
     return out.join(own, F.col("_range") == F.col("_r"), "left").withColumn(
-        "_part", F.coalesce(_search(F.col("cuts"), F.col("_o")), F.lit(0))).drop("cuts", "_r", "_o")
+        "_part", F.coalesce(_search(F.col("cuts"), F.col("_o"), second), F.lit(0))).drop("cuts", "_r", "_o")
 
 
 def cumulative(
@@ -131,7 +131,7 @@ def cumulative(
         work = work.withColumns(outs)
         return work.drop(*[f"_w_{n}" for n in names])
 
-    ranged = with_ranges(work, order, max_rows_per_range)
+    ranged = written(with_ranges(work, order, max_rows_per_range))  # read for the sizes and for the sums
     range_cols = ["_range", "_part"]
     sizes = ranged.groupBy(*keys, *range_cols).agg(
         *[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in names]
@@ -146,7 +146,7 @@ def cumulative(
     )
     inside = Window.partitionBy(*keys, *range_cols).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
-    local = ranged
+    local = dealt(ranged, [*keys, *range_cols], ranged.count())
     for name in names:
         local = local.withColumn(f"_l_{name}", F.sum(f"_w_{name}").over(inside))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]

@@ -163,3 +163,13 @@ def test_two_ranks_read_the_rows_once(spark):
     out = ordering.with_average_rank(df, ["k"], "a", rank="ra", max_rows_per_range=300)
     assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.where("ra IS NOT NULL").count() == 4000
+
+
+def test_ranges_are_dealt_by_rows_not_by_some_of_the_keys(spark, monkeypatch):
+    """Rows that lie by (k) must not be ranked there for (p, k): a task would hold all p of a k."""
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 100)
+    df = spark.range(4000).selectExpr("id", "id % 2 AS k", "explode(array(1, 2, 3)) AS p", "CAST(id * 7 % 1009 AS DOUBLE) AS v").repartition(2, "k")
+    out = ordering.row_positions(df, ["p", "k"], "v", ["id"], max_rows_per_range=500)
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 12000 and max(sizes) <= 1000
+    assert out.where("pos = n_total").count() == 6
