@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evitrust import contracts
 from evitrust.functions import probs
 from evitrust.operators import metrics
+from evitrust.sources.shared import written
 
 
 def plausibility_scores(predictions: DataFrame, entity_probs: DataFrame, keys: Sequence[str],
@@ -39,7 +40,9 @@ def plausibility_report(scored: DataFrame, keys: Sequence[str] = ("seed",),
     """Per key: row counts, support of correct/incorrect rows, AUC of five scores against the error,
     and the correlation of support and disagreement."""
     keys = list(keys)
-    scored = scored.withColumn("error", (F.col("y_true") != F.col("y_pred")).cast("int"))
+    # read by nine aggregates: the joins below it, and what they broadcast, are done once
+    scored = written(scored.select(
+        *keys, (F.col("y_true") != F.col("y_pred")).cast("int").alias("error"), missing, "mech_support", "mech_disagreement", "mech_plausibility"))
     usable = usable_rows(scored, missing).withColumn(
         "_dis_plus_missing", F.col("mech_disagreement") + F.col(missing))
     is_error: Column = F.col("error") == 1

@@ -132,3 +132,14 @@ def test_temperature_keeps_one_when_already_calibrated(spark):
     df = spark.createDataFrame([(1, "a", 0.5, 0.5), (1, "b", 0.5, 0.5)], "seed int, y_true string, prob_a double, prob_b double")
     best = late_fusion.select_temperature(late_fusion.temperature_losses(df, ["seed"], ["prob_a", "prob_b"], ["a", "b"]), ["seed"])
     assert best.first()["temperature"] == 1.0
+
+
+def test_plausibility_report_reads_its_rows_once(spark):
+    scored = spark.range(200).selectExpr(
+        "42 AS seed", "IF(id % 3 = 0, 'a', 'b') AS y_true", "'b' AS y_pred", "CAST(id % 7 AS DOUBLE) / 7 AS mech_missing_frac",
+        "CAST(id % 11 AS DOUBLE) / 11 AS mech_support", "1 - CAST(id % 11 AS DOUBLE) / 11 AS mech_disagreement",
+        "CAST(id % 13 AS DOUBLE) / 13 AS mech_plausibility")
+    out = plausibility.plausibility_report(scored)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = out.first()
+    assert (r.n_rows, r.n_rows_usable) == (200, 200) and abs(r.auc_support + r.auc_disagreement - 1) < 1e-12
