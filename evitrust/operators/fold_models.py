@@ -3,7 +3,7 @@
 Rows are joined with the roles their group has in each slot (train, calib, test) and written once. A *fit* is a slot with
 the roles it learns from. Statistics of all fits come from two jobs: medians from one running order of the folded values
 with one count for each fit, and moments, category and class counts from one pass. The multinomial logistic models take
-Newton steps, the boosted trees one histogram a level over rows folded by their codes, for all fits together; a task adds up its own rows and sends one
+Newton steps, the boosted trees and the forests one histogram a level over rows folded by their codes, for all fits together; a task adds up its own rows and sends one
 vector a fit (and class), so what moves does not grow with the rows, and nothing is fitted in one task or on the driver
 but the solution of small systems. Predictions of all slots are one more pass.
 """
@@ -473,9 +473,195 @@ def _with_scores(table: DataFrame, fits: Sequence[Fit], prep: Prepared, trees: T
     return table.mapInArrow(run, table.select(*plain).schema.add("scores", T.ArrayType(T.DoubleType())))
 
 
+# --- forests ---------------------------------------------------------------------------------
+
+@dataclass
+class Forest:
+    """Complete trees of (tree, fit): feature (-1: all rows go left) and cut of the inner nodes, class shares of the leaves."""
+
+    feature: np.ndarray      # (tree, fit, 1, node), as ``_descend`` reads it
+    cut: np.ndarray
+    value: np.ndarray        # (tree, fit, leaf, class)
+    edges: list[np.ndarray]
+    n_cats: int
+    depth: int
+
+    def shares(self, i: int, codes: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Mean class shares of the leaves that each row falls into."""
+        out = np.zeros((len(codes), self.value.shape[3]))
+        for t in range(len(self.value)):
+            out += self.value[t, i].take(_descend(self, t, i, 0, codes, self.depth) - (2 ** self.depth - 1), axis=0)
+        total = out.sum(axis=1, keepdims=True)
+        return np.where(total > 0, out / np.where(total > 0, total, 1.0), softmax(np.zeros_like(out), there))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64 bits of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Bootstrap:
+    """How often each folded row is drawn for a tree: a Poisson number with the row's count as its mean, which is what its
+    rows would add up to if each was drawn by itself. It hangs on the row's codes, the seed and the tree only, so every pass
+    draws the same; means over ``LARGE`` are drawn from the rounded normal distribution."""
+
+    LARGE = 1000
+
+    def __init__(self, y: np.ndarray, bins: np.ndarray, n: np.ndarray):
+        key = np.full(len(y), 0x9E3779B97F4A7C15, np.uint64)
+        for column in (y, *bins.T):
+            key = _mix(key ^ (column.astype(np.int64) + 2).astype(np.uint64))
+        self.key, self.n, self.large = key, n, np.flatnonzero(n > self.LARGE)
+        means, self.at = np.unique(np.minimum(n, self.LARGE), return_inverse=True)
+        tables = []
+        for m in means.tolist():
+            k = np.arange(int(m + 12 * np.sqrt(m)) + 20)
+            log = k * np.log(m) - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]) - m if m else np.where(k, -np.inf, 0.0)
+            tables.append(np.minimum(np.cumsum(np.exp(log)), 1.0))
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in tables])[:-1]]).astype(np.int64)
+        self.table = np.concatenate([i + x for i, x in enumerate(tables)])     # one sorted table: place of the mean + share
+
+    def _even(self, key: np.ndarray, seed: int, tree: int, turn: int) -> np.ndarray:
+        salt = _mix(np.array([seed, tree, turn], np.int64).astype(np.uint64) + np.uint64(1))
+        salt = _mix(salt[0] ^ _mix(salt[1] ^ (salt[2] << np.uint64(1))))
+        return (_mix(key ^ salt) >> np.uint64(11)) * 2.0 ** -53
+
+    def drawn(self, seed: int, tree: int) -> np.ndarray:
+        out = np.searchsorted(self.table, self.at + self._even(self.key, seed, tree, 0), side="right") - self.start[self.at]
+        if len(self.large):
+            mean, key = self.n[self.large], self.key[self.large]
+            a, b = (self._even(key, seed, tree, turn) for turn in (1, 2))
+            z = np.sqrt(-2 * np.log1p(-a)) * np.cos(2 * np.pi * b)
+            out[self.large] = np.maximum(np.rint(mean + np.sqrt(mean) * z), 0)
+        return out
+
+
+class _Offer:
+    """The features offered to the nodes of one level of a tree, a random few for each node, and where their counts lie."""
+
+    def __init__(self, columns: np.ndarray, category: np.ndarray, sizes: np.ndarray, seed: int, tree: int, level: int, closed: np.ndarray):
+        width = len(columns)
+        few = int(np.ceil(np.sqrt(width)))
+        order = np.random.default_rng([seed, tree, level]).random((2 ** level, width))
+        picked = np.sort(np.argpartition(order, few - 1, axis=1)[:, :few], axis=1)
+        self.column, self.category = columns[picked], category[picked]
+        self.size = np.where(closed[:, None], 0, sizes[picked])
+        self.start = (np.cumsum(self.size.ravel()) - self.size.ravel()).reshape(self.size.shape)
+        self.cells = int(self.size.sum())
+
+
+def fit_forest(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, trees: int = 200, depth: int = 10, bins: int = 32) -> Forest:
+    """Random forests: each tree is grown on its own bootstrap of the rows, each node splits by the best of a random few
+    features (the root of their number) by the weighted Gini impurity. Every category is a feature, split one against the rest.
+
+    One job a level grows all trees of all fits: tasks count their folded rows by node, feature and class, the counts of a
+    tree are added up in one group, which gives the splits of that level. Only splits reach the driver.
+    """
+    n, k, n_cats = len(fits), len(ft.labels), len(ft.categories)
+    edges = _edges(ft, bins)
+    forest = Forest(np.full((trees, n, 1, 2 ** depth - 1), -1, np.int16), np.zeros((trees, n, 1, 2 ** depth - 1), np.int16),
+                    np.zeros((trees, n, 1, k), np.float32), edges, n_cats, depth)
+    features = []      # of each fit: column, category (-1: a number), number of cells
+    for i in range(n):
+        hot = [(c, v, 2) for c, seen in enumerate(prep.seen[i]) for v in np.flatnonzero(seen).tolist()]
+        features.append(np.array(hot + [(n_cats + c, -1, len(e) + 1) for c, e in enumerate(edges) if prep.used[i, c]], np.int64).reshape(-1, 3).T)
+    seeds = [ft.slots[f.slot][0] for f in fits]
+    grown = [i for i in range(n) if features[i].shape[1]]
+    table, _ = folded_rows(ft, fits, edges)
+    shares = np.zeros((trees, n, 1, k), np.float32)
+    closed = np.zeros((trees, n, 1), bool)
+
+    for level in range(depth):
+        first = 2 ** level - 1
+
+        def offer(i: int, t: int) -> _Offer:
+            return _Offer(*features[i], seeds[i], t, level, closed[t, i])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None   # ROWS_PER_TASK rows a file
+            if whole is None:
+                return
+            own = Cells(whole.combine_chunks().to_batches()[0], edges, prep)
+            for i in grown:
+                some = np.flatnonzero(own.n[:, i] > 0)
+                if not len(some):
+                    continue
+                codes, y = own.codes(i)[some].astype(np.int32), own.y[some].astype(np.int64)
+                sample = _Bootstrap(y, own.bins[some], own.n[some, i])
+                for t in range(trees):
+                    if closed[t, i].all():
+                        continue
+                    times = sample.drawn(seeds[i], t)
+                    taken = np.flatnonzero(times)
+                    code = codes[taken]
+                    node = _descend(forest, t, i, 0, code, level) - first
+                    if closed[t, i].any():
+                        still = np.flatnonzero(~closed[t, i][node])
+                        taken, code, node = taken[still], code[still], node[still]
+                    if not len(taken):
+                        continue
+                    o, flat, at = offer(i, t), code.ravel(), np.arange(len(code)) * code.shape[1]
+                    hit, weight = y[taken], times[taken].astype(np.float64)
+                    total = np.zeros(o.cells * k)
+                    for j in range(o.column.shape[1]):
+                        x, category = flat.take(at + o.column[:, j].take(node)), o.category[:, j].take(node)
+                        cell = np.where(category < 0, x, x != category) + o.start[:, j].take(node)
+                        total += np.bincount(cell * k + hit, weight, minlength=len(total))
+                    yield pa.RecordBatch.from_arrays([pa.array([i * trees + t], pa.int32()), pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["key", "v"])
+
+        def split(parts: pa.Table) -> pa.Table:     # runs before the next level is defined
+            key = parts.column("key")[0].as_py()
+            i, t = divmod(key, trees)
+            o = offer(i, t)
+            counts = sum(np.frombuffer(v.as_py(), np.int64) for v in parts.column("v")).reshape(-1, k) * prep.weight[i]
+            size, start = o.size.ravel(), o.start.ravel()
+            deep = np.zeros((len(size), max(2, int(size.max())), k))
+            deep[np.repeat(np.arange(len(size)), size), np.arange(o.cells) - np.repeat(start, size)] = counts
+            deep = deep.reshape(*o.size.shape, -1, k)                 # (node, offered feature, cell, class)
+            whole = deep[:, :1].sum(axis=2, keepdims=True)
+            left = np.where((o.category < 0)[:, :, None, None], np.cumsum(deep, axis=2), deep)[:, :, :-1]
+            left[:, :, 1:] = np.where((o.category < 0)[:, :, None, None], left[:, :, 1:], 0.0)
+            right = whole - left
+            pure = lambda s: (s * s).sum(axis=-1) / np.maximum(s.sum(axis=-1), 1e-300)
+            gain = (pure(left) + pure(right) - pure(whole)) / np.maximum(whole.sum(axis=-1), 1e-300)
+            some = 1e-9 * np.maximum(whole.sum(axis=-1), 1e-300)
+            gain = np.where((left.sum(axis=-1) > some) & (right.sum(axis=-1) > some), gain, -np.inf).reshape(len(deep), -1)
+            at = np.arange(len(deep))
+            best = gain.argmax(axis=1)
+            good = gain[at, best] > 1e-9
+            j, c = np.divmod(best, left.shape[2])
+            feature = np.where(good, o.column[at, j], -1)
+            cut = np.where(o.category[at, j] < 0, c, o.category[at, j])
+            sides = np.stack([left[at, j, c], np.maximum(right[at, j, c], 0.0), whole[:, 0, 0]], axis=1)
+            sides = sides / np.maximum(sides.sum(axis=2, keepdims=True), 1e-300)
+            return pa.table({"key": pa.array([key], pa.int32()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in (
+                ("feature", feature.astype(np.int16)), ("cut", cut.astype(np.int16)), ("sides", sides.astype(np.float32)))}})
+
+        found = table.mapInArrow(count, "key int, v binary").groupBy("key").applyInArrow(split, "key int, feature binary, cut binary, sides binary")
+        below = np.repeat(shares, 2, axis=2)
+        open_below = np.zeros((trees, n, 2 ** (level + 1)), bool)
+        for r in found.collect():     # one row a tree: the splits of its nodes
+            i, t = divmod(r.key, trees)
+            feature, sides = np.frombuffer(r.feature, np.int16), np.frombuffer(r.sides, np.float32).reshape(-1, 3, k)
+            if not level:
+                below[t, i] = sides[0, 2]
+            forest.feature[t, i, 0, first:2 * first + 1], forest.cut[t, i, 0, first:2 * first + 1] = feature, np.frombuffer(r.cut, np.int16)
+            done = np.repeat(feature >= 0, 2)
+            below[t, i, done], open_below[t, i] = sides[:, :2].reshape(-1, k)[done], done
+        shares, closed = below, ~open_below
+        if closed.all():
+            below_leaf = 2 ** (depth - level - 1)
+            shares = np.repeat(shares, below_leaf, axis=2)
+            break
+    forest.value = shares
+    return forest
+
+
 # --- predictions -----------------------------------------------------------------------------
 
-def predictions(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, model: np.ndarray | Trees) -> DataFrame:
+def predictions(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, model: np.ndarray | Trees | Forest) -> DataFrame:
     """Rows (row_id, group, y, fit, role, p array): the test rows of every fit, and the calibration rows it did not learn from."""
     n_cats, n_nums, there, group = len(ft.categories), len(ft.numeric), prep.weight > 0, ft.group
 
@@ -484,17 +670,18 @@ def predictions(ft: FoldTable, fits: Sequence[Fit], prep: Prepared, model: np.nd
             if not batch.num_rows:
                 continue
             rows = Rows(batch, n_cats, n_nums)
-            bins = _bins(model.edges, rows) if isinstance(model, Trees) else None
+            bins = None if isinstance(model, np.ndarray) else _bins(model.edges, rows)
             for i, f in enumerate(fits):
                 own = rows.roles[:, f.slot]
                 m = (own == TEST) | ((own == CALIB) & (not f.with_calib))
                 if not m.any():
                     continue
-                if isinstance(model, Trees):
-                    z = _scores(model, i, _filled(model.edges, prep, i, bins[m]), None, 0, len(model.value))
+                if isinstance(model, Forest):
+                    p = model.shares(i, _filled(model.edges, prep, i, bins[m]), there[i])
+                elif isinstance(model, Trees):
+                    p = softmax(_scores(model, i, _filled(model.edges, prep, i, bins[m]), None, 0, len(model.value)), there[i])
                 else:
-                    z = _design(prep, i, rows, m) @ model[i]
-                p = softmax(z, there[i])
+                    p = softmax(_design(prep, i, rows, m) @ model[i], there[i])
                 take = pa.array(np.flatnonzero(m))
                 ends = pa.array(np.arange(0, p.size + 1, p.shape[1]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(

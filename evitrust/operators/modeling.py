@@ -367,8 +367,8 @@ def out_of_fold_all(rows: DataFrame, roles: DataFrame, features: FeatureSet, spe
                     group: str, label: str = "y_true") -> list[tuple[DataFrame | None, str, str]]:
     """Predictions of every (seed, fold), one result for each run.
 
-    Logistic and boosted models of all folds are fitted together (see ``fold_models``); runs that differ in calibration
-    only share their fits. Forests, and logistic models with very many columns, are fitted fold by fold with Spark ML,
+    Logistic and boosted models and forests of all folds are fitted together (see ``fold_models``); runs that differ in
+    calibration only share their fits. Logistic models with very many columns are fitted fold by fold with Spark ML,
     ``FITS_AT_ONCE`` side by side. Calibrated runs also hold the probabilities and labels before calibration
     (``prob_raw_*``, ``y_pred_raw``).
     """
@@ -381,9 +381,9 @@ def out_of_fold_all(rows: DataFrame, roles: DataFrame, features: FeatureSet, spe
     out: list = [None] * len(specs)
     apart = []
     for (model, params), at in by_model.items():
-        if model in ("logistic", "boosting"):
+        if model in ("logistic", "boosting", "forest"):
             table = table or fold_models.fold_table(rows, roles, features.categorical, features.numeric, labels, group, label, slots)
-            if model == "boosting" or fold_models.width(table) * len(labels) <= MAX_COEFFICIENTS:
+            if model != "logistic" or fold_models.width(table) * len(labels) <= MAX_COEFFICIENTS:
                 for i, done in zip(at, _joint_runs(table, model, dict(params), [specs[i].calibration for i in at])):
                     out[i] = done
                 continue
@@ -404,7 +404,8 @@ def _joint_runs(ft: fold_models.FoldTable, model: str, params: dict, calibration
     need = sorted({c == "none" for c in calibrations})
     fits = [fold_models.Fit(s, w) for w in need for s in range(len(ft.slots))]
     prep = fold_models.prepare(ft, fits, params.pop("balanced", True))
-    fitted = (fold_models.fit_logistic if model == "logistic" else fold_models.fit_boosting)(ft, fits, prep, **params)
+    fit = {"logistic": fold_models.fit_logistic, "boosting": fold_models.fit_boosting, "forest": fold_models.fit_forest}[model]
+    fitted = fit(ft, fits, prep, **params)
     labels, names = ft.labels, [f"prob_{x}" for x in ft.labels]
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("fit") + 1)
     both = written(fold_models.predictions(ft, fits, prep, fitted).where("y >= 0")).select(
@@ -565,17 +566,12 @@ def equal_configs(scores: DataFrame, first: str, second: str, metric: str = "bal
 def forest_baseline(rows: DataFrame, folds: DataFrame, features: FeatureSet, labels: Sequence[str], group: str,
                     label: str = "y_true", trees: int = 200) -> DataFrame:
     """Balanced accuracy per seed on the first fold that holds all classes."""
-    chosen = fold_ops.first_complete(rows, folds, group, label, labels, ["seed"], "fold").collect()  # one per seed
-    out = None
-    for r in chosen:
-        roles = folds.where(F.col("seed") == r["seed"]).select(
-            group, F.lit(r["seed"]).alias("seed"), F.lit(r["fold"]).alias("fold"),
-            F.when(F.col("fold") == r["fold"], "test").otherwise("train").alias("role"))
-        pred, _, _ = predict_fold(rows, roles, r["seed"], r["fold"], features,
-                                  RunSpec("forest", "none", (("trees", trees),)), labels, group, label)
-        scored = metrics.classification_scores(pred, ["seed", "fold"], labels)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    chosen = F.broadcast(fold_ops.first_complete(rows, folds, group, label, labels, ["seed"], "fold").select(  # one row a seed
+        "seed", F.col("fold").alias("_own")))
+    roles = folds.join(chosen, "seed").select(group, "seed", F.col("_own").alias("fold"),
+                                              F.when(F.col("fold") == F.col("_own"), "test").otherwise("train").alias("role"))
+    pred, _, _ = out_of_fold(rows, roles, features, RunSpec("forest", "none", (("trees", trees),)), labels, group, label)
+    return metrics.classification_scores(pred, ["seed", "fold"], labels)
 
 
 # --- permutation importance ------------------------------------------------------------------

@@ -188,3 +188,38 @@ def test_isotonic_pools_match_brute_force(spark, per_range):
         want = brute_isotonic([(s, sum(h) / len(h), len(h)) for s, h in by.items()])
         for s, v in want.items():
             assert [m for lo, hi, m in got[k] if lo <= s <= hi] == [pytest.approx(v)]
+
+
+def test_forests_of_all_folds_match_the_fit_of_one_fold(data, monkeypatch):
+    """All trees of all folds take one job a level, no fit of Spark ML, and predict as well as a forest of Spark ML does."""
+    df, roles = data
+    df = df.withColumn("x2", F.when(~F.isnan("x2"), F.col("x2")))
+    features = M.FeatureSet("f", ("cat",), ("x1", "x2", "nothing"))
+    spec = M.RunSpec("forest", "none", (("trees", 30), ("depth", 5)))
+    cols = [f"prob_{x}" for x in LABELS]
+    one, _, _ = M.predict_fold(df, roles, 1, 0, M.FeatureSet("f", ("cat",), ("x1", "x2")), spec, LABELS, "grp")
+    one = {r.row_id: [r[c] for c in cols] for r in one.collect()}
+
+    def alone(*a, **k):
+        raise AssertionError("fitted fold by fold")
+    monkeypatch.setattr(M, "predict_fold_all", alone)
+    joint, status, _ = M.out_of_fold(df, roles, features, spec, LABELS, "grp")
+    rows = joint.collect()
+    assert status == "OK" and len(rows) == joint.select("row_id", "seed", "fold").distinct().count() == 2 * 588
+    assert all(abs(sum(r[c] for c in cols) - 1) < 1e-6 for r in rows)
+    own = {r.row_id: [r[c] for c in cols] for r in rows if (r.seed, r.fold) == (1, 0)}
+    assert own.keys() == one.keys()
+    gap = np.array([np.abs(np.subtract(own[i], one[i])).max() for i in own])
+    assert gap.mean() < 0.12
+    again = {(r.row_id, r.seed): r.prob_a for r in M.out_of_fold(df.repartition(3), roles, features, spec, LABELS, "grp")[0].collect()}
+    assert all(again[r.row_id, r.seed] == pytest.approx(r.prob_a, abs=1e-9) for r in rows)
+
+
+def test_bootstrap_draws_a_poisson_number_of_each_folded_row():
+    n = np.repeat([1, 7, 5000], 4000)
+    sample = FM._Bootstrap(np.arange(len(n)), np.zeros((len(n), 1), np.int64), n)
+    drawn = sample.drawn(42, 3)
+    for mean in (1, 7, 5000):
+        some = drawn[n == mean]
+        assert abs(some.mean() - mean) < 4 * np.sqrt(mean / 4000) and 0.9 < some.var() / mean < 1.1
+    assert (drawn == sample.drawn(42, 3)).all() and (drawn != sample.drawn(42, 4)).any()
