@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,6 +37,11 @@ class NameRules:
 DEFAULT_RULES = NameRules()
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(name: Column) -> Column:
     """Leading and trailing white space of any kind removed."""
     return F.regexp_replace(name.cast("string"), r"^\s+|\s+$", "")
@@ -56,7 +61,7 @@ def lookup(key: Column, mapping: Mapping[str, str]) -> Column:
     if not mapping:
         return key
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key)
+    return bound(key, lambda k: F.coalesce(F.try_element_at(F.create_map(*pairs), k), k))
 
 
 def squeezed(name: Column) -> Column:
@@ -70,13 +75,16 @@ def normalized_name(name: Column, rules: NameRules = DEFAULT_RULES) -> Column:
 
 def parent_name(name: Column, rules: NameRules = DEFAULT_RULES) -> Column:
     """Normalized name without the left-out words; when nothing remains all words are kept."""
-    low = folded(stripped(name))
-    everything = F.regexp_replace(low, "[^a-z0-9]+", "")
-    if rules.left_out:
+    plain = lambda text: F.regexp_replace(text, "[^a-z0-9]+", "")
+
+    def without(low: Column) -> Column:
+        if not rules.left_out:
+            return plain(low)
         words = "|".join(sorted(rules.left_out, key=len, reverse=True))
-        low = F.regexp_replace(low, f"(?<![a-z0-9])(?:{words})(?![a-z0-9])", "")
-    kept = F.regexp_replace(low, "[^a-z0-9]+", "")
-    return lookup(F.when(kept == "", everything).otherwise(kept), rules.typos)
+        kept = plain(F.regexp_replace(low, f"(?<![a-z0-9])(?:{words})(?![a-z0-9])", ""))
+        return bound(kept, lambda k: F.when(k == "", plain(low)).otherwise(k))
+
+    return lookup(bound(folded(stripped(name)), without), rules.typos)
 
 
 def identity_alias(key: Column, rules: NameRules = DEFAULT_RULES) -> Column:

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evitrust.functions.names import bound
+
 # Private-use digits U+F030..U+F039, full stop U+F02E, micro signs U+F06D and U+F0B5.
 _GLYPHS = "".join(chr(0xF030 + i) for i in range(10)) + "\uf02e\uf06d\uf0b5"
 _REPAIRED = "0123456789.uu"
@@ -43,13 +45,15 @@ def concentrations(c: Column) -> Column:
 
 def mean_sem_pairs(c: Column) -> Column:
     """array<struct<mean, sem>> after the word SEM (or in the whole text without it)."""
-    fixed = repair_glyphs(c)
-    at = F.instr(F.lower(fixed), "sem")
-    tail = F.when(at > 0, F.substr(fixed, at + 3)).otherwise(fixed)
-    means = F.regexp_extract_all(tail, F.lit(MEAN_SEM), F.lit(1))
-    sems = F.regexp_extract_all(tail, F.lit(MEAN_SEM), F.lit(2))
-    return F.zip_with(means, sems, lambda m, s: F.struct(
-        m.cast("double").alias("mean"), s.try_cast("double").alias("sem")))
+    def tail(fixed: Column) -> Column:
+        at = F.instr(F.lower(fixed), "sem")
+        return F.when(at > 0, F.substr(fixed, at + 3)).otherwise(fixed)
+
+    # the text is searched once; what was found is cut at its sign
+    found = F.regexp_extract_all(bound(repair_glyphs(c), tail), F.lit(MEAN_SEM), F.lit(0))
+    return F.transform(found, lambda x: F.struct(
+        F.trim(F.substring_index(x, "±", 1)).cast("double").alias("mean"),
+        F.when(x.contains("±"), F.trim(F.substring_index(x, "±", -1)).try_cast("double")).alias("sem")))
 
 
 def legacy_concentrations(c: Column) -> Column:

@@ -202,3 +202,14 @@ def test_tables_in_text(spark):
     assert sorted(map(tuple, panel.detect_tables(docs).collect())) == [(1, 0, 0, 2, 2, 4), (1, 2, 6, 7, 2, 5)]
     cells = {(r["table_no"], r["row_no"], r["col_no"]): r["cell_text"] for r in panel.table_cells(docs).collect()}
     assert cells[(0, 1, 0)] == "c" and cells[(2, 1, 4)] == "9" and len(cells) == 17
+
+
+def test_text_is_searched_once_for_means_and_once_for_numbers(spark):
+    """The extraction query names its pairs twice; each row is searched once for them all the same."""
+    from evitrust.functions import text as X
+    from evitrust.plans import Tables, load_all
+    plan = load_all()["extract_numbers_and_pairs"].run(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    df = spark.createDataFrame([("SEM 5 ± 0.5 7  ±x -2.5\t±\n3",), ("1 sem",), ("4 ± 2 ± 3",), (None,)], "t string")
+    got = [r.p and [(x["mean"], x["sem"]) for x in r.p] for r in df.select(X.mean_sem_pairs(F.col("t")).alias("p")).collect()]
+    assert got == [[(5.0, 0.5), (7.0, None), (-2.5, 3.0)], [], [(4.0, 2.0), (3.0, None)], None]
