@@ -13,7 +13,8 @@ def catalogue_keys(catalogue: DataFrame, entry_id: str, preferred: str, synonyms
                    rules: NameRules = DEFAULT_RULES, identity_aliases: bool = False) -> DataFrame:
     """Best catalogue entry per parent name: preferred names before synonyms, then catalogue order.
 
-    Folding by parent name before any join keeps a parent shared by many entries from multiplying.
+    Folding by parent name before any join keeps a parent shared by many entries from multiplying. Equal names are folded
+    before that, so a parent name is made once for each distinct name, in the tasks that the names are dealt to.
     """
     names = catalogue.select(
         entry_id, order,
@@ -26,9 +27,10 @@ def catalogue_keys(catalogue: DataFrame, entry_id: str, preferred: str, synonyms
     key = parent_name(F.col("resolved_name"), rules)
     if identity_aliases:
         key = identity_alias(key, rules)
-    best = names.withColumn("query_parent", key).where(F.col("query_parent") != "").groupBy("query_parent").agg(
-        F.min_by(F.struct(entry_id, "resolved_name", "_m"),
-                 F.struct("_m", order, "_s", entry_id)).alias("b"))
+    first = names.groupBy("resolved_name").agg(
+        F.min(F.struct("_m", F.col(order).alias("_o"), "_s", F.col(entry_id).alias("_id"))).alias("_first"))
+    best = first.withColumn("query_parent", key).where(F.col("query_parent") != "").groupBy("query_parent").agg(
+        F.min_by(F.struct(F.col("_first._id").alias(entry_id), "resolved_name", "_first._m"), "_first").alias("b"))
     return best.select(
         "query_parent", f"b.{entry_id}", "b.resolved_name",
         F.when(F.col("b._m") == 0, "pref_name").otherwise("synonym").alias("resolution_method"))

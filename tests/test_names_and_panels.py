@@ -213,3 +213,15 @@ def test_text_is_searched_once_for_means_and_once_for_numbers(spark):
     df = spark.createDataFrame([("SEM 5 ± 0.5 7  ±x -2.5\t±\n3",), ("1 sem",), ("4 ± 2 ± 3",), (None,)], "t string")
     got = [r.p and [(x["mean"], x["sem"]) for x in r.p] for r in df.select(X.mean_sem_pairs(F.col("t")).alias("p")).collect()]
     assert got == [[(5.0, 0.5), (7.0, None), (-2.5, 3.0)], [], [(4.0, 2.0), (3.0, None)], None]
+
+
+def test_catalogue_keys_are_made_once_for_each_distinct_name(spark):
+    from evitrust.operators import resolve
+    cat = spark.createDataFrame([(3, "Sodium", ["Alpha HCl", None]), (1, "Beta", ["alpha"]), (2, "beta", None), (4, "ALPHA", ["Beta"])],
+                                "id int, pref string, syn array<string>")
+    keys = resolve.catalogue_keys(cat, "id", "pref", "syn", "id")
+    got = {r.query_parent: (r.id, r.resolved_name, r.resolution_method) for r in keys.collect()}
+    assert got == {"sodium": (3, "Sodium", "pref_name"), "alpha": (4, "ALPHA", "pref_name"), "beta": (1, "Beta", "pref_name")}
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("hydrochloride") <= 2 and plan.index("hydrochloride") < plan.index("Generate explode")
+    assert any("Aggregate [resolved_name" in line for line in plan.splitlines())
