@@ -27,6 +27,7 @@ TRAIN, CALIB, TEST = 1, 2, 3
 ROWS_PER_TASK = 20_000
 LEAST_ROWS_PER_TASK = 500     # of tables that all executors have room for
 MAX_CATEGORIES = 10_000       # of all columns; more are no categories
+PACKED_ROWS = 200_000         # calibration scores that are made into arrays at once
 KEEP_EVERY = 10               # rounds after which the scores of the folded rows are written, at most
 KEPT_BYTES = 256 << 20        # so many bytes of scores for each round more than two
 
@@ -706,31 +707,69 @@ def sigmoid_maps(calib: DataFrame, keys: Sequence[str], max_iter: int = 60, tol:
     now = {key: np.zeros(2) for key, (n, h) in sizes.items() if 0 < h < n}
     live, step, before = set(now), {k: np.zeros(2) for k in now}, {k: np.inf for k in now}
     goal = {k: ((sizes[k][1] + 1) / (sizes[k][1] + 2), 1 / (sizes[k][0] - sizes[k][1] + 2)) for k in now}
+    if not now:
+        return []
+    # scores and hits of a key are written as arrays once; each step reads nothing else, and sums in the tasks
+    order = sorted(now)
     kinds = dict(calib.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", a double, b double, hi double, lo double"
+    places = calib.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(order)], ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _key int")
+    rows = calib.where("score IS NOT NULL").join(F.broadcast(places), keys).select(  # one row a key
+        "_key", F.col("score").cast("double").alias("score"), "hit")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            key, score, hit = (np.concatenate(x) for x in zip(*held))
+            at = np.argsort(key, kind="stable")
+            own, first = np.unique(key[at], return_index=True)
+            cut = lambda x: pa.array([part.tobytes() for part in np.split(x[at], first[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), cut(score), cut(hit)], ["_key", "score", "hit"])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((np.asarray(batch.column("_key")), np.asarray(batch.column("score")),
+                             batch.column("hit").to_numpy(zero_copy_only=False).astype(bool)))
+                n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield packed()
+                held, n = [], 0
+        if n:
+            yield packed()
+
+    rows = written(rows.mapInArrow(pack, "_key int, score binary, hit binary"))
+
     for _ in range(max_iter):
         if not live:
             break
-        params = calib.sparkSession.createDataFrame([(*k, float(now[k][0]), float(now[k][1]), float(goal[k][0]), float(goal[k][1])) for k in sorted(live)], schema)
-        z = F.col("a") * F.col("score") + F.col("b")
-        work = calib.join(F.broadcast(params), keys).select(*keys, "score", z.alias("z"), F.when(F.col("hit"), F.col("hi")).otherwise(F.col("lo")).alias("t"))
-        q = 1 / (1 + F.exp(-F.col("z")))
-        soft = F.greatest(F.col("z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("t") * F.col("z")
-        s, e, c = F.col("score"), q - F.col("t"), q * (1 - q)
-        for r in work.groupBy(*keys).agg(*[F.sum(x).alias(n) for n, x in (("loss", soft), ("ga", e * s), ("gb", e), ("haa", c * s * s), ("hab", c * s), ("hbb", c))]).collect():
-            key = tuple(r[x] for x in keys)
-            if not r.loss <= before[key] * (1 + 1e-13) + 1e-12:
+        a, b, hi, lo = (np.array(x, np.float64) for x in zip(*[(*now[k], *goal[k]) for k in order]))
+        on = np.array([k in live for k in order])
+
+        def work(batch: pa.RecordBatch, a=a, b=b, hi=hi, lo=lo, on=on) -> Iterator[tuple[int, np.ndarray]]:
+            for i, score, hit in zip(batch.column("_key").to_pylist(), batch.column("score"), batch.column("hit")):
+                if not on[i]:
+                    continue
+                x = np.frombuffer(score.as_buffer(), np.float64)
+                t = np.where(np.frombuffer(hit.as_buffer(), bool), hi[i], lo[i])
+                z = a[i] * x + b[i]
+                small = np.exp(-np.abs(z))
+                q = np.where(z >= 0, 1.0, small) / (1 + small)
+                e, c = q - t, q * (1 - q)
+                yield i, np.array([(np.maximum(z, 0.0) + np.log1p(small) - t * z).sum(), (e * x).sum(), e.sum(), (c * x * x).sum(), (c * x).sum(), c.sum()])
+
+        for i, v in _added(rows, work).items():
+            key, loss = order[i], v[0]
+            if not loss <= before[key] * (1 + 1e-13) + 1e-12:
                 step[key] = step[key] / 2
                 now[key] = now[key] - step[key]
                 if np.abs(step[key]).max() < 1e-12:
                     live.discard(key)
                 continue
-            if before[key] - r.loss < tol * max(r.loss, 1e-300):
+            if before[key] - loss < tol * max(loss, 1e-300):
                 live.discard(key)
-            before[key] = r.loss
+            before[key] = loss
             if key in live:
-                hess = np.array([[r.haa, r.hab], [r.hab, r.hbb]])
-                step[key] = -np.linalg.pinv(hess, rcond=1e-12, hermitian=True) @ np.array([r.ga, r.gb])
+                hess = np.array([[v[3], v[4]], [v[4], v[5]]])
+                step[key] = -np.linalg.pinv(hess, rcond=1e-12, hermitian=True) @ v[1:3]
                 now[key] = now[key] + step[key]
     return [(*k, float(v[0]), float(v[1])) for k, v in sorted(now.items())]
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evitrust import contracts, ordering
+from evitrust.sources.shared import written
 
 
 def _hash_order(*parts: Column) -> tuple[Column, Column]:
@@ -45,7 +46,7 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, labels: Sequen
 
     The assignment is made on groups, not rows; join it back on the group to split rows.
     """
-    groups = _majority(group_classes(df, group, label), [], group, label)
+    groups = written(_majority(group_classes(df, group, label), [], group, label))   # ranks read them several times
     seeded = groups.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     return _serpentine(seeded, ["seed"], group, F.col("seed"), n_splits, labels, "fold", **sizing)
 
@@ -61,7 +62,7 @@ def nested_splits(df: DataFrame, folds: DataFrame, group: str, label: str, label
 
     The inner seed is ``seed + seed_offset + fold``.
     """
-    groups = _majority(group_classes(df, group, label), [], group, label).join(folds, group)
+    groups = written(_majority(group_classes(df, group, label), [], group, label).join(folds, group))   # ranks read them several times
     others = F.filter(F.sequence(F.lit(0), F.lit(n_outer - 1)), lambda f: f != F.col("fold"))
     train = groups.withColumn("_outer", F.explode(others)).drop("fold").withColumnRenamed("_outer", "fold")
     salt = F.col("seed") + F.lit(seed_offset) + F.col("fold")
@@ -99,7 +100,8 @@ def first_complete(df: DataFrame, assigned: DataFrame, group: str, label: str, l
 def calibration_roles(df: DataFrame, folds: DataFrame, group: str, label: str, labels: Sequence[str],
                       n_outer: int = 5, n_inner: int = 3, **sizing) -> DataFrame:
     """(seed, fold, group, role) with role test, calib or train."""
-    inner = nested_splits(df, folds, group, label, labels, n_outer, n_inner, **sizing)
+    folds = written(folds)    # read by the inner splits and as test roles
+    inner = written(nested_splits(df, folds, group, label, labels, n_outer, n_inner, **sizing))
     chosen = first_complete(df, inner, group, label, labels, ["seed", "fold"], "inner").select(
         "seed", "fold", F.col("inner").alias("_c"))
     train = inner.join(chosen, ["seed", "fold"]).select(

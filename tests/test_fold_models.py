@@ -223,3 +223,21 @@ def test_bootstrap_draws_a_poisson_number_of_each_folded_row():
         some = drawn[n == mean]
         assert abs(some.mean() - mean) < 4 * np.sqrt(mean / 4000) and 0.9 < some.var() / mean < 1.1
     assert (drawn == sample.drawn(42, 3)).all() and (drawn != sample.drawn(42, 4)).any()
+
+
+def test_sigmoid_steps_read_packed_scores(spark, monkeypatch):
+    """Maps of several keys: the scores are dealt out once, and the steps find the minimum that plain Newton steps find."""
+    rng = np.random.default_rng(3)
+    rows = [(k, float(p), bool(rng.random() < p ** (1 + k))) for k in range(3) for p in rng.random(700)] + [(9, 0.5, True), (0, None, True)]
+    calib = spark.createDataFrame(rows, "k int, score double, hit boolean").repartition(4)
+    monkeypatch.setattr(FM, "PACKED_ROWS", 50)
+    kept, plain = [], FM.written
+    monkeypatch.setattr(FM, "written", lambda df: kept.append(plain(df)) or kept[-1])
+    found = {k: (a, b) for k, a, b in FM.sigmoid_maps(calib, ["k"])}
+    assert found.keys() == {0, 1, 2} and len(kept) == 1 and kept[0].count() < 700
+    for k in range(3):
+        s, h = (np.array(x) for x in zip(*[(r[1], r[2]) for r in rows if r[0] == k and r[1] is not None]))
+        n_hit, n_miss = h.sum() + (k == 0), (~h).sum()
+        t = np.where(h, (n_hit + 1) / (n_hit + 2), 1 / (n_miss + 2))
+        q = 1 / (1 + np.exp(-(found[k][0] * s + found[k][1])))
+        assert abs(((q - t) * s).sum()) < 1e-3 and abs((q - t).sum()) < 1e-3
