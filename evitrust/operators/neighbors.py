@@ -1,9 +1,11 @@
 """Exact nearest neighbours between two vector tables, and distance scores built on them.
 
-Train rows are put into cells around a fixed number of pivots and cells are cut into chunks of bounded
-size. By the triangle inequality a test row visits only the cells that can hold one of its k nearest
-rows. Every (cell, chunk, test block) is one bounded cogroup that keeps k rows per test row, and the
-short lists are merged per test row. Nothing is broadcast except the pivots and one radius per cell.
+Train rows are put into cells around a fixed number of pivots. By the triangle inequality a test row visits only the
+cells that can hold one of its k nearest rows. Test rows of neighbouring cells form teams of bounded size, and the train rows
+of a cell travel once to each team that visits it, packed into blocks: what moves is train rows times teams, never a
+test row to its cells. A team meets a bounded part of its blocks in one cogroup, which keeps k rows per test row over
+all of them, and these short lists are merged per test row. Nothing is broadcast except the pivots, one radius per cell and
+the cells of each team.
 """
 
 from __future__ import annotations
@@ -13,9 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-CHUNK_ROWS = 4096
+from evitrust.sources.shared import written
+
+CHUNK_ROWS = 4096     # rows of a block
+TEAMS = 16            # teams of small tables, of TEAM_ROWS rows at least
+TEAM_ROWS = 1024
+TEAM_CHUNKS = 8       # test rows of a team at most (about), in rows of a block
+PART_CHUNKS = 32      # train rows that a team meets in one cogroup, in rows of a block
+SLICE_ROWS = 512      # test rows whose distances are computed at once
 MAX_PIVOTS = 256
 MAX_CLASSES = 1000
 _SLACK = 1e-6  # rounding allowance on pruning bounds
@@ -24,7 +34,10 @@ _SLACK = 1e-6  # rounding allowance on pruning bounds
 def _matrix(vectors: pd.Series, metric: str, side: str) -> np.ndarray:
     """Rows of a batch as float64. For cosine they are scaled to unit length; a zero vector gets its
     own direction per side, so that its distance to everything is 1."""
-    x = np.asarray(vectors.tolist(), dtype=np.float64)
+    return _unit(np.asarray(vectors.tolist(), dtype=np.float64), metric, side)
+
+
+def _unit(x: np.ndarray, metric: str, side: str) -> np.ndarray:
     if metric == "euclidean":
         return x
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -159,44 +172,113 @@ def nearest_neighbors(test: DataFrame, train: DataFrame, id_col: str, vector: st
         known = F.col("_by").isin(list(sizes))
         te = te.withColumn("_by", F.when(known, F.col("_by")))
     cells = _Cells(pivots, stats)
-
-    routed = te.mapInPandas(
-        _visits(metric, cells, k), f"test_id {id_type}, vec array<double>, _by string, cells array<int>")
-    routed = routed.withColumn("cell", F.explode("cells")).drop("cells")
-    if with_class:
-        spread = F.when(F.col("_by").isNotNull(), F.array("_by")).otherwise(F.array(*[F.lit(c) for c in sizes]))
-        routed = routed.withColumn("_by", F.explode(spread))
-
-    def per_cell(counts: dict[tuple[str, int], int], default: int):
-        """Column: chunks needed for the row's (class, cell), from a literal map."""
-        many = {key: -(-n // chunk_rows) for key, n in counts.items() if n > chunk_rows}
-        if not many:
-            return F.lit(default)
-        pairs = [F.lit(x) for (c, j), m in many.items() for x in (f"{j}|{c}", int(m))]
-        key = F.concat_ws("|", F.col("cell").cast("string"), F.col("_by"))
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
-
-    train_counts = {(c, j): int(n) for c, (s, _) in stats.items() if c is not None for j, n in enumerate(s)}
-    n_test = te.count()
-    if n_test > chunk_rows:
-        test_counts = {(r["_by"], r["cell"]): r["n"] for r in
-                       routed.groupBy("_by", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    else:
-        test_counts = {}
-    n_chunks, n_blocks = per_cell(train_counts, 1), per_cell(test_counts, 1)
-    left = routed.withColumns({
-        "chunk": F.explode(F.sequence(F.lit(0), n_chunks - 1)),
-    }).withColumn("block", F.pmod(F.xxhash64("test_id"), n_blocks).cast("int"))
-    right = placed.drop("to_pivot").withColumn(
-        "chunk", F.pmod(F.xxhash64("train_id", F.lit(1)), n_chunks).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    keys = ["_by", "cell", "chunk", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _nearest(metric, k), f"test_id {id_type}, train_id {id_type}, distance double")
+    routed = written(te.mapInPandas(_visits(metric, cells, k), f"test_id {id_type}, vec array<double>, _by string, cells array<int>"))
+    return _met(routed, placed.drop("to_pivot"), stats, metric, k, chunk_rows, id_type)
+
+
+def _met(routed: DataFrame, placed: DataFrame, stats: dict, metric: str, k: int, chunk_rows: int, id_type: str) -> DataFrame:
+    """The k nearest train rows of every test row, of those in the cells it visits: (test_id, train_id, distance, rank)."""
+    spark = routed.sparkSession
+    classes = [c for c in stats if c is not None]
+    sizes = sum(stats[c][0] for c in classes)
+    n_cells = len(sizes)
+    # test rows of one first cell are together, in teams of bounded size; a class is no part of a team, its rows are told apart there
+    routed = routed.withColumn("home", F.coalesce(F.get("cells", F.lit(0)), F.lit(0)))
+    counts = np.zeros(n_cells, np.int64)
+    for r in routed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():    # one row a cell
+        counts[r["home"]] = r["n"]
+    team_rows, part_rows = min(max(int(counts.sum()) // TEAMS, TEAM_ROWS), TEAM_CHUNKS * chunk_rows), PART_CHUNKS * chunk_rows
+    team_of = (np.cumsum(counts) - counts) // team_rows                             # neighbours in number until they are enough
+    shares = np.maximum(1, -(-counts // team_rows))                                 # of a cell with very many test rows
+    homes = F.broadcast(spark.createDataFrame([(j, int(team_of[j]), int(shares[j])) for j in range(n_cells)], "home int, team int, shares int"))
+    left = routed.join(homes, "home").withColumn("share", F.pmod(F.xxhash64("test_id"), F.col("shares")).cast("int")).drop("shares", "home")
+
+    needed: dict[int, np.ndarray] = {}
+    for r in left.select("team", F.explode("cells").alias("cell")).distinct().collect():    # teams x cells at most
+        needed.setdefault(r["team"], np.zeros(n_cells, bool))[r["cell"]] = True
+    shares_of = {int(g): int(shares[team_of == g].max()) for g in np.unique(team_of)}
+    parts = {g: max(1, -(-int(sizes[cells].sum()) // part_rows)) for g, cells in needed.items()}
+    if not needed:
+        return spark.createDataFrame([], f"test_id {id_type}, train_id {id_type}, distance double, rank int")
+    wanted = F.broadcast(spark.createDataFrame([(g, int(j), parts[g], shares_of[g]) for g, cells in needed.items() for j in np.flatnonzero(cells)],
+                                               "team int, cell int, parts int, shares int"))
+    n_parts = F.broadcast(spark.createDataFrame(list(parts.items()), "team int, parts int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(n_parts, "team").withColumn("part", each("parts")).drop("parts")
+    right = placed.join(wanted, "cell").withColumn("part", F.pmod(F.xxhash64("train_id", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+        "share", each("shares")).drop("parts", "shares")
+    keys = ["team", "share", "part"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        _team_nearest(metric, k, classes, id_type), f"test_id {id_type}, train_id array<{id_type}>, distance array<double>")
+    found = met.select("test_id", F.inline(F.arrays_zip("train_id", "distance")))
     w = Window.partitionBy("test_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _vectors(column: pa.ChunkedArray, metric: str, side: str) -> np.ndarray:
+    values = column.combine_chunks()
+    return _unit(np.asarray(values.flatten()).reshape(len(values), -1), metric, side)
+
+
+def _team_nearest(metric: str, k: int, classes: Sequence[str], id_type: str) -> Callable:
+    """The k nearest of the train rows of each test row's class (of all, without one), as arrays in order of (distance, id)."""
+    def run(test: pa.Table, train: pa.Table) -> pa.Table:
+        kind = test.schema.field("test_id").type
+        who, whom, far = [], [], []
+        if test.num_rows and train.num_rows:
+            train = train.sort_by("train_id")
+            right, cell = _vectors(train.column("vec"), metric, "train"), np.asarray(train.column("cell"))
+            left = _vectors(test.column("vec"), metric, "test")
+            train_by, test_by = (np.array(x.column("_by").to_pylist(), object) for x in (train, test))
+            lists = test.column("cells").combine_chunks()
+            visits = np.zeros((len(left), int(max(cell.max(), np.asarray(lists.flatten()).max(initial=0))) + 1), bool)
+            visits[np.repeat(np.arange(len(left)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = True
+            for c in [*classes, None]:
+                mine = np.flatnonzero(test_by == c) if c is not None else np.flatnonzero([x is None for x in test_by])
+                theirs = np.flatnonzero(train_by == c) if c is not None else np.arange(len(right))
+                if not len(mine) or not len(theirs):
+                    continue
+                for start in range(0, len(mine), SLICE_ROWS):
+                    at = mine[start:start + SLICE_ROWS]
+                    rows, cols, d = _k_smallest(left[at], right, theirs, visits[at], cell, metric, k)
+                    who.append(at[rows])
+                    whom.append(cols)
+                    far.append(d)
+        who, whom, far = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((who, np.int64), (whom, np.int64), (far, np.float64)))
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        ends = pa.array(np.r_[first, len(who)], pa.int32())
+        ids = train.column("train_id").combine_chunks().take(pa.array(whom)) if len(whom) else pa.array([], kind)
+        return pa.table({"test_id": test.column("test_id").combine_chunks().take(pa.array(who[first])) if len(who) else pa.array([], kind),
+                         "train_id": pa.ListArray.from_arrays(ends, ids), "distance": pa.ListArray.from_arrays(ends, pa.array(far))})
+    return run
+
+
+def _k_smallest(left: np.ndarray, right: np.ndarray, theirs: np.ndarray, visits: np.ndarray, cell: np.ndarray, metric: str,
+                k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``right``, distance), k of a row at most, by (row, distance, place). Blocks of ``theirs`` are looked at in
+    turn, and only what lies within the k-th distance so far is kept."""
+    limit = np.full(len(left), np.inf)
+    rows, cols, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    theirs = theirs[np.argsort(cell[theirs], kind="stable")]
+    for start in range(0, len(theirs), CHUNK_ROWS):
+        own = theirs[start:start + CHUNK_ROWS]
+        look = np.flatnonzero(visits[:, np.unique(cell[own])].any(axis=1))
+        if not len(look):
+            continue
+        d, near = _distances(left[look], right[own], metric), limit[look]
+        if len(own) >= k and np.isinf(near).any():      # the k-th of a block bounds what may count
+            near = np.minimum(near, np.partition(d, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(d <= near[:, None])
+        rows, cols, far = np.r_[rows, look[i]], np.r_[cols, own[j]], np.r_[far, d[i, j]]
+        order = np.lexsort((cols, far, rows))
+        rows, cols, far = rows[order], cols[order], far[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        limit[rows[place == k - 1]] = far[place == k - 1]
+        kept = place < k
+        rows, cols, far = rows[kept], cols[kept], far[kept]
+    return rows, cols, far
+
+
 def mean_distances(neighbors: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Mean distance to the first k neighbours for every k, from one neighbour table: (test_id, k, distance)."""
     kept = neighbors.withColumn("k", F.explode(F.filter(

@@ -135,3 +135,28 @@ def test_censored_cells(spark):
                                  "entity string, channel string, ic50 double, hill_n double, relation string, n_points long")
     assert dose.fitted_cells(fits, "s", 0).count() == 2
     assert [r["entity"] for r in dose.fitted_cells(fits, "s", 0, censored_as_value=False).collect()] == ["b"]
+
+
+def test_neighbors_travel_to_teams_not_to_cells(spark, monkeypatch):
+    """Train rows travel once to each team of test rows and part; test rows are not copied to every cell that they visit."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(900)], "id long, v array<double>")
+    test, train = df.where("id % 3 = 0"), df.where("id % 3 <> 0")
+    monkeypatch.setattr(neighbors, "TEAM_ROWS", 100)
+    rows = spark.sparkContext.accumulator(0)
+    plain = neighbors._team_nearest
+
+    def counted(*a):
+        run = plain(*a)
+
+        def own(left, right):
+            rows.add(left.num_rows + right.num_rows)
+            return run(left, right)
+        return own
+    monkeypatch.setattr(neighbors, "_team_nearest", counted)
+    got = neighbors.nearest_neighbors(test, train, "id", "v", 5, "cosine", chunk_rows=20).orderBy("test_id", "rank").collect()
+    want = brute({i: x[i] for i in range(0, 900, 3)}, {i: x[i] for i in range(900) if i % 3}, 5, "cosine")
+    for i, w in want.items():
+        np.testing.assert_allclose([g["distance"] for g in got if g["test_id"] == i], w, atol=1e-8)
+    assert 0 < rows.value < 300 * 3 + 600 * 8      # 300 rows times about 25 visited cells before
